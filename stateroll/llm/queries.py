@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stateroll.llm import bpe
+from stateroll.llm import bpe, decontaminate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": decontaminate.query,
     "op4_bpe": bpe.query,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_decontaminate": decontaminate.SQL,
+}
