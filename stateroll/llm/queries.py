@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stateroll.llm import bpe, decontaminate
+from stateroll.llm import bpe, decontaminate, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.query,
+    "op2_simhash": simhash.query,
     "op4_bpe": bpe.query,
+    "op7_suffix_dedup": suffix_dedup.query,
 }
 SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.SQL,
