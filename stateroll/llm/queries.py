@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stateroll.llm import bpe, decontaminate, simhash, suffix_dedup
+from stateroll.llm import bpe, decontaminate, quality, simhash, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.query,
     "op2_simhash": simhash.query,
     "op4_bpe": bpe.query,
     "op7_suffix_dedup": suffix_dedup.query,
+    "op8_toxicity": toxicity.query,
+    "op9_quality": quality.query,
 }
 SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.SQL,
