@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stateroll.llm import bpe, decontaminate, quality, simhash, suffix_dedup, toxicity
+from stateroll.llm import bpe, chat, decontaminate, quality, simhash, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.query,
@@ -15,7 +15,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_suffix_dedup": suffix_dedup.query,
     "op8_toxicity": toxicity.query,
     "op9_quality": quality.query,
+    "op10_chat": chat.query,
 }
 SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.SQL,
+    "op10_chat": chat.SQL,
 }
