@@ -31,7 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="stateroll-")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/stateroll-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/stateroll-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
 
 
 def written(df: DataFrame, path: str | None = None, by: list[str] | None = None) -> DataFrame:
