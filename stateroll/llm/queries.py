@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stateroll.llm import bpe, chat, decontaminate, neighbours, quality, simhash, suffix_dedup, toxicity, warc
+from stateroll.llm import bpe, chat, decontaminate, licenses, neighbours, quality, simhash, suffix_dedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.query,
     "op2_simhash": simhash.query,
     "op3_neighbours": neighbours.query,
     "op4_bpe": bpe.query,
+    "op5_licenses": licenses.query,
     "op6_warc": warc.query,
     "op7_suffix_dedup": suffix_dedup.query,
     "op8_toxicity": toxicity.query,
