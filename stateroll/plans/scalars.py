@@ -39,13 +39,13 @@ def _(t):
 
 @query("c05_div", """
 WITH e AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 0.0 WHEN event_type = 'view' THEN -value ELSE value END AS a, CASE WHEN event_type IN ('error', 'view', 'click') THEN 0 ELSE user_id + 1 END AS b FROM events)
-SELECT event_id, CASE WHEN b <> 0 THEN round(a / b, 6) END AS quotient, CASE WHEN b <> 0 THEN 'finite' WHEN a = 0 THEN 'nan' WHEN a > 0 THEN 'inf' ELSE '-inf' END AS kind FROM e""")
+SELECT event_id, CASE WHEN b <> 0 THEN a / b END AS quotient, CASE WHEN b <> 0 THEN 'finite' WHEN a = 0 THEN 'nan' WHEN a > 0 THEN 'inf' ELSE '-inf' END AS kind FROM e""")
 def _(t):
     a = F.when(c("event_type") == "error", 0.0).when(c("event_type") == "view", -c("value")).otherwise(c("value"))
     b = F.when(c("event_type").isin("error", "view", "click"), 0).otherwise(c("user_id") + 1)
     q = t.events.select("event_id", E.div(a, b).alias("q"))
     kind = F.when(F.isnan("q"), "nan").when(c("q") == float("inf"), "inf").when(c("q") == float("-inf"), "-inf").otherwise("finite")
-    return q.select("event_id", F.when(kind == "finite", r("q")).alias("quotient"), kind.alias("kind"))
+    return q.select("event_id", F.when(kind == "finite", c("q")).alias("quotient"), kind.alias("kind"))
 
 
 @query("c06_safe_div", """
@@ -65,7 +65,7 @@ def _(t):
     return t.events.select("event_id", r(E.log(c("value") + 1)).alias("natural"), r(E.log(c("value") + 1, 2)).alias("base2"))
 
 
-@query("c09_round", "SELECT user_id, event_id, CAST(round((event_id % 100) * 0.5) AS DOUBLE) AS whole, round(-((event_id % 100) * 0.25), 1) AS tenth FROM events")
+@query("c09_round", "SELECT user_id, event_id, CAST(round((event_id % 100) * 0.5) AS DOUBLE) AS whole, CAST(round(-((event_id % 100) * 0.25), 1) AS DOUBLE) AS tenth FROM events")
 def _(t):
     return t.events.select("user_id", "event_id", E.rounded((c("event_id") % 100) * 0.5).alias("whole"), E.rounded(-((c("event_id") % 100) * 0.25), 1).alias("tenth"))
 
