@@ -58,12 +58,15 @@ def pooled_z(x1: Column, n1: Column, x2: Column, n2: Column) -> Column:
     return F.when(ok, F.try_divide(safe_div(x1, n1) - safe_div(x2, n2), F.sqrt(F.greatest(var, F.lit(0.0))))).otherwise(0.0)
 
 
-@F.pandas_udf("double")
-def normal_p(z: pd.Series) -> pd.Series:
-    """Two-sided p of a z value; 0 for z = 0, which stands for no test."""
+def _normal(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if v is None or math.isnan(v) else 0.0 if v == 0 else math.erfc(abs(v) / math.sqrt(2)))
 
 
+def normal_p(z: Column | str) -> Column:
+    """Two-sided p of a z value; 0 for z = 0, which stands for no test."""
+    return F.pandas_udf(_normal, "double")(z)
+
+
 def chi2_tail(x: float, dof: int) -> float:
     """Upper tail: the regularised upper incomplete gamma function, by series or continued fraction."""
     if dof <= 0 or x <= 0:
@@ -92,12 +95,15 @@ def chi2_tail(x: float, dof: int) -> float:
     return h * scale
 
 
-@F.pandas_udf("double")
-def chi2_p(x: pd.Series, dof: pd.Series) -> pd.Series:
-    """0 for a statistic of 0, which stands for no test."""
+def _chi2(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) else 0.0 if v == 0 else chi2_tail(float(v), int(d)) for v, d in zip(x, dof, strict=True)], dtype="float64")
 
 
+def chi2_p(x: Column | str, dof: Column | str) -> Column:
+    """Upper-tail p; 0 for a statistic of 0, which stands for no test."""
+    return F.pandas_udf(_chi2, "double")(x, dof)
+
+
 def contingency(df: DataFrame, keys: list[str], variant: str, positives: str, negatives: str, level: float = 0.95) -> DataFrame:
     """Over the variants of each key group: chi2, g, dof, odds ratio with its interval (two variants), and z.
 
@@ -117,7 +123,7 @@ def contingency(df: DataFrame, keys: list[str], variant: str, positives: str, ne
     se = F.sqrt(1 / a["p"] + 1 / a["n"] + 1 / b["p"] + 1 / b["n"])
     z = z_value(level)
     return cells.select(
-        *keys, F.col("r").alias("variants"), F.greatest(F.col("r") - 1, F.lit(0)).cast("int").alias("dof"), over(lambda o, e: (o - e) * (o - e) / e).alias("chi2"), over(lambda o, e: 2 * o * F.ln(o / e)).alias("g"),
+        *keys, F.col("r").alias("variants"), F.greatest(F.col("r") - 1, F.lit(0)).cast("int").alias("dof"), over(lambda o, e: (o - e) * (o - e) / e).alias("chi2"), over(lambda o, e: 2 * o * F.ln(o / e)).alias("g_stat"),
         ratio.alias("odds_ratio"), F.when(two, F.exp(F.ln(ratio) - z * se)).otherwise(0.0).alias("odds_low"), F.when(two, F.exp(F.ln(ratio) + z * se)).otherwise(0.0).alias("odds_high"),
         F.when(two, pooled_z(a["p"], a["p"] + a["n"], b["p"], b["p"] + b["n"])).otherwise(0.0).alias("z"),
     )

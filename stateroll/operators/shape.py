@@ -87,11 +87,12 @@ def histogram(df: DataFrame, keys: list[str], value: str, bins: int = 100) -> Da
 def digest_histogram(df: DataFrame, state: str, bins: int = 100, output: str = "histogram") -> DataFrame:
     """From a quantile sketch: the share of evenly spread quantiles that falls into each even bin of its range."""
     qs = F.array(*[F.lit(k / 1000) for k in range(1001)])
-    v = F.kll_sketch_get_quantile_double(F.col(state), qs)
-    low, high = v[0], v[1000]
-    low2, width = F.when(low == high, low - 0.5).otherwise(low), F.when(low == high, F.lit(1.0)).otherwise(high - low) / bins
-    number = lambda x: F.least(F.floor((x - low2) / width), F.lit(bins - 1))
-    return df.withColumn(output, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.struct((low2 + k * width).alias("left_edge"), (F.size(F.filter(v, lambda x: number(x) == k)) / 1001).alias("mass"))))
+    df = df.withColumn("_v", F.kll_sketch_get_quantile_double(F.col(state), qs))
+    low, high = F.col("_v")[0], F.col("_v")[1000]
+    df = df.withColumns({"_low": F.when(low == high, low - 0.5).otherwise(low), "_width": F.when(low == high, F.lit(1.0)).otherwise(high - low) / bins})
+    df = df.withColumn("_at", F.transform("_v", lambda x: F.least(F.floor((x - F.col("_low")) / F.col("_width")), F.lit(bins - 1))))
+    mass = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.struct((F.col("_low") + k * F.col("_width")).alias("left_edge"), (F.size(F.filter("_at", lambda x: x == k)) / 1001).alias("mass")))
+    return df.withColumn(output, mass).drop("_v", "_low", "_width", "_at")
 
 
 def curve_rows(df: DataFrame, keys: list[str], curve: str = "curve", kind: str = "roc") -> DataFrame:
