@@ -160,7 +160,7 @@ class EntityLifecycle(Processor):
 class Funnel(Processor):
     """Independent conditions, each a stage: how many rows are in it, and a sketch of the entities in it."""
 
-    stages: dict[str, Column] = field(default_factory=dict)
+    stages: dict[str, Column | str] = field(default_factory=dict)
     entity: str | None = None
     sketch: str = "theta"
 

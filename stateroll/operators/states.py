@@ -19,14 +19,14 @@ LG_K, LG_K_CPC, KLL_K, TDIGEST_K, TOPK_MAP = 12, 11, 200, 500, 10
 class State:
     """kind: count, value_sum, min, max, pooled_mean, pooled_variance, hll, cpc, theta, kll, tdigest or topk.
 
-    column: what it is of (none: rows); where: a condition on rows; distinct: count different values, null as one;
+    column: what it is of (none: rows); where: a condition on rows, a Column or SQL text; distinct: count different values, null as one;
     mean and weight: the companion states of pooled kinds; size: a sketch's size parameter.
     """
 
     name: str
     kind: str
     column: str | None = None
-    where: Column | None = None
+    where: Column | str | None = None
     distinct: bool = False
     mean: str | None = None
     weight: str | None = None
@@ -34,16 +34,17 @@ class State:
 
     def build(self) -> Column:
         c = F.col(self.column) if self.column else None
-        given = c if c is None or self.where is None else F.when(self.where, c)
+        where = F.expr(self.where) if isinstance(self.where, str) else self.where
+        given = c if c is None or where is None else F.when(where, c)
         if self.kind == "count":
             if c is None:
-                return F.count(F.lit(1)) if self.where is None else F.count_if(self.where)
+                return F.count(F.lit(1)) if where is None else F.count_if(where)
             if self.distinct:
-                null = c.isNull() if self.where is None else c.isNull() & self.where
+                null = c.isNull() if where is None else c.isNull() & where
                 return F.count_distinct(given) + F.coalesce(F.max(null.cast("int")), F.lit(0))
             return F.count(given)
         if self.kind == "value_sum":
-            return F.coalesce(F.sum(c.cast("double") if self.where is None else F.when(self.where, c.cast("double")).otherwise(0.0)), F.lit(0.0))
+            return F.coalesce(F.sum(c.cast("double") if where is None else F.when(where, c.cast("double")).otherwise(0.0)), F.lit(0.0))
         if self.kind in ("min", "max"):
             return getattr(F, self.kind)(given)
         if self.kind == "pooled_mean":

@@ -20,7 +20,7 @@ from stateroll.sources import sinks
 from stateroll.streaming import incremental as I
 
 c = F.col
-COUNTS = [State("n", "count"), State("bought", "count", where=c("event_type") == "purchase")]
+COUNTS = [State("n", "count"), State("bought", "count", where="event_type = 'purchase'")]
 COUNT = "count(*) AS n, count(*) FILTER (event_type = 'purchase') AS bought"
 SPEC = sinks.config_hash({"group_by": ["event_type"], "states": ["n", "bought"], "parallel": 4})
 

@@ -61,7 +61,7 @@ def _(t):
     return p.merge(p.build(t.events), ["user_id"])
 
 
-STAGES = {"viewed": c("event_type") == "view", "clicked": c("event_type") == "click", "bought": c("event_type") == "purchase"}
+STAGES = {"viewed": "event_type = 'view'", "clicked": "event_type = 'click'", "bought": "event_type = 'purchase'"}
 
 
 @query("d05_count_by_stage", """SELECT strftime(ts, '%Y-%m') AS "Month", count(*) FILTER (event_type = 'view') AS "viewed_Count", count(*) FILTER (event_type = 'click') AS "clicked_Count", count(*) FILTER (event_type = 'purchase') AS "bought_Count" FROM events GROUP BY 1""")

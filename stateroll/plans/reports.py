@@ -20,7 +20,7 @@ from stateroll.plans.catalog import query, r
 from stateroll.plans.reductions import contacts_source, exposures, lifecycle, rounded_sums
 
 c = F.col
-COUNTS = [State("n", "count"), State("bought", "count", where=c("event_type") == "purchase"), State("total", "value_sum", "value")]
+COUNTS = [State("n", "count"), State("bought", "count", where="event_type = 'purchase'"), State("total", "value_sum", "value")]
 
 
 def stored(t, dims=("user_id", "event_type")):

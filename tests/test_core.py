@@ -177,3 +177,12 @@ def test_plain_filters_reach_the_scan(spark, tmp_path):
     df = Q.filtered(spark.read.parquet(str(tmp_path / "t")), {"k": {"op": "eq", "value": 1}}).groupBy("k").count()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(k,1)" in plan and "wide" not in plan
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 150 and set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
