@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from stateroll.functions.calendar import TIME_COLUMN, calendar_column
 from stateroll.operators import states as S
+from stateroll.operators.ordering import numbered
 from stateroll.operators.states import State
 
 
@@ -199,8 +200,9 @@ class Snapshot(Processor):
 
     @staticmethod
     def latest(df: DataFrame, keys: list[str]) -> DataFrame:
-        last = F.max("as_of").over(W.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]))
-        return df.withColumn("_last", last).where("as_of = _last").drop("_last")
+        if not keys:
+            return df.crossJoin(F.broadcast(df.agg(F.max("as_of").alias("_last")))).where("as_of = _last").drop("_last")
+        return df.withColumn("_last", F.max("as_of").over(W.partitionBy(*keys))).where("as_of = _last").drop("_last")
 
     def merge_latest(self, built: DataFrame, keys: list[str]) -> DataFrame:
         """Stocks don't add up over time: a key's latest date only, summed over the rest."""
@@ -250,5 +252,5 @@ def source_order_slice(df: DataFrame, order: list[str]) -> DataFrame:
     if n < 50_000:
         return df
     first, size = (n // 2, n - n // 2) if n < 100_000 else (n // 2, 50_000)
-    ranked = df.withColumn("_n", F.row_number().over(W.orderBy(*order)) - 1)
+    ranked = numbered(df, [F.col(c) for c in order], "_n").withColumn("_n", F.col("_n") - 1)
     return ranked.where((F.col("_n") >= first) & (F.col("_n") < first + size)).drop("_n")

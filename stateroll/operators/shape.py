@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stateroll.operators.ordering import running
+
 
 def _by(cols: list[str]):
     return W.partitionBy(*[F.col(c) for c in cols] or [F.lit(0)])
@@ -22,9 +24,9 @@ def indexed(df: DataFrame, series: list[str], x: str, y: str, mode: str = "index
 
 
 def pareto(df: DataFrame, label: str, value: str) -> DataFrame:
-    w = W.orderBy(F.desc(value), label).rowsBetween(W.unboundedPreceding, W.currentRow)
     total = F.broadcast(df.agg(F.sum(value).alias("_total")))
-    return df.crossJoin(total).withColumn("cumulative_share", F.when(F.col("_total") != 0, F.sum(value).over(w) / F.col("_total")).otherwise(0.0)).drop("_total")
+    rows = running(df, [F.desc(value), F.col(label)], value, "_so_far", "_n").crossJoin(total)
+    return rows.withColumn("cumulative_share", F.when(F.col("_total") != 0, F.col("_so_far") / F.col("_total")).otherwise(0.0)).drop("_total", "_so_far", "_n")
 
 
 def heatmap(df: DataFrame, y: str, x: str, value: str, columns: list) -> DataFrame:
@@ -62,10 +64,10 @@ def funnel_categories(df: DataFrame, column: str, value: str, stages: list[str])
 
 def exposure_curve(df: DataFrame, value: str, ties: list[str]) -> DataFrame:
     """Largest first: the share of rows and of value so far."""
-    by = [F.desc(value), *[F.col(t) for t in ties]]
-    total = F.broadcast(df.agg(F.sum(value).alias("_v"), F.count(F.lit(1)).alias("_n")))
-    w = W.orderBy(*by).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return df.crossJoin(total).withColumn("customer_share", F.row_number().over(W.orderBy(*by)) / F.col("_n")).withColumn("value_share", F.when(F.col("_v") != 0, F.sum(value).over(w) / F.col("_v")).otherwise(0.0)).drop("_v", "_n")
+    total = F.broadcast(df.agg(F.sum(value).alias("_v"), F.count(F.lit(1)).alias("_c")))
+    rows = running(df, [F.desc(value), *[F.col(t) for t in ties]], value, "_so_far", "_n").crossJoin(total)
+    shares = {"customer_share": F.col("_n") / F.col("_c"), "value_share": F.when(F.col("_v") != 0, F.col("_so_far") / F.col("_v")).otherwise(0.0)}
+    return rows.withColumns(shares).drop("_v", "_c", "_n", "_so_far")
 
 
 def box_stats(q1: Column, median: Column, q3: Column, low: Column, high: Column, n: Column) -> dict[str, Column]:

@@ -93,9 +93,11 @@ def merge(df: DataFrame, keys: list[str], states: list[State]) -> DataFrame:
     """Roll states up to coarser keys; no keys: one row."""
     for s in states:
         if s.kind == "pooled_variance":
-            over = W.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)])
             n = F.when(F.col(s.mean).isNotNull(), F.col(s.weight))
-            df = df.withColumn(f"_grand_{s.name}", F.try_divide(F.sum(F.col(s.mean) * n).over(over), F.sum(n).over(over)))
+            grand = F.try_divide(F.sum(F.col(s.mean) * n), F.sum(n)).alias(f"_grand_{s.name}")
+            means = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(grand)
+            same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+            df = df.join(means, same).drop(*[f"_k_{k}" for k in keys]) if keys else df.crossJoin(F.broadcast(means))
     return df.groupBy(*keys).agg(*[s.merge().alias(s.name) for s in states])
 
 

@@ -17,6 +17,7 @@ from stateroll.plans import registry
 from stateroll.plans.catalog import Tables, query, r
 from stateroll.sources import readers as R
 from stateroll.sources import sinks
+from stateroll.sources.scratch import folder
 from stateroll.streaming import incremental as I
 
 c = F.col
@@ -26,14 +27,7 @@ SPEC = sinks.config_hash({"group_by": ["event_type"], "states": ["n", "bought"],
 
 
 def scratch(t: Tables) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors reach; the session's default file system without it."""
-    root = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="stateroll-")
-        t.spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/query-{uuid.uuid4().hex}"
+    return folder(t.spark)
 
 
 def daily(t):

@@ -186,3 +186,20 @@ def test_entry_imports_without_a_session():
 
     code = "import __spark_entry__ as e; assert len(e.queries()) > 150 and set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
+
+
+def test_global_order_without_one_task(spark):
+    from stateroll.operators import ordering
+
+    rng = np.random.default_rng(4)
+    values = [float(v) for v in rng.integers(0, 20, 500)]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)] + [(900, None)], "k long, v double")
+    order = [F.desc_nulls_last("v"), F.col("k")]
+    want = sorted(range(500), key=lambda k: (-values[k], k))
+    got = ordering.running(df.where("v IS NOT NULL"), order, "v").orderBy("n").collect()
+    assert [r.k for r in got] == want and [r.n for r in got] == list(range(1, 501))
+    assert np.allclose([r.running for r in got], np.cumsum([values[k] for k in want]))
+    assert [r.k for r in ordering.numbered(df, order).orderBy("n").collect()] == [*want, 900]
+    qs = [0.0, 0.25, 0.333, 0.5, 0.9, 1.0]
+    assert np.allclose(ordering.quantiles(df, "v", qs).first().quantiles, np.quantile(values, qs))
+    assert ordering.quantiles(df.limit(0), "v", [0.5]).first().quantiles == [None]
