@@ -62,6 +62,38 @@ def _(t):
     return R.read_json(t.spark, path, schema="event_id long, event_type string, value double")
 
 
+def _zipped(uri: str):
+    """Writes a group's lines as one .zip archive of two members; gives how many it wrote."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        import io
+        import zipfile
+
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(uri)
+        store.create_dir(base, recursive=True)
+        lines, half = pdf["line"].tolist(), len(pdf) // 2
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("b.ndjson", "\n".join(lines[:half]))
+            z.writestr("a.json", "[" + ",".join(lines[half:]) + "]")
+        with store.open_output_stream(f"{base}/{pdf['day'].iloc[0]}.zip") as out:
+            out.write(held.getvalue())
+        return pd.DataFrame({"n": [len(lines)]})
+
+    return run
+
+
+@query("a04_archived_exports", "SELECT event_id, event_type, value FROM events")
+def _(t):
+    path = t.spark._jvm.org.apache.hadoop.fs.Path(scratch(t))
+    uri = path.getFileSystem(t.spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString().replace("file:/", "file:///", 1).replace("file://///", "file:///")
+    rows = daily(t).select(c("chunk_id").alias("day"), F.to_json(F.struct("event_id", "event_type", "value")).alias("line"))
+    rows.groupBy("day").applyInPandas(_zipped(uri), "n long").agg(F.sum("n")).collect()  # one number
+    return R.read_archives(t.spark, f"{uri}/*.zip", "event_id long, event_type string, value double")
+
+
 @query("a05_a06_chunk_ids", "SELECT strftime(ts, '%d') AS chunk, count(*) AS n FROM events GROUP BY 1")
 def _(t):
     path = scratch(t)

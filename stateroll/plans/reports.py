@@ -367,9 +367,64 @@ def _(t):
     return M.funnel_dropoff(M.funnel_dropoff(g, "rate", "v", "k"), "lost", "v", "k", "count").select("user_id", r("rate").alias("rate"), "lost")
 
 
+ARM_TYPES = "a AS (SELECT event_type, count(*) :: DOUBLE AS n, count(*) FILTER (value > 100) :: DOUBLE AS x FROM events GROUP BY 1)"
+
+
+def arm_types(t):
+    return t.events.groupBy("event_type").agg(F.count(F.lit(1)).cast("double").alias("n"), F.count_if(c("value") > 100).cast("double").alias("x"))
+
+
+@query("h01_rate_stderr", f"WITH {ARM_TYPES} SELECT event_type, round(x / n, 6) AS rate, round(sqrt(x / n * (1 - x / n) / n), 6) AS se FROM a")
+def _(t):
+    return arm_types(t).select("event_type", r(c("x") / c("n")).alias("rate"), r(stats.rate_stderr(c("x") / c("n"), c("n"))).alias("se"))
+
+
+@query("h02_katz_interval", f"""WITH {ARM_TYPES}, v AS (SELECT x AS x2, n AS n2 FROM a WHERE event_type = 'view')
+SELECT event_type, round((x/n) / (x2/n2) * exp(-{Z} * sqrt(1/x - 1/n + 1/x2 - 1/n2)) - 1, 6) AS low, round((x/n) / (x2/n2) * exp({Z} * sqrt(1/x - 1/n + 1/x2 - 1/n2)) - 1, 6) AS high FROM a, v""")
+def _(t):
+    base = F.broadcast(arm_types(t).where("event_type = 'view'").select(c("x").alias("x2"), c("n").alias("n2")))  # one row
+    low, high = stats.katz_interval(c("x"), c("n"), c("x2"), c("n2"))
+    return arm_types(t).crossJoin(base).select("event_type", r(low).alias("low"), r(high).alias("high"))
+
+
+@query("h03_wilson_interval", f"WITH {ARM_TYPES} SELECT event_type, round({WILSON('x', 'n')[0]}, 6) AS low, round({WILSON('x', 'n')[1]}, 6) AS high FROM a")
+def _(t):
+    low, high = stats.wilson(c("x"), c("n"))
+    return arm_types(t).select("event_type", r(low).alias("low"), r(high).alias("high"))
+
+
+@query("h09_rfm_features", RFM_SQL + "SELECT o_custkey, frequency, CAST(tenure AS INTEGER) AS tenure, CAST(recency AS INTEGER) AS recency FROM s")
+def _(t):
+    p, built = lifecycle(t)
+    return rfm.features(p.merge(built, ["o_custkey"])).select("o_custkey", "frequency", "tenure", "recency")
+
+
+@query("h10_quartile_scores", RFM_SQL + "SELECT fq, mq, rq, count(*) AS n FROM s GROUP BY ALL")
+def _(t):
+    return rfm_rows(t).groupBy(c("f_quartile").alias("fq"), c("m_quartile").alias("mq"), c("r_quartile").alias("rq")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # KPIs
 
 
+@query("p08_roc_auc", CURVE_SQL + """, s AS (SELECT *, lag(fpr) OVER (PARTITION BY g ORDER BY fpr, k) AS prev FROM v)
+SELECT g, CAST(max(np) AS BIGINT) AS positives, CAST(max(nn) AS BIGINT) AS negatives, round(least(greatest(sum((fpr - prev) * tpr), 0), 1), 4) AS auc FROM s GROUP BY 1""")
+def _(t):
+    got = M.exact_curve(scored(t), ["g"], "score", "flag")
+    return got.select("g", c("positives").cast("bigint").alias("positives"), c("negatives").cast("bigint").alias("negatives"), r("curve.roc_auc", 4).alias("auc"))
+
+
+@query("p15_lifecycle_kpi", RFM_SQL + "SELECT rq || fq || mq AS rfm_seg, count(*) AS customers, round(avg(recency), 4) AS recency FROM s GROUP BY 1")
+def _(t):
+    return rfm_rows(t).groupBy("rfm_seg").agg(F.count(F.lit(1)).alias("customers"), r(F.avg("recency"), 4).alias("recency"))
+
+
+@query("p16_top_categories", "SELECT p_type AS item, count(*) AS estimate FROM part GROUP BY 1")
+def _(t):
+    got = M.topk_items(S.build(t.part, [], [State("top", "topk", "p_type")]), "items", "top", 1000)
+    return H.topk_rows(got, [], "items").select("item", "estimate")
+
+
 @query("p01_p02_engagement", "SELECT user_id, count(*) FILTER (event_type = 'purchase') AS positives, round(count(*) FILTER (event_type = 'purchase') / count(*), 6) AS engagement FROM events GROUP BY 1")
 def _(t):
     g = S.merge(stored(t), ["user_id"], COUNTS)
