@@ -7,12 +7,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that one vectorised step handles; the arrays of a step take some 40 times as much.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
+#: Bytes of an Arrow batch between Spark and a task's Python, at most (a longer row is a batch of its own).
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on Arrow batches to BATCH_BYTES, so that long texts don't pile up in tasks."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, "67108864").rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +84,7 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def with_row(df: DataFrame) -> DataFrame:
     """All columns of df as one struct `row`: no column that an operator adds can clash with it."""
+    small_batches(df.sparkSession)
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
 
 
@@ -84,6 +95,7 @@ def map_texts(
 
     make() runs once a task and gives a function of (ids, texts) that returns one value a row for each field.
     """
+    small_batches(df.sparkSession)
     ids = [F.col(f"`{id_col}`").alias("id")] if id_col else []
     source = with_row(df) if keep == "row" else df.select(*ids, F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = T.StructType([source.schema["row" if keep == "row" else "id"], *fields])
@@ -100,10 +112,12 @@ def map_texts(
             first = b.column(0)
             if keep == "row":
                 columns = dict(zip([x.name for x in first.type], first.flatten(), strict=True))
-                got_ids, texts = columns.get(id_col), columns[text_col]
+                ids_, texts = columns.get(id_col), columns[text_col]
             else:
-                got_ids, texts = first, b.column(1)
-            out = f(got_ids, texts)
-            yield pa.RecordBatch.from_arrays([first, *(out[n].cast(k) if isinstance(out[n], pa.Array) else pa.array(out[n], k) for n, k in zip(names, kinds, strict=True))], names=["row" if keep == "row" else "id", *names])
+                ids_, texts = first, b.column(1)
+            for s, e in steps(np.array(pc.fill_null(pc.binary_length(texts), 0), np.int64)):
+                n = e - s
+                out = f(ids_ if ids_ is None else ids_.slice(s, n), texts.slice(s, n))
+                yield pa.RecordBatch.from_arrays([first.slice(s, n), *(out[c].cast(k) if isinstance(out[c], pa.Array) else pa.array(out[c], k) for c, k in zip(names, kinds, strict=True))], names=["row" if keep == "row" else "id", *names])
 
     return source.mapInArrow(run, schema)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from stateroll.llm.common import map_texts, steps, table, text_buffers, written
+from stateroll.llm.common import map_texts, small_batches, steps, table, text_buffers, written
 from stateroll.llm.labelled import held_out, logistic, probability, sample
 from stateroll.llm.textarrays import LOWER, hashes, spans
 
@@ -150,6 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("label"), b.column("part"), pa.array(list(statistics(b.column("text"))), pa.list_(pa.float64()))], names=["label", "part", "x"])
 
+    small_batches(docs.sparkSession)
     known = sample(docs, labels, label_col, folds, fold, id_col, text_col)
     got = written(known.mapInArrow(rows, "label int, part int, x array<double>")).toPandas()
     x = np.stack(got["x"].to_list()) if len(got) else np.zeros((0, 20))

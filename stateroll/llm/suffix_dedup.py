@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stateroll.llm.common import steps, table, text_buffers, with_row, written
+from stateroll.llm.common import small_batches, steps, table, text_buffers, with_row, written
 from stateroll.llm.textarrays import BASE, INVERSE, kept_powers, mix
 
 WIDTH = 200
@@ -95,6 +95,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> dic
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Keys of 96 bits over id and text: rows that share them are equal in both."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     own = F.col(f"`{id_col}`").cast("string")
     return docs.select(F.xxhash64(own, text).alias("k1"), F.hash(text, own).alias("k2"), text.alias("text"))

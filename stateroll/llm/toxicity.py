@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stateroll.llm.common import map_texts, steps, table, text_buffers, written
+from stateroll.llm.common import map_texts, small_batches, steps, table, text_buffers, written
 from stateroll.llm.labelled import held_out, logistic, probability, sample
 from stateroll.llm.textarrays import hashes, member, spans
 
@@ -185,12 +185,12 @@ class Matcher:
 
 
 def _arc_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (text, label, part): how many documents have each arc, and how many toxic ones, summed over a batch."""
+    """From (text, label, part): how many documents have each arc, and how many toxic ones, summed over a step of texts."""
     for b in batches:
-        found, toxic = [], []
         labels = b.column("label").to_numpy()
         low = lowered(b.column("text"))
         for s, e in steps(np.array(pc.binary_length(low), np.int64)):
+            found, toxic = [], []
             data, offsets = text_buffers(low.slice(s, e - s))
             begin, end = spans(LETTER[data], offsets)
             doc = np.searchsorted(offsets, begin, "right") - 1
@@ -200,7 +200,6 @@ def _arc_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first = np.r_[True, (d[1:] != d[:-1]) | (h[1:] != h[:-1])] if len(h) else np.zeros(0, bool)
                 found.append(h[first])
                 toxic.append(labels[s:e][d[first]])
-        if found:
             arcs, at = np.unique(np.concatenate(found), return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(arcs.view(np.int64)), pa.array(np.bincount(at, np.concatenate(toxic), len(arcs)).astype(np.int64)), pa.array(np.bincount(at, minlength=len(arcs)).astype(np.int64))], names=["arc", "toxic", "n"])
 
@@ -214,6 +213,7 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, fold: int = FOLD) -> Model:
+    small_batches(docs.sparkSession)
     known = written(sample(docs, labels, label_col, folds, fold, id_col, text_col))
     classes = known.where("part > 0").agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
     counts = known.where("part > 0").mapInArrow(_arc_counts, "arc long, toxic long, n long").groupBy("arc").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).where(F.col("toxic") >= SUPPORT)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stateroll.llm.common import shared_dir, table, written
+from stateroll.llm.common import shared_dir, small_batches, table, written
 
 #: Shorter payloads are always written out.
 LEAST_BYTES = 100
@@ -116,6 +116,7 @@ def _writer(folder: str):
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
     """Write the archives into folder (one that all executors reach), and give their index, a table."""
+    small_batches(pages.sparkSession)
     body = F.coalesce(F.col(body_col).cast("string"), F.lit(""))
     all_ = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("html"), F.sha2(body.cast("binary"), 256).alias("digest"))
     light = all_.where(F.octet_length("html") >= LEAST_BYTES).select("id", "digest")
