@@ -255,7 +255,8 @@ def repeated_spans(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
     """From (k1, k2, text): a row (k1, k2, spans) for each text with repeated bytes; spans may touch and overlap."""
     rows = _anchor_rows(keyed, width, gram)
     again = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("kind").alias("low"), F.max("kind").alias("high")).where("n > 1").select(F.col("gram").alias("g"), (F.col("low") == F.col("high")).alias("single"))
-    met = written(rows.join(again, F.col("gram") == F.col("g")).drop("g"))
+    # a table: the join then shuffles both sides itself, and adaptive execution can split a gram that is everywhere
+    met = written(rows.join(written(again), F.col("gram") == F.col("g")).drop("g"))
 
     kinds = written(met.where("NOT single").groupBy("gram", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("own")))
     large = written(kinds.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > KINDS).select("g"))
