@@ -38,7 +38,7 @@ from stateroll.llm.textarrays import BASE, INVERSE, kept_powers, mix
 WIDTH = 200
 GRAM = 64
 #: Kinds of one gram that a task sorts.
-KINDS = 20_000
+KINDS = 5_000
 #: Bytes of texts handled at a time.
 STEP = 1 << 20
 
