@@ -2,7 +2,7 @@
 
 A sparse (elastic-net) multinomial logistic regression over words and word pairs is trained on notices composed from
 the fixed templates below, plain and inside running text, against paragraphs of the corpus (a bounded sample,
-MAX_UNKNOWN) and phrases that merely mention licences: those are the unknown class. The margin between the best
+MAX_UNKNOWN lines of an eighth as many texts) and phrases that merely mention licences: those are the unknown class. The margin between the best
 family and unknown is calibrated on a held-out quarter. A paragraph is a line. A prediction counts once the family's
 templates confirm it: SIMILARITY of the shingles (5 words; shorter templates whole) of one of them stand in it.
 
@@ -70,6 +70,17 @@ def local(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows)} AS t({names})")
 
 
+def any_of(grams: list[str]) -> str:
+    """A pattern for any of the grams, as a tree by their letters: a position is tried against few branches. A space stands for what lies between words."""
+    heads: dict[str, list[str]] = {}
+    for g in grams:
+        if not g:
+            return ""  # one gram ends here: what follows doesn't matter
+        heads.setdefault(g[0], []).append(g[1:])
+    parts = [("[^a-z0-9]+" if h == " " else re.escape(h)) + any_of(rest) for h, rest in sorted(heads.items())]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
 class Model:
     """weights: of each gram, one for unknown (first) and one for each family."""
 
@@ -77,12 +88,13 @@ class Model:
         self.families, self.bias, self.weights = families, bias, weights
         self.slope, self.shift = 1.0, 0.0
         speaks = sorted(g for g, w in weights.items() if max(w[1:]) > w[0])
-        pairs = "|".join("[^a-z0-9]+".join(map(re.escape, g.split(" "))) for g in speaks)
-        self.screen = f"(?<![a-z0-9])(?:{pairs})" if speaks and max(bias[1:]) < bias[0] else ""
+        self.screen = f"(?<![a-z0-9]){any_of(speaks)}" if speaks and max(bias[1:]) < bias[0] else ""
 
     def scores(self, gs: Column) -> Column:
         of = F.create_map(*[x for g, w in sorted(self.weights.items()) for x in (F.lit(g), F.array(*map(F.lit, w)))])
-        known = F.filter(F.transform(gs, lambda g: F.try_element_at(of, g)), lambda w: w.isNotNull())
+        # first by a hash set: a map is searched from its beginning for each gram
+        own = F.array_intersect(gs, F.array(*map(F.lit, sorted(self.weights))))
+        known = F.transform(own, lambda g: F.element_at(of, g))
         return F.aggregate(known, F.array(*map(F.lit, self.bias)), lambda total, w: F.zip_with(total, w, lambda a, b: a + b))
 
     def judged(self, paragraphs: Column) -> Column:
@@ -116,7 +128,11 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     spark = docs.sparkSession
     families = sorted(FAMILIES)
     named = "|".join(["licen[sc]e", "copyright", "gpl", "creative commons", "apache", "mozilla", "mit ", "bsd", "cc by", "cc0"])
-    lines = docs.select(F.explode(F.split(F.lower(F.col(text_col).cast("string")), "\n")).alias("text")).where((F.length("text") > 0) & ~F.col("text").rlike(named))
+    # a bounded sample of texts by their hash, then of their lines
+    text = F.col(text_col).cast("string")
+    chosen = written(docs.where(text.isNotNull()).select(F.xxhash64(text).alias("th")).distinct().orderBy("th").limit(MAX_UNKNOWN // 8))
+    few = docs.join(F.broadcast(chosen), F.xxhash64(text) == F.col("th"), "left_semi")
+    lines = few.select(F.explode(F.split(F.lower(text), "\n")).alias("text")).where((F.length("text") > 0) & ~F.col("text").rlike(named))
     corpus = written(lines.select("text", F.xxhash64("text").alias("h")).distinct().orderBy("h", "text").limit(MAX_UNKNOWN))
     fixed = local(spark, [(families.index(f) + 1, t, k) for k, (f, t) in enumerate(templates())], "label, text, k")
     # notices also stand inside running text: each once more among words of a corpus paragraph
