@@ -163,7 +163,8 @@ def _reader(folder: str, payloads: bool):
 
 def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records that index (or any selection of its rows) names: id, record_type, payload_bytes, payload_digest, refers_to, payload."""
-    return index.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset").mapInArrow(_reader(folder, payloads), RECORD)
+    n = max(1, index.select("archive").distinct().count())  # a task an archive: the index is far smaller than what it points to
+    return index.select("archive", "offset", "length").repartition(n, "archive").sortWithinPartitions("archive", "offset").mapInArrow(_reader(folder, payloads), RECORD)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
