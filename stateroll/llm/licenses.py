@@ -1,10 +1,16 @@
 """Licence scan by a trained paragraph classifier, with DataFrame functions only.
 
 A sparse (elastic-net) multinomial logistic regression over words and word pairs is trained on notices composed from
-the fixed templates below, plain and inside running text, against paragraphs of the corpus (a bounded sample,
-MAX_UNKNOWN lines of an eighth as many texts) and phrases that merely mention licences: those are the unknown class. The margin between the best
-family and unknown is calibrated on a held-out quarter. A paragraph is a line. A prediction counts once the family's
-templates confirm it: SIMILARITY of the shingles (5 words; shorter templates whole) of one of them stand in it.
+the fixed templates below and on notice and body paragraphs of the licences (license_texts), plain and inside running
+text, against paragraphs of the corpus (a bounded sample,
+MAX_UNKNOWN lines of an eighth as many texts) and phrases that merely mention licences: those are the unknown class. The margin between a
+family and unknown is calibrated on a held-out quarter.
+
+A paragraph is a block between blank lines (comment marks alone are blank), however its lines are wrapped. It is scored
+in overlapping windows of its words, of two SPANS, so that a name within 16 words and a text within 128 stand whole in
+one of them. Each family whose confidence passes counts once its templates confirm it: SIMILARITY of the shingles (5
+words; shorter templates whole) of one of them stand in the window, and among them one that tells it from each other
+licence with shingles in common (the notices of GPL, LGPL and AGPL differ in a word or two).
 
 The scan is row-wise: no shuffle, no Python. Paragraphs without any word or pair that speaks for a family (a positive
 weight) can't reach CONFIDENCE, by the weights themselves, and aren't scored.
@@ -15,16 +21,23 @@ phrases alone.
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stateroll.llm.common import table, written
+from stateroll.llm.license_texts import BODIES, OTHERS
 
 CONFIDENCE, SIMILARITY, SHINGLE = 0.5, 0.8, 5
 #: Paragraphs of the corpus in the unknown class, and words and pairs in the model.
 MAX_UNKNOWN, MAX_GRAMS = 4_000, 6_000
+#: Words of a window and of the step to the next, for names and for bodies.
+SPANS = [(32, 16), (256, 128)]
+BLANK = r"\n[^\p{L}\p{N}\n]*\n"
+BUCKETS = 1024
 TOKEN = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 # How licences are named, by family, and how notices begin; and phrases that name none.
@@ -51,7 +64,12 @@ UNKNOWN = [
 
 
 def templates() -> list[tuple[str, str]]:
-    return [(family, f"{lead} {name}".strip()) for family, names in FAMILIES.items() for name in names for lead in LEADS]
+    named = [(family, f"{lead} {name}".strip()) for family, names in FAMILIES.items() for name in names for lead in LEADS]
+    return named + bodies()
+
+
+def bodies() -> list[tuple[str, str]]:
+    return [(family, text.lower()) for family, texts in BODIES.items() for text in texts]
 
 
 def tokens(text: Column) -> Column:
@@ -64,6 +82,19 @@ def grams(words: Column) -> Column:
     return F.array_distinct(F.concat(words, F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))))
 
 
+def windows(words: Column) -> Column:
+    """Overlapping runs of the words, of the lesser span and, where there are more words, of the greater."""
+    n = F.size(words)
+    runs = lambda span, step: F.transform(F.sequence(F.lit(0), (F.ceil(F.greatest(n - span, F.lit(0)) / step) * step).cast("int"), F.lit(step)), lambda at: F.slice(words, at + 1, F.lit(span)))
+    (short, step), (long, stride) = SPANS
+    return F.when(n > short, F.concat(runs(short, step), runs(long, stride))).otherwise(F.array(words))
+
+
+def fixed_value(value: object, schema: str) -> Column:
+    """A constant, as JSON: one literal instead of one for each number."""
+    return F.from_json(F.lit(json.dumps(value)), schema)
+
+
 def local(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
     """A table of few fixed rows, from an SQL VALUES list."""
     quote = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -88,25 +119,26 @@ class Model:
         self.families, self.bias, self.weights = families, bias, weights
         self.slope, self.shift = 1.0, 0.0
         speaks = sorted(g for g, w in weights.items() if max(w[1:]) > w[0])
+        # without a gram that speaks for it, no family has a larger margin than its bias
         self.screen = f"(?<![a-z0-9]){any_of(speaks)}" if speaks and max(bias[1:]) < bias[0] else ""
 
     def scores(self, gs: Column) -> Column:
-        of = F.create_map(*[x for g, w in sorted(self.weights.items()) for x in (F.lit(g), F.array(*map(F.lit, w)))])
-        # first by a hash set: a map is searched from its beginning for each gram
-        own = F.array_intersect(gs, F.array(*map(F.lit, sorted(self.weights))))
-        known = F.transform(own, lambda g: F.element_at(of, g))
-        return F.aggregate(known, F.array(*map(F.lit, self.bias)), lambda total, w: F.zip_with(total, w, lambda a, b: a + b))
-
-    def judged(self, paragraphs: Column) -> Column:
-        """Of array<struct<paragraph, scores, joined>>: family, confidence and similarity of each."""
-        best = lambda p: F.array_max(F.slice(p["scores"], 2, len(self.families)))
+        # in buckets by a hash: a map is searched from its beginning for each gram
+        of: list[dict[str, list[float]]] = [{} for _ in range(BUCKETS)]
+        for g, w in sorted(self.weights.items()):
+            of[zlib.crc32(g.encode()) % BUCKETS][g] = w
+        table = fixed_value(of, "array<map<string,array<double>>>")
+        known = F.transform(gs, lambda g: F.try_element_at(F.get(table, (F.crc32(g.cast("binary")) % BUCKETS).cast("int")), g))
+        return F.aggregate(F.filter(known, lambda w: w.isNotNull()), F.array(*map(F.lit, self.bias)), lambda total, w: F.zip_with(total, w, lambda a, b: a + b))
+
+    def judged(self, scored: Column) -> Column:
+        """Of array<struct<paragraph, scores, joined>>: paragraph, family, confidence and similarity of each family whose confidence passes."""
         names = F.array(*map(F.lit, self.families))
-        named = F.transform(paragraphs, lambda p: F.struct(
-            p["paragraph"].alias("paragraph"), p["joined"].alias("joined"),
-            F.element_at(names, F.array_position(F.slice(p["scores"], 2, len(self.families)), best(p)).cast("int")).alias("family"),
-            (1 / (1 + F.exp(-(best(p) - F.element_at(p["scores"], 1)) * self.slope - self.shift))).alias("confidence"),
+        confidences = lambda p: F.transform(F.slice(p["scores"], 2, len(self.families)), lambda s, i: F.struct(
+            F.get(names, i).alias("family"), (1 / (1 + F.exp(-(s - F.element_at(p["scores"], 1)) * self.slope - self.shift))).alias("confidence"),
         ))
-        return F.transform(named, lambda p: F.struct(p["paragraph"].alias("paragraph"), p["family"].alias("family"), p["confidence"].alias("confidence"), similarity(p["family"], p["joined"]).alias("similarity")))
+        likely = lambda p: F.filter(confidences(p), lambda q: q["confidence"] >= CONFIDENCE)
+        return F.flatten(F.transform(scored, lambda p: F.transform(likely(p), lambda q: F.struct(p["paragraph"].alias("paragraph"), q["family"].alias("family"), q["confidence"].alias("confidence"), similarity(q["family"], p["joined"]).alias("similarity")))))
 
 
 def shingles(text: str) -> list[str]:
@@ -114,10 +146,25 @@ def shingles(text: str) -> list[str]:
     return [" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))]
 
 
+def compared() -> dict[str, list[dict]]:
+    """Of each family, its templates: their shingles with a space around each, and for each other licence with some of them, those that it has not."""
+    of: dict[str, set[str]] = {}
+    for family, text in [*templates(), *((f, t.lower()) for f, texts in OTHERS.items() for t in texts)]:
+        of.setdefault(family, set()).update(shingles(text))
+    spaced = lambda words: [f" {w} " for w in words]
+    out: dict[str, list[dict]] = {f: [] for f in FAMILIES}
+    for family, text in templates():
+        own = dict.fromkeys(shingles(text))
+        apart = [[s for s in own if s not in of[g]] for g in of if g != family and not of[g].isdisjoint(own)]
+        out[family].append({"own": spaced(own), "apart": [spaced(x) for x in apart if x]})
+    return out
+
+
 def similarity(family: Column, joined: Column) -> Column:
-    """The largest share of a template's shingles that stand in the paragraph (its words, with a space around each)."""
-    of = F.create_map(*[x for f in FAMILIES for x in (F.lit(f), F.array(*[F.array(*map(F.lit, shingles(t))) for g, t in templates() if g == f]))])
-    shares = F.transform(F.element_at(of, family), lambda t: F.size(F.filter(t, lambda s: F.contains(joined, F.concat(F.lit(" "), s, F.lit(" "))))) / F.size(t))
+    """The largest share of a template's shingles that stand in the paragraph (its words, with a space around each); 0 where all that stand are another licence's too."""
+    of = fixed_value(compared(), "map<string,array<struct<own:array<string>,apart:array<array<string>>>>>")
+    stands = lambda s: F.contains(joined, s)
+    shares = F.transform(F.element_at(of, family), lambda t: F.when(F.forall(t["apart"], lambda a: F.exists(a, stands)), F.size(F.filter(t["own"], stands)) / F.size(t["own"])).otherwise(0.0))
     return F.array_max(shares)
 
 
@@ -134,13 +181,20 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     few = docs.join(F.broadcast(chosen), F.xxhash64(text) == F.col("th"), "left_semi")
     lines = few.select(F.explode(F.split(F.lower(text), "\n")).alias("text")).where((F.length("text") > 0) & ~F.col("text").rlike(named))
     corpus = written(lines.select("text", F.xxhash64("text").alias("h")).distinct().orderBy("h", "text").limit(MAX_UNKNOWN))
-    fixed = local(spark, [(families.index(f) + 1, t, k) for k, (f, t) in enumerate(templates())], "label, text, k")
-    # notices also stand inside running text: each once more among words of a corpus paragraph
-    around = corpus.select(F.split("text", " ").alias("w"), F.row_number().over(_by_hash()).alias("n")).where(F.col("n") <= fixed.count())
-    inside = fixed.join(around, F.col("k") + 1 == F.col("n")).select("label", F.concat_ws(" ", F.slice("w", 1, 8), F.array("text"), F.slice("w", 9, 8)).alias("text"))
+    named_as = [(families.index(f) + 1, t) for f, t in templates()]
+    bodies_as = [(families.index(f) + 1, t) for f, t in bodies()]
+    first = len(named_as) - len(bodies_as)
+    fixed = local(spark, [(label, t, k, int(k >= first)) for k, (label, t) in enumerate(named_as)], "label, text, k, body")
+    # notices also stand inside running text: each once more among words of a corpus paragraph, bodies also among more words
+    reach = [(label, t, k, 8) for k, (label, t) in enumerate(named_as)] + [(label, t, len(named_as) + k, 24) for k, (label, t) in enumerate(bodies_as)]
+    around = corpus.select(F.split("text", " ").alias("w"), F.row_number().over(_by_hash()).alias("n")).where(F.col("n") <= len(reach))
+    inside = local(spark, reach, "label, text, k, reach").join(around, F.col("k") + 1 == F.col("n"))
+    inside = inside.select("label", F.concat_ws(" ", F.slice("w", F.lit(1), F.col("reach")), F.array("text"), F.slice("w", F.col("reach") + 1, F.col("reach"))).alias("text"))
     unknown = local(spark, [(0, t) for t in UNKNOWN], "label, text")
-    rows = fixed.select("label", "text").union(inside).union(unknown).union(corpus.select(F.lit(0), "text"))
-    rows = written(rows.select("label", "text", tokens(F.col("text")).alias("words")).select("label", "text", grams(F.col("words")).alias("grams"), (F.pmod(F.xxhash64("text"), F.lit(4)) == 0).alias("held")))
+    rows = fixed.select("label", "text", "body").union(inside.withColumn("body", F.lit(0))).union(unknown.withColumn("body", F.lit(0))).union(corpus.select(F.lit(0), "text", F.lit(0)))
+    # a body has few rows: the plain one is always learned from
+    held = (F.col("body") == 0) & (F.pmod(F.xxhash64("text"), F.lit(4)) == 0)
+    rows = written(rows.select("label", held.alias("held"), tokens(F.col("text")).alias("words")).select("label", "held", grams(F.col("words")).alias("grams")))
     counted = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=MAX_GRAMS, minDF=2, binary=True).fit(rows)
     fit = LogisticRegression(family="multinomial", elasticNetParam=0.8, regParam=0.0005, maxIter=60).fit(counted.transform(rows.where("NOT held")))
     matrix, bias = fit.coefficientMatrix.toArray(), fit.interceptVector.toArray()
@@ -164,25 +218,26 @@ def _by_hash():
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row a document: its id and `found`, an array of (paragraph, family, confidence, similarity): all paragraphs that were scored."""
+    """A row a document: its id and `found`, an array of (paragraph, family, confidence, similarity): each family whose confidence passes in a window of the paragraph."""
     text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    lines = F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("paragraph"), line.alias("text")))
+    blocks = F.transform(F.split(text, BLANK), lambda block, i: F.struct(i.alias("paragraph"), block.alias("text")))
     if model.screen:
-        lines = F.filter(lines, lambda p: p["text"].rlike(model.screen))
-    words = F.transform("lines", lambda p: F.struct(p["paragraph"].alias("paragraph"), tokens(p["text"]).alias("words")))
-    scored = F.transform("words", lambda p: F.struct(p["paragraph"].alias("paragraph"), model.scores(grams(p["words"])).alias("scores"), F.concat(F.lit(" "), F.array_join(p["words"], " "), F.lit(" ")).alias("joined")))
-    out = docs.select(F.col(id_col).alias("id"), lines.alias("lines")).select("id", words.alias("words")).select("id", scored.alias("scored"))
+        blocks = F.filter(blocks, lambda p: p["text"].rlike(model.screen))
+    words = F.transform("blocks", lambda p: F.struct(p["paragraph"].alias("paragraph"), tokens(p["text"]).alias("words")))
+    cut = F.flatten(F.transform("words", lambda p: F.transform(windows(p["words"]), lambda w: F.struct(p["paragraph"].alias("paragraph"), w.alias("words")))))
+    scored = F.transform("cut", lambda p: F.struct(p["paragraph"].alias("paragraph"), model.scores(grams(p["words"])).alias("scores"), F.concat(F.lit(" "), F.array_join(p["words"], " "), F.lit(" ")).alias("joined")))
+    out = docs.select(F.col(id_col).alias("id"), blocks.alias("blocks")).select("id", words.alias("words")).select("id", cut.alias("cut")).select("id", scored.alias("scored"))
     return out.select(F.col("id").alias(id_col), model.judged(F.col("scored")).alias("found"))
 
 
 def licences(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row a document: its id, licences (confirmed families in order, comma-joined), n_confirmed and n_unconfirmed paragraphs, and best, the highest confidence of a confirmed one (0 if none)."""
-    likely = F.filter("found", lambda p: p["confidence"] >= CONFIDENCE)
-    sure = F.filter(likely, lambda p: p["similarity"] >= SIMILARITY)
-    got = scan(docs, model, id_col, text_col).select(id_col, likely.alias("likely"), sure.alias("sure"))
+    """A row a document: its id, licences (confirmed families in order, comma-joined), n_confirmed (families of paragraphs), n_unconfirmed (paragraphs with likely families of which none is confirmed), and best, the highest confidence of a confirmed one (0 if none)."""
+    sure = F.filter("found", lambda p: p["similarity"] >= SIMILARITY)
+    got = scan(docs, model, id_col, text_col).select(id_col, "found", sure.alias("sure"))
+    pairs = F.array_distinct(F.transform("sure", lambda p: F.struct(p["paragraph"], p["family"])))
     return got.select(
-        id_col, F.array_join(F.array_sort(F.array_distinct("sure.family")), ",").alias("licences"), F.size("sure").cast("long").alias("n_confirmed"),
-        (F.size("likely") - F.size("sure")).cast("long").alias("n_unconfirmed"), F.coalesce(F.array_max("sure.confidence"), F.lit(0.0)).alias("best"),
+        id_col, F.array_join(F.array_sort(F.array_distinct("sure.family")), ",").alias("licences"), F.size(pairs).cast("long").alias("n_confirmed"),
+        F.size(F.array_except("found.paragraph", "sure.paragraph")).cast("long").alias("n_unconfirmed"), F.coalesce(F.array_max("sure.confidence"), F.lit(0.0)).alias("best"),
     )
 
 

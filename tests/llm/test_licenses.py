@@ -60,3 +60,42 @@ def test_query(spark):
     texts = dict(oracle.rows("SELECT doc_id, text FROM documents"))
     found = {r.doc_id: r.licences for r in got.collect()}
     assert found == {k: ",".join(sorted({f for line in t.split("\n") for n, f in LINES.items() if n in line})) for k, t in texts.items()}
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+GNU = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU{} General Public License as published by
+ * the Free Software Foundation, either version {} of the License, or
+ * (at your option) any later version."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+BSD = """3. Neither the name of the University nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission."""
+WRAPPED = "This file is offered to everybody under the Apache License,\nVersion 2.0, by its authors."
+
+
+def test_notices_and_bodies(spark, model):
+    filler = "\n".join(["the thon of erble heon tion ande"] * 300)
+    texts = [MIT, GNU.format("", 3), GNU.format("", 2), GNU.format(" Lesser", 3), ISC, BSD, WRAPPED, f"{filler}\n{GNU.format('', 3)}\n{filler}\n{MIT}\n{filler}", f"{MIT}\n *\n{WRAPPED}\n\n{ISC}"]
+    got = rows(spark, model, texts)
+    assert [got[k].licences for k in range(9)] == ["mit", "gpl-3.0", "gpl-2.0", "lgpl-3.0", "isc", "bsd-3-clause", "apache-2.0", "gpl-3.0,mit", "apache-2.0,isc,mit"]
+    assert got[8].n_confirmed == 3
+
+
+def test_like_texts_of_other_licences(spark, model):
+    texts = [GNU.format(" Affero", 3), GNU.format(" Lesser", "2.1"), MIT.replace("deal\nin", "deal\nwith"), MIT.split(", subject")[0] + ".", ISC.split(", provided")[0] + "."]
+    got = rows(spark, model, texts)
+    assert [got[k].licences for k in range(5)] == [""] * 5
+
+
+def test_several_families_in_a_paragraph(spark, model):
+    got = rows(spark, model, ["Licensed under the Apache License, Version 2.0 or released under the MIT License.", "Distributed under the terms of the GNU General Public License, version 2."])
+    assert got[0].licences == "apache-2.0,mit" and got[0].n_confirmed == 2
+    assert got[1].licences == "gpl-2.0"
