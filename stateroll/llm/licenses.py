@@ -32,7 +32,7 @@ from stateroll.llm.common import table, written
 from stateroll.llm.license_texts import BODIES, OTHERS
 
 CONFIDENCE, SIMILARITY, SHINGLE = 0.5, 0.8, 5
-#: Paragraphs of the corpus in the unknown class, and words and pairs in the model.
+#: Paragraphs of the corpus in the unknown class, and words and pairs in the model besides those of the templates.
 MAX_UNKNOWN, MAX_GRAMS = 4_000, 6_000
 #: Words of a window and of the step to the next, for names and for bodies.
 SPANS = [(32, 16), (256, 128)]
@@ -95,6 +95,15 @@ def fixed_value(value: object, schema: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), schema)
 
 
+def template_grams() -> list[str]:
+    """Different words and pairs of neighbours of all templates."""
+    out: set[str] = set()
+    for _, text in templates():
+        words = re.findall(TOKEN, text)
+        out.update(words, map(" ".join, zip(words, words[1:])))
+    return sorted(out)
+
+
 def local(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
     """A table of few fixed rows, from an SQL VALUES list."""
     quote = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -170,7 +179,7 @@ def similarity(family: Column, joined: Column) -> Column:
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import CountVectorizer
+    from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 
     spark = docs.sparkSession
     families = sorted(FAMILIES)
@@ -195,7 +204,12 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     # a body has few rows: the plain one is always learned from
     held = (F.col("body") == 0) & (F.pmod(F.xxhash64("text"), F.lit(4)) == 0)
     rows = written(rows.select("label", held.alias("held"), tokens(F.col("text")).alias("words")).select("label", "held", grams(F.col("words")).alias("grams")))
-    counted = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=MAX_GRAMS, minDF=2, binary=True).fit(rows)
+    # what the templates say is always in the model, however common the corpus' own words are
+    said = template_grams()
+    frequent = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=MAX_GRAMS + len(said), minDF=2, binary=True).fit(rows).vocabulary
+    known = set(said)
+    counted = CountVectorizerModel.from_vocabulary(said + [g for g in frequent if g not in known][:MAX_GRAMS], inputCol="grams", outputCol="features")
+    counted.setBinary(True)
     fit = LogisticRegression(family="multinomial", elasticNetParam=0.8, regParam=0.0005, maxIter=60).fit(counted.transform(rows.where("NOT held")))
     matrix, bias = fit.coefficientMatrix.toArray(), fit.interceptVector.toArray()
     if len(bias) < len(families) + 1:

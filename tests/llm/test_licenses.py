@@ -99,3 +99,11 @@ def test_several_families_in_a_paragraph(spark, model):
     got = rows(spark, model, ["Licensed under the Apache License, Version 2.0 or released under the MIT License.", "Distributed under the terms of the GNU General Public License, version 2."])
     assert got[0].licences == "apache-2.0,mit" and got[0].n_confirmed == 2
     assert got[1].licences == "gpl-2.0"
+
+
+def test_frequent_corpus_words_leave_the_templates_grams(spark, monkeypatch):
+    monkeypatch.setattr(op, "MAX_GRAMS", 200)
+    few = op.train(spark.read.parquet(f"{oracle.SF}/documents.parquet"))
+    want = op.templates()
+    got = rows(spark, few, [t for _, t in want])
+    assert sum(got[k].licences == f for k, (f, _) in enumerate(want)) >= 0.97 * len(want)
