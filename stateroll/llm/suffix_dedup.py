@@ -262,7 +262,8 @@ def repeated_spans(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
     large = written(kinds.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > KINDS).select("g"))
     wanted = met.where("NOT single").join(kinds.select(F.col("gram").alias("g"), F.col("kind").alias("k"), "own"), (F.col("gram") == F.col("g")) & (F.col("kind") == F.col("k")) & (F.col("k1") == F.col("own")))
     fields = F.struct(*[F.col(c).cast("long").alias(c) for c in ("begin", "size", "place", "gram", "kind")])
-    wanted = wanted.groupBy(F.col("k1").alias("w1"), F.col("k2").alias("w2")).agg(F.collect_list(fields).alias("wanted"))
+    # sets: rows that repeat in id and text share their key, and add nothing to the group
+    wanted = wanted.groupBy(F.col("k1").alias("w1"), F.col("k2").alias("w2")).agg(F.collect_set(fields).alias("wanted"))
     fetched = written(keyed.join(wanted, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))).select("text", "wanted").mapInArrow(_fetch, "gram long, kind long, place short, bytes binary"))
 
     few = fetched.join(large, F.col("gram") == F.col("g"), "left_anti")
@@ -283,7 +284,7 @@ def repeated_spans(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
     spans = spans.union(met.where("NOT single").join(whole, same, "left_semi").select("k1", "k2", full.alias("span")))
     partly = met.where("NOT single").join(part, same).select("k1", "k2", "begin", F.explode("runs").alias("r"))
     spans = spans.union(partly.select("k1", "k2", F.struct((begin + F.col("r.low")).alias("b"), (begin + F.col("r.high") - 1 + width).alias("e")).alias("span")))
-    return spans.groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
+    return spans.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
 
 
 def _merged(spans) -> list[tuple[int, int]]:

@@ -86,3 +86,12 @@ def test_empty(spark):
 
 def test_query(spark):
     assert oracle.frame(QUERIES["op7_suffix_dedup"](spark, oracle.SF)) == brute(oracle.rows("SELECT doc_id, text FROM documents"), 200)
+
+
+def test_repeated_rows_add_nothing_to_a_group(spark):
+    docs = fixture(5)
+    docs += [(3, docs[3][1])] * 40 + [(None, docs[5][1])] * 40
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for r in op.repeated_spans(op._keyed(df, "doc_id", "text")).collect():
+        assert len(r.spans) == len(set(r.spans))
+    assert oracle.frame(op.removals(df)) == brute(docs, 200)
