@@ -7,17 +7,25 @@ leftmost of equals). Equal windows have equal anchors at equal places, and some
 so a row of the shuffle is an anchor, with the stretch of text that its windows cover, and not a window.
 
   1. Anchors are counted by their gram. A gram that occurs once has no repeated window: most stop here.
-  2. If all stretches of a gram are equal, all their windows repeat. These need no further pass.
-  3. Else one stretch of each kind is fetched, and a task sorts the windows of a gram's kinds: passes of 8 bytes, which
-     split groups and drop the windows that are alone, until the depth is reached. Grams of more than KINDS kinds are
-     instead dealt by a hash of each window (128 bits), so no group is large.
-
-A hash decides in step 2 (two of 64 bits together) and for the largest grams; the passes of step 3 compare bytes.
+  2. Stretches of a gram that are equal are one kind; a kind that occurs twice repeats whole. If all stretches of a
+     gram are of one kind, they need no further pass.
+  3. Else one stretch of each kind is fetched. A task sorts the windows of a gram's kinds: passes of 8 bytes, which
+     split groups and drop the windows that are alone, until the depth is reached.
+  4. A group of more than KINDS kinds is first dealt by its next digit: each stretch is cut in two halves by how many
+     bytes its windows have before the anchor, and all windows of a half share a core longer than the gram. Equal
+     halves repeat whole and go on as one; the others meet in groups of their core, which are sorted as in 3 or dealt
+     again. A half of one window is all core, so this ends after eight passes, and a passage that a third of all rows
+     share costs a few rows each of them, not one for each window.
+
+In steps 3 and 4 bytes are compared. In step 2 stretches of one gram are held equal if 64 bits of another hash, their
+size and the anchor's place agree; two that differ are taken for one with a chance of 2**-64 a pair of one gram.
 Everything is judged on the input. Texts go through in steps of bounded size: where a stretch is cut by the end of a
 step, it is another kind, and step 3 resolves it.
 
-Defined cases: null is empty; texts shorter than `width` keep all; the rows of a repeated (id, text) get equal results
-and count as repeats of each other; matches never cross documents.
+Defined cases: null is empty; texts shorter than `width` keep all; very long texts go through in overlapping pieces;
+the rows of a repeated (id, text) get equal results and count as repeats of each other; rows of null id are rows like
+any other; an empty table gives none; matches never cross documents; columns of any name stay, as operators work on
+id and text alone and rows are carried as one struct.
 """
 
 from __future__ import annotations
@@ -32,13 +40,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stateroll.llm.common import small_batches, steps, table, text_buffers, with_row, written
+from stateroll.llm.common import drop_written, shared_dir, small_batches, steps, table, text_buffers, with_row, written
 from stateroll.llm.textarrays import BASE, INVERSE, kept_powers, mix
 
 WIDTH = 200
 GRAM = 64
-#: Kinds of one gram that a task sorts.
-KINDS = 5_000
+#: Slices of one group that a task sorts; larger groups get another pass of the shuffle first.
+KINDS = 500
+#: An odd multiplier for the hash of stretches, other than that of grams, and its inverse modulo 2**64.
+BASE_KIND = 0xD1B54A32D192ED03
+INVERSE_KIND = pow(BASE_KIND, -1, 1 << 64)
 #: Bytes of texts handled at a time.
 STEP = 1 << 20
 
@@ -74,6 +85,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> dic
         return none
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * kept_powers(n, BASE), out=sums[1:])
+    apart = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * kept_powers(n, BASE_KIND), out=apart[1:])
     back = kept_powers(n + 1, INVERSE)
     grams = mix((sums[gram:] - sums[:-gram]) * back[: n - gram + 1])
     at = least_in_window(grams, width - gram + 1)
@@ -89,7 +102,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> dic
     cut = np.flatnonzero((at[1:] != at[:-1]) | (text[1:] != text[:-1])) + 1
     first, last = np.r_[0, cut], np.r_[cut, len(start)] - 1
     begin, end, place = start[first], start[last] + width, at[first]
-    kind = mix((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + (place - begin).astype(np.uint64) * np.uint64(0x165667B19E3779F9))
+    kind = mix((apart[end] - apart[begin]) * kept_powers(n + 1, INVERSE_KIND)[begin] + (end - begin).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + (place - begin).astype(np.uint64) * np.uint64(0x165667B19E3779F9))
     return {"text": text[first], "begin": begin, "end": end, "gram": grams[place].view(np.int64), "kind": kind.view(np.int64), "place": place}
 
 
@@ -171,19 +184,26 @@ def _runs(rep: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndar
     return part, b - first[part], e - first[part]
 
 
-def _sorted_kinds(width: int):
-    """Over rows (gram, kind, place, bytes) that lie by gram: (gram, kind, low, high), the runs of repeated windows of each kind."""
+#: A slice of a stretch: its group, whose stretch it is, where it begins there, the anchor's place in it, the range of bytes before the anchor that its windows have, and whether all of it is known to repeat.
+SLICE = "group long, gram long, kind long, at short, place short, low short, high short, done boolean, bytes binary"
+SLICE_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int16(), pa.int16(), pa.bool_(), pa.binary())
+NAMES = [f.split()[0] for f in SLICE.split(", ")]
+
+
+def _sorted_slices(width: int):
+    """Over slices that lie by group: (gram, kind, low, high), the runs of repeated windows of each that isn't done."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            grams, kinds, place = (t.column(c).to_numpy() for c in ("gram", "kind", "place"))
+            groups, grams, kinds, at, place = (t.column(c).to_numpy() for c in NAMES[:5])
+            known = t.column("done").to_numpy()
             whole = t.column("bytes").combine_chunks().cast(pa.large_binary())
             off = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
             flat = np.frombuffer(whole.buffers()[2], np.uint8)
-            cut = np.r_[0, np.flatnonzero(grams[1:] != grams[:-1]) + 1, len(grams)]
-            # several grams at a time, so that the arrays of a step stay near STEP bytes
+            cut = np.r_[0, np.flatnonzero(groups[1:] != groups[:-1]) + 1, len(groups)]
+            # several groups at a time, so that the arrays of a step stay near STEP bytes
             for a, b in steps(off[cut[1:]] - off[cut[:-1]], STEP // 8):
                 r = slice(cut[a], cut[b])
                 size = off[r.start + 1 : r.stop + 1] - off[r] - width + 1
@@ -191,17 +211,19 @@ def _sorted_kinds(width: int):
                 row = np.repeat(np.arange(len(size)), size)
                 within = np.arange(len(row)) - first[row]
                 before = place[r].astype(np.int64)[row] - within  # bytes before the anchor
-                number = np.cumsum(np.r_[0, grams[r][1:] != grams[r][:-1]])[row]
+                number = np.cumsum(np.r_[0, groups[r][1:] != groups[r][:-1]])[row]
                 rep = repeated_windows(flat, off[r][row] + within, number * (width + 1) + before, width)
                 part, low, high = _runs(rep, first, size)
+                new = ~known[r][part]
+                part, low, high = part[new], low[new] + at[r][part[new]], high[new] + at[r][part[new]]
                 yield pa.RecordBatch.from_arrays([pa.array(grams[r][part]), pa.array(kinds[r][part]), pa.array(low.astype(np.int16)), pa.array(high.astype(np.int16))], names=["gram", "kind", "low", "high"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([*held, batch])
-            grams = t.column("gram").to_numpy()
-            cut = int(np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])[-1])  # the last gram may go on
+            groups = t.column("group").to_numpy()
+            cut = int(np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])[-1])  # the last group may go on
             if cut:
                 yield from done(t.slice(0, cut))
             held = t.slice(cut).combine_chunks().to_batches()
@@ -211,73 +233,84 @@ def _sorted_kinds(width: int):
     return run
 
 
-def _window_rows(width: int):
-    """Each window of each kind, by a hash of 128 bits."""
+def _halved(width: int):
+    """Each slice in two, by how many bytes its windows have before the anchor; all windows of a half share its core, the digit of the next pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            for s in range(0, b.num_rows, 500):
-                part = b.slice(s, 500)
-                row, at, h1, h2 = [], [], [], []
-                for k, raw in enumerate(part.column("bytes").to_pylist()):
-                    for i in range(len(raw) - width + 1):
-                        d = xxhash.xxh3_128_digest(raw[i : i + width])
-                        row.append(k)
-                        at.append(i)
-                        h1.append(int.from_bytes(d[:8], "big", signed=True))
-                        h2.append(int.from_bytes(d[8:], "big", signed=True))
-                rows = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("gram").take(rows), part.column("kind").take(rows), pa.array(at, pa.int16()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=["gram", "kind", "at", "h1", "h2"])
+            for s in range(0, b.num_rows, 1000):
+                rows = []
+                for group, gram, kind, at, place, low, high, done, raw in zip(*(b.slice(s, 1000).column(c).to_pylist() for c in NAMES), strict=True):
+                    middle = (low + high) // 2
+                    for least, most in ((low, middle), (middle, high)):
+                        first, last = max(0, place - most + 1), min(len(raw) - width, place - least)
+                        if least < most and first <= last:
+                            core = raw[place - least : place - most + 1 + width]
+                            digit = xxhash.xxh3_64_intdigest(core, (group + least * 0x9E3779B1 + most) & (1 << 64) - 1)
+                            rows.append((digit - (1 << 64) if digit >> 63 else digit, gram, kind, at + first, place - first, least, most, done, raw[first : last + width]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(NAMES), SLICE_TYPES, strict=True)], names=NAMES)
 
     return run
 
 
-STRETCH = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("begin", "size", "place", "gram", "kind")]))
+def _fetch(depth: int):
+    """From rows (text, wanted): the slices of the wanted stretches, one of each kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: dict[tuple[int, int], tuple] = {}
+            for text, wanted in zip(b.column("text"), b.column("wanted").to_pylist(), strict=True):
+                raw = text.as_py().encode()
+                for w in wanted:
+                    out.setdefault((w["gram"], w["kind"]), (w["gram"], w["gram"], w["kind"], 0, w["place"], 0, depth, w["n"] > 1, raw[w["begin"] : w["begin"] + w["size"]]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out.values(), strict=True) if out else [[]] * len(NAMES), SLICE_TYPES, strict=True)], names=NAMES)
 
+    return run
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (text, wanted): gram, kind, place and bytes of each wanted stretch, one of each kind."""
-    for b in batches:
-        out: dict[tuple[int, int], tuple[int, bytes]] = {}
-        for text, wanted in zip(b.column("text"), b.column("wanted").to_pylist(), strict=True):
-            raw = text.as_py().encode()
-            for w in wanted:
-                out.setdefault((w["gram"], w["kind"]), (w["place"], raw[w["begin"] : w["begin"] + w["size"]]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([g for g, _ in out], pa.int64()), pa.array([k for _, k in out], pa.int64()), pa.array([p for p, _ in out.values()], pa.int16()), pa.array([r for _, r in out.values()], pa.binary())],
-            names=["gram", "kind", "place", "bytes"],
-        )
+
+def _repeated_runs(slices: DataFrame, width: int) -> DataFrame:
+    """Of slices in groups: (gram, kind, low, high), runs of windows that repeat in their group. Groups of more than KINDS are dealt by their next digit, until none is left."""
+    found = None
+    while True:
+        sizes = written(slices.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("done")).alias("open")).where("n > 1 AND open > 0"))
+        few = slices.join(sizes.where(F.col("n") <= KINDS).select("group"), "group", "left_semi").select(NAMES)
+        runs = few.repartition("group").sortWithinPartitions("group").mapInArrow(_sorted_slices(width), "gram long, kind long, low short, high short")
+        found = runs if found is None else found.union(runs)
+        large = sizes.where(F.col("n") > KINDS).select("group")
+        if large.isEmpty():
+            return found
+        dealt = written(slices.join(large, "group", "left_semi").select(NAMES).mapInArrow(_halved(width), SLICE))
+        same = ["group", "low", "high", "place", "bytes"]
+        # equal slices repeat whole, and one of them stands for all in what follows; a last range is one window, so that equal ones are all there is
+        content = written(dealt.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("gram", "kind", "at")).alias("own"), F.max("done").alias("seen")))
+        whole = dealt.where("NOT done").join(content.where("n > 1").select(same), same).select("gram", "kind", F.col("at").alias("low"), (F.col("at") + F.length("bytes") - (width - 1)).cast("short").alias("high"))
+        found = found.union(whole)
+        slices = content.select("group", "own.gram", "own.kind", "own.at", "place", "low", "high", (F.col("seen") | (F.col("n") > 1)).alias("done"), "bytes")
 
 
 def repeated_spans(keyed: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """From (k1, k2, text): a row (k1, k2, spans) for each text with repeated bytes; spans may touch and overlap."""
-    rows = _anchor_rows(keyed, width, gram)
+    path = shared_dir(keyed.sparkSession)
+    rows = written(_anchor_rows(keyed, width, gram), path)
     again = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("kind").alias("low"), F.max("kind").alias("high")).where("n > 1").select(F.col("gram").alias("g"), (F.col("low") == F.col("high")).alias("single"))
     # a table: the join then shuffles both sides itself, and adaptive execution can split a gram that is everywhere
     met = written(rows.join(written(again), F.col("gram") == F.col("g")).drop("g"))
+    drop_written(keyed.sparkSession, path)
 
     kinds = written(met.where("NOT single").groupBy("gram", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("own")))
-    large = written(kinds.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > KINDS).select("g"))
-    wanted = met.where("NOT single").join(kinds.select(F.col("gram").alias("g"), F.col("kind").alias("k"), "own"), (F.col("gram") == F.col("g")) & (F.col("kind") == F.col("k")) & (F.col("k1") == F.col("own")))
-    fields = F.struct(*[F.col(c).cast("long").alias(c) for c in ("begin", "size", "place", "gram", "kind")])
+    same = (F.col("gram") == F.col("g")) & (F.col("kind") == F.col("k"))
+    wanted = met.where("NOT single").join(kinds.select(F.col("gram").alias("g"), F.col("kind").alias("k"), "n", "own"), same & (F.col("k1") == F.col("own")))
+    fields = F.struct(*[F.col(c).cast("long").alias(c) for c in ("begin", "size", "place", "gram", "kind", "n")])
     # sets: rows that repeat in id and text share their key, and add nothing to the group
     wanted = wanted.groupBy(F.col("k1").alias("w1"), F.col("k2").alias("w2")).agg(F.collect_set(fields).alias("wanted"))
-    fetched = written(keyed.join(wanted, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))).select("text", "wanted").mapInArrow(_fetch, "gram long, kind long, place short, bytes binary"))
-
-    few = fetched.join(large, F.col("gram") == F.col("g"), "left_anti")
-    runs = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_kinds(width), "gram long, kind long, low short, high short")
-    if not large.isEmpty():
-        many = fetched.join(large, F.col("gram") == F.col("g"), "left_semi").mapInArrow(_window_rows(width), "gram long, kind long, at short, h1 long, h2 long")
-        twice = many.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("kind").alias("a"), F.max("kind").alias("b")).where("n > 1 AND a <> b").select(F.col("h1").alias("x1"), F.col("h2").alias("x2"))
-        hit = many.join(twice, (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2"))).select("gram", "kind", F.col("at").alias("low"), (F.col("at") + 1).cast("short").alias("high")).distinct()
-        runs = runs.union(hit)
-    # a kind that occurs twice repeats whole
-    alone = kinds.where("n = 1").select(F.col("gram").alias("g"), F.col("kind").alias("k"))
-    part = written(runs.join(alone, (F.col("gram") == F.col("g")) & (F.col("kind") == F.col("k")), "left_semi").groupBy(F.col("gram").alias("g"), F.col("kind").alias("k")).agg(F.collect_list(F.struct("low", "high")).alias("runs")))
+    fetched = written(keyed.join(wanted, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))).select("text", "wanted").mapInArrow(_fetch(width - gram + 1), SLICE))
+    # rows that repeat in id and text fetch the same stretches: one of each is enough, and only kinds that repeat have several
+    slices = fetched.where("NOT done").union(fetched.where("done").dropDuplicates(["gram", "kind"]))
+
+    part = written(_repeated_runs(slices, width).groupBy(F.col("gram").alias("g"), F.col("kind").alias("k")).agg(F.collect_list(F.struct("low", "high")).alias("runs")))
     whole = kinds.where("n > 1").select(F.col("gram").alias("g"), F.col("kind").alias("k"))
-    same = (F.col("gram") == F.col("g")) & (F.col("kind") == F.col("k"))
     begin = F.col("begin").cast("long")
     full = F.struct(begin.alias("b"), (begin + F.col("size")).alias("e"))
     spans = met.where("single").select("k1", "k2", full.alias("span"))
@@ -366,6 +399,3 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removals(table(spark, sf_dir, "documents").select("doc_id", "text"))
-
-
-

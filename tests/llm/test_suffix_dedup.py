@@ -56,6 +56,25 @@ def test_small_steps_and_large_grams(spark, monkeypatch):
     assert oracle.frame(op.removals(df)) == brute(docs, 200)
 
 
+def test_passage_of_many_surroundings(spark, monkeypatch):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    passage = word(260)
+    docs = [(k, word(rng.randint(0, 150)) + passage + word(rng.randint(0, 150))) for k in range(60)]
+    docs += [(100 + k, passage[k : k + 199] + word(40)) for k in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(op, "KINDS", 8)
+    assert oracle.frame(op.removals(df)) == brute(docs, 200)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(10)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(2_500_000))
+    docs = [(1, long), (2, "x" + long[1_048_000:1_049_000] + "y"), (3, long[2_000_000:2_000_199])]
+    got = {r.doc_id: r for r in op.removals(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [(got[k].n_bytes, got[k].n_removed, got[k].n_spans) for k in (1, 2, 3)] == [(2_500_000, 1000, 1), (1002, 1000, 1), (199, 0, 0)]
+
+
 def test_text_left(spark):
     shared = "é" * 150
     docs = [(1, "a" + shared + "bc"), (2, "xyz" + shared), (3, None)]
