@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +21,10 @@ BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's bound on Arrow batches to BATCH_BYTES, so that long texts don't pile up in tasks."""
+    """Lower the session's bound on Arrow batches to BATCH_BYTES, so that long texts don't pile up in tasks.
+
+    Spark reads the bound from the session when a plan runs, so it stays lowered for what the caller runs later.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(name, "67108864").rstrip("b")) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
@@ -29,20 +34,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def working_tables() -> Iterator[list[str]]:
+    """The folders that shared_dir() gives out meanwhile, so that a caller can drop them once their readers are done."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(token)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (a local session of a test), a temporary folder of this machine is set.
+    Where the setting is absent, a session on one machine (as in tests) gets a temporary folder; on a cluster that
+    would be another folder on each machine, so it is an error there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that all executors share")
         import tempfile
 
         root = tempfile.mkdtemp(prefix="stateroll-")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/stateroll-{uuid.uuid4().hex}")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+    if (made := _MADE.get()) is not None:
+        made.append(out)
+    return out
+
+
+def file_system(folder: str):
+    """The store of a folder's URI, and its path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(f"file://{folder[5:]}" if folder.startswith("file:/") and not folder.startswith("file://") else folder)
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, dots included."""
+    return F.col(f"`{name}`")
 
 
 def written(df: DataFrame, path: str | None = None, by: list[str] | None = None) -> DataFrame:

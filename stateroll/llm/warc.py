@@ -10,7 +10,9 @@ Payloads aren't shuffled to find copies: digests are grouped (with partial sums
 are joined back to the pages, by id and digest.
 
 Defined cases: null html is an empty payload; null ids are written as such and are never referred to (a group of null
-ids only is all responses); repeated rows of the smallest id are all responses; null URLs have no Target-URI.
+ids only is all responses); repeated rows of the smallest id are all responses; null URLs have no Target-URI; very long payloads are
+records like any other (an Arrow batch and a range read of their own); an empty table gives no archive and no record;
+of the pages only the three named columns are read, so no other column's name can clash.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stateroll.llm.common import shared_dir, small_batches, table, written
+from stateroll.llm.common import column, file_system, shared_dir, small_batches, table, written
 
 #: Shorter payloads are always written out.
 LEAST_BYTES = 100
@@ -76,13 +78,6 @@ def parse(raw: bytes) -> dict:
     }
 
 
-def file_system(folder: str):
-    """The store of a folder's URI, and its path there."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(f"file://{folder[5:]}" if folder.startswith("file:/") and not folder.startswith("file://") else folder)
-
-
 def _writer(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = file_system(folder)
@@ -117,8 +112,8 @@ def _writer(folder: str):
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
     """Write the archives into folder (one that all executors reach), and give their index, a table."""
     small_batches(pages.sparkSession)
-    body = F.coalesce(F.col(body_col).cast("string"), F.lit(""))
-    all_ = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("html"), F.sha2(body.cast("binary"), 256).alias("digest"))
+    body = F.coalesce(column(body_col).cast("string"), F.lit(""))
+    all_ = pages.select(column(id_col).alias("id"), column(url_col).cast("string").alias("url"), body.alias("html"), F.sha2(body.cast("binary"), 256).alias("digest"))
     light = all_.where(F.octet_length("html") >= LEAST_BYTES).select("id", "digest")
     first = light.groupBy(F.col("digest").alias("d")).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL").select("d", "first")
     again = light.join(written(first), F.col("digest") == F.col("d")).where("id IS NULL OR id <> first").select(F.col("id").alias("again_id"), "d", "first").distinct()

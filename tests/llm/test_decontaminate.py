@@ -64,7 +64,28 @@ def test_only_long_items_blocks_and_shards(spark, monkeypatch):
     want = brute(docs, items)
     assert got(spark, docs, items) == want
     monkeypatch.setattr(op, "BLOCK_BYTES", 100)
+    assert len(op.blocks(spark.createDataFrame(items, "item_id long, text string"), op.shared_dir(spark), "item_id", "text", 13)) > 5
     assert got(spark, docs, items) == want
+    monkeypatch.setattr(op, "SHARD_BYTES", 500)
+    monkeypatch.setattr(op, "SHARD_WORDS", 50)
+    assert got(spark, docs, items) == want
+
+
+def test_parts_of_a_long_item(monkeypatch):
+    monkeypatch.setattr(op, "BLOCK_BYTES", 60)
+    text = " ".join(f"w{k}" for k in range(100))
+    parts = [p.split() for p in op.pieces(text, 13)]
+    assert len(parts) > 4
+    assert {tuple(p[i : i + 13]) for p in parts for i in range(len(p) - 12)} == {tuple(text.split()[i : i + 13]) for i in range(88)}
+    assert min(map(len, parts)) >= 13
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(5)
+    some = lambda n: " ".join(f"v{rng.randint(0, 30000)}" for _ in range(n))
+    items = [(k, some(20)) for k in range(50)]
+    docs = [(k, f"{some(300_000)} {items[k][1]} {some(100_000)}") for k in range(4)] + [(9, " ".join(t for _, t in items) * 40)]
+    assert got(spark, docs, items) == brute(docs, items)
 
 
 def test_empty_tables(spark):
@@ -81,5 +102,22 @@ def test_longest_match(spark):
     assert (r.longest, r.longest_at, r.longest_item, r.hits) == (23, 2, "9", [2, 25])
 
 
+def test_longest_match_below_a_window(spark):
+    words = [f"w{k}" for k in range(30)]
+    d = spark.createDataFrame([(1, " ".join(words[:8] + words[8:10] + words[3:12])), (2, "w1 w2 w3")], "doc_id long, text string")
+    b = spark.createDataFrame([(9, " ".join(words[:10] + ["q"] + words[2:30])), (8, "w9 w3")], "item_id long, text string")
+    r = {x.row.doc_id: x.found for x in op.contamination(d, b, window=15).collect()}
+    assert (r[1].longest, r[1].longest_at, r[1].longest_item, r[1].n_hit) == (10, 0, "9", 2)
+    assert r[2].longest == 3
+
+
+def test_dotted_and_clashing_names(spark):
+    d = spark.createDataFrame([("a b", 1, "x", 2)], "`my.text` string, found int, row string, `my.id` int")
+    b = spark.createDataFrame([(1, "a b")], "`item.id` int, `item.text` string")
+    got = op.contamination(d, b, "my.text", "item.id", "item.text")
+    assert got.select("found.n_hit").first()[0] == 2
+    assert op.decontaminate(d, b, "my.text", item_col="item.id", item_text_col="item.text").columns == d.columns
+
+
 def test_query_against_sql(spark):
     assert oracle.frame(QUERIES["op1_decontaminate"](spark, oracle.SF)) == oracle.rows(SQL["op1_decontaminate"])
