@@ -4,17 +4,21 @@ Vectors are dealt into shards by a hash of their id. A task builds one shard's h
 arrays (a row of neighbour numbers a node and layer), then answers all queries from it, batch by batch: descend
 through the sparse layers, then a best-first search of width EF on the full one. Equal vectors are one node. Answers
 of the shards are merged by a window over each query; scores are inner products in double precision on the original
-vectors. A shard that holds no more than EF nodes is searched whole.
+vectors. All shards are searched through their graphs, whatever their size.
 
 For largest inner products, a shard's vectors get one more component that brings all to the same length (0 in
 queries): neighbours in the graph are then near in every direction, and the order of the inner products is unchanged.
 
-SHARD_ROWS bounds a task's memory; queries stream. Work is queries x shards x log(rows of a shard).
+SHARD_ROWS bounds a task's memory. Queries are a table in the shared folder, from which each shard's task streams
+them; only vectors (once) and answers (k a query and shard) are shuffled. Work is queries x shards x log(rows of a
+shard).
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows of
 null id; vectors meet only vectors of as many components; a query's own id is never among its answers, so rows that
 repeat an id aren't each other's answers, and an id of several vectors counts with its best score, as a candidate and
-as a query; ties go to smaller ids.
+as a query; ties go to smaller ids; repeated rows count once and take no memory; a vector that a third of all rows
+share is one node of each shard; vectors may be as long as an Arrow batch; empty tables give no rows; only the two
+named columns are read, so no other column's name can clash.
 """
 
 from __future__ import annotations
@@ -24,17 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stateroll.llm.common import table
+from stateroll.llm.common import column, file_system, shared_dir, table, written
 
 K = 20
 #: Links of a node on an upper layer (twice as many on the lowest), and the widths of searches: while building, and for answers.
-LINKS, EF_BUILD, EF = 16, 80, 120
+LINKS, EF_BUILD, EF = 16, 80, 250
 #: Vectors of one shard, and shards at least (so that a small table still has several tasks).
-SHARD_ROWS, LEAST_SHARDS = 200_000, 6
+SHARD_ROWS, LEAST_SHARDS = 20_000, 6
+#: Queries that a task reads at a time.
+ASKED_ROWS = 1_000
 
 
 class Graph:
@@ -156,8 +163,6 @@ class Graph:
             self.enter, self.top = node, level
 
     def nearest(self, q: np.ndarray, ef: int) -> np.ndarray:
-        if len(self.x) <= ef:
-            return np.arange(len(self.x))
         at = self.enter
         for layer in range(self.top, 0, -1):
             at = self._greedy(q, at, layer)
@@ -197,53 +202,75 @@ def _vectors(lists: pa.Array) -> np.ndarray:
     return flat.reshape(len(lists), -1)
 
 
-def _answer(k: int, ef: int):
-    """Over rows (shard, asks, size, id, vector) that lie in this order: a shard's vectors, then the queries."""
+def _asked(folder: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The queries of so many components, batch by batch from their table."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, base = file_system(folder)
+    for info in store.get_file_info(fs.FileSelector(base)):
+        if info.path.endswith(".parquet"):
+            with store.open_input_file(info.path) as source:
+                for b in pq.ParquetFile(source).iter_batches(batch_size=ASKED_ROWS):
+                    b = b.filter(pc.equal(b.column("size"), size))
+                    if b.num_rows:
+                        yield b
+
+
+def _answer(k: int, ef: int, folder: str):
+    """Over rows (shard, size, id, vector) that lie in this order: each shard's answers to all queries in folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, vectors, shard = None, [], [], None
+        key, ids, vectors = None, [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if not ids:
+                return
+            shard = Shard(np.concatenate(ids), np.concatenate(vectors))
+            for b in _asked(folder, key[1]):
+                out = [[], [], []]
+                for q, v in zip(b.column("id").to_pylist(), _vectors(b.column("vector")), strict=True):
+                    found, scores = shard.answers(q, v.astype(np.float64), k, ef)
+                    out[0].append(np.full(len(found), q))
+                    out[1].append(found)
+                    out[2].append(scores)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
+
         for b in batches:
             if not b.num_rows:
                 continue
-            columns = [b.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "size", "asks")]
-            now = np.stack([c.astype(np.int64) for c in columns], 1)
+            now = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("shard", "size")], 1)
             cuts = np.r_[0, np.flatnonzero((now[1:] != now[:-1]).any(1)) + 1, len(now)]
             for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if tuple(now[s]) != key:
+                    yield from done()
+                    key, ids, vectors = tuple(now[s].tolist()), [], []
                 part = b.slice(s, e - s)
                 own, x = part.column("id").to_numpy(), _vectors(part.column("vector"))
-                if tuple(now[s][:2]) != key:
-                    key, ids, vectors, shard = tuple(now[s][:2]), [], [], None
-                if not now[s][2]:
-                    ids.append(own.copy())
-                    vectors.append(x.copy())
-                    continue
-                if shard is None and ids:
-                    shard = Shard(np.concatenate(ids), np.concatenate(vectors))
-                    ids, vectors = [], []
-                if shard is None:
-                    continue
-                out = [[], [], []]
-                for q, v in zip(own.tolist(), x, strict=True):
-                    found, scores = shard.answers(q, v.astype(np.float64), k, ef)
-                    out[0].append(np.full(len(found), q))
-                    out[1].append(found)
-                    out[2].append(scores)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
+                new = np.r_[True, (own[1:] != own[:-1]) | (x[1:] != x[:-1]).any(1)]  # repeated rows lie together
+                if ids and own[0] == ids[-1][-1] and (x[0] == vectors[-1][-1]).all():
+                    new[0] = False
+                if new.any():
+                    ids.append(own[new])
+                    vectors.append(x[new])
+        yield from done()
 
     return run
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, ef: int = EF) -> DataFrame:
     """Of each query its k nearest found, by largest inner product: query_id, rank (from 1), vec_id, score."""
-    v = F.col(vector_col)
-    fit = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf"))) & F.exists(v, lambda e: e != 0)
-    take = lambda df: df.where(fit).select(F.col(id_col).cast("long").alias("id"), v.alias("vector"), F.size(v).alias("size"))
+    v = column(vector_col)
+    fit = column(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf"))) & F.exists(v, lambda e: e != 0)
+    take = lambda df: df.where(fit).select(column(id_col).cast("long").alias("id"), v.alias("vector"), F.size(v).alias("size"))
     base = take(vectors)
     n = max(LEAST_SHARDS, -(-base.count() // SHARD_ROWS))
-    rows = base.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("shard"), F.lit(False).alias("asks"), "size", "id", "vector")
-    asked = take(queries).select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard"), F.lit(True).alias("asks"), "size", "id", "vector")
-    dealt = rows.union(asked).repartitionByRange(n, "shard").sortWithinPartitions("shard", "size", "asks", "id")
-    found = dealt.mapInArrow(_answer(k, ef), "query_id long, vec_id long, score double")
+    # every shard's task reads the queries from their table: they go through no shuffle
+    folder = shared_dir(vectors.sparkSession)
+    written(take(queries), folder)
+    rows = base.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("shard"), "size", "id", "vector")
+    dealt = rows.repartitionByRange(n, "shard").sortWithinPartitions("shard", "size", "id", F.xxhash64("vector"))
+    found = dealt.mapInArrow(_answer(k, ef, folder), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
