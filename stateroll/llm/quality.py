@@ -7,7 +7,9 @@ and sent with the model. The difference is brought to 0..1 by a logistic fit on
 densities weren't fitted on. Bounded sample (labelled.MAX_TRAINING_DOCS); texts are read whole; no input but the text;
 no shuffle but the sample's.
 
-Defined cases: null is empty; empty texts have statistics like any other; no labels or one class: score by base rate.
+Defined cases: null is empty; empty texts have statistics like any other; very long texts are read whole; no labels
+or one class: score by base rate; a tie at the threshold is predicted 1; repeated rows get equal rows, and teach once;
+an empty table gives none; only id and text are read, so no other column's name can clash.
 """
 
 from __future__ import annotations

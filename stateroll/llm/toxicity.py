@@ -1,17 +1,20 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five small transducers read a clause word by word: insult (with the arc's weight), threat, target (whom it is said
-to), negation (of what follows in the clause) and reported speech. Their composition is one automaton, whose state at
-the clause's end says what kind of match the clause is; clauses are scored, not words: a clause counts with the
-weight of its heaviest insult, by kind. Target, threat, negation and report arcs are short fixed word lists; insult
-arcs are whole words and word stems (byte prefixes) that labelled documents show to be toxic, weighted by the lower
-bound of their log-odds. What the clause kinds and sums count for is a logistic fit on other labelled documents.
-
-Learned from a bounded sample (labelled.MAX_TRAINING_DOCS documents), two thirds for arcs and one third for weights;
-texts are read whole. No input but the text. No shuffle but that of the training counts.
-
-Defined cases: null and empty texts get the score of a text without matches; no labels: no arc, score by base rate;
-repeated rows get equal rows.
+Four small transducers read a clause word by word and are composed into one: insults and whether they are aimed (a
+target near before or after them), threats (a deed and then, near, whom it is done to), negation of what follows near
+it, and reported speech. Arcs carry weights: an insult's is learned (a word, or word stem, that labelled documents
+show to be toxic, by the lower bound of its log-odds), a threat's is fixed. What the composition accepts are patterns,
+in order and within REACH words: an insult, an aimed insult or a threat, each asserted, negated or reported. A clause
+counts in each kind with its heaviest match; words outside an accepted pattern count nothing. What the kinds count
+for is a logistic fit on other labelled documents.
+
+Target, threat, negation and report words are short fixed lists. Learned from a bounded sample
+(labelled.MAX_TRAINING_DOCS documents), two thirds for arcs and one third for weights; texts are read whole. No input
+but the text. No shuffle but that of the training counts.
+
+Defined cases: null and empty texts get the score of a text without matches; very long texts are scored whole, a step
+of theirs at a time; no labels: no arc, score by base rate; a tie at the threshold is predicted 1; repeated rows get
+equal rows, and teach once; an empty table gives none; columns of any name stay, as rows are carried as one struct.
 """
 
 from __future__ import annotations
@@ -42,7 +45,9 @@ TARGETS = "you your yours yourself they them he she him her tu toi vous votre eu
 NEGATIONS = "not no never nobody nothing ne pas jamais personne nicht kein keine nie niemand nunca jamás nadie"
 REPORTS = "said says say wrote writes quoted quote called reported claimed dit disait écrit cité sagte sagt schrieb zitierte dijo dice escribió citó"
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+#: Symbols of a clause; FAR stands for a gap of more than REACH other words.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, FAR = range(7)
+REACH = 4
 #: Bytes of words (letters and all that isn't ASCII), and those that end a clause.
 LETTER = np.zeros(256, bool)
 LETTER[[*range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
@@ -50,41 +55,76 @@ CLAUSE_END = np.zeros(256, bool)
 CLAUSE_END[list(b".!?;:\n")] = True
 
 
+#: What an arc gives out: an insult's match, that it is aimed, that the last match proves aimed, a threat's match, and what turns a match around.
+HIT, AIMED, AIM, THREATENED, NOT, SAID = 1, 2, 4, 8, 16, 32
+
+
 class Transducer:
-    """Deterministic: a table state -> symbol -> state. What isn't in the table stays."""
+    """Deterministic: state -> symbol -> (state, output). What isn't in the table stays and gives nothing out."""
 
-    def __init__(self, moves: dict[tuple, dict[int, tuple]], start: tuple) -> None:
+    def __init__(self, moves: dict[tuple, dict[int, tuple[tuple, int]]], start: tuple = (0,)) -> None:
         self.moves, self.start = moves, start
 
-    def step(self, state: tuple, symbol: int) -> tuple:
-        return self.moves.get(state, {}).get(symbol, state)
+    def step(self, state: tuple, symbol: int) -> tuple[tuple, int]:
+        return self.moves.get(state, {}).get(symbol, (state, 0))
 
     def compose(self, other: Transducer) -> Transducer:
-        """Both at once; a state is both states. Only states that can be reached."""
+        """Both at once; a state is both states, an output both outputs. Only states that can be reached."""
         start = self.start + other.start
         cut = len(self.start)
-        moves: dict[tuple, dict[int, tuple]] = {}
+        moves: dict[tuple, dict[int, tuple[tuple, int]]] = {}
         todo = [start]
         while todo:
             state = todo.pop()
             if state not in moves:
-                moves[state] = {s: self.step(state[:cut], s) + other.step(state[cut:], s) for s in range(6)}
-                todo += moves[state].values()
+                moves[state] = {}
+                for s in range(7):
+                    (one, gives), (two, gives_too) = self.step(state[:cut], s), other.step(state[cut:], s)
+                    moves[state][s] = one + two, gives | gives_too
+                    todo.append(one + two)
         return Transducer(moves, start)
 
 
-def seen(symbol: int) -> Transducer:
-    """0 until the symbol comes, then 1."""
-    return Transducer({(0,): {symbol: (1,)}}, (0,))
-
-
-#: 0: nothing; 1: a negation is open; 2: it met an insult or threat; 3: an insult or threat came before or without one.
-NEGATED = Transducer({(0,): {NEGATION: (1,), INSULT: (3,), THREAT: (3,)}, (1,): {INSULT: (2,), THREAT: (2,)}, (2,): {}, (3,): {}}, (0,))
-#: 1: reporting before the insult or threat; 2: that was met.
-REPORTED = Transducer({(0,): {REPORT: (1,), INSULT: (3,), THREAT: (3,)}, (1,): {INSULT: (2,), THREAT: (2,)}, (2,): {}, (3,): {}}, (0,))
-GRAMMAR = seen(INSULT).compose(seen(THREAT)).compose(seen(TARGET)).compose(NEGATED).compose(REPORTED)
-
-FEATURES = 13
+#: Insults: 1, a target is near; 2, an insult is near that isn't aimed; 3, one that is.
+INSULTED = Transducer({
+    (0,): {TARGET: ((1,), 0), INSULT: ((2,), HIT)}, (1,): {FAR: ((0,), 0), INSULT: ((3,), HIT | AIMED)},
+    (2,): {FAR: ((0,), 0), TARGET: ((1,), AIM), INSULT: ((2,), HIT)}, (3,): {FAR: ((0,), 0), TARGET: ((1,), 0), INSULT: ((3,), HIT | AIMED)},
+})
+#: A threat is the deed and then, near, whom it is done to.
+THREATENING = Transducer({(0,): {THREAT: ((1,), 0)}, (1,): {TARGET: ((0,), THREATENED), FAR: ((0,), 0)}})
+#: A negation holds for what follows near it, a report for the rest of the clause.
+NEGATED = Transducer({(0,): {NEGATION: ((1,), 0)}, (1,): {FAR: ((0,), 0), INSULT: ((1,), NOT), TARGET: ((1,), NOT)}})
+REPORTED = Transducer({(0,): {REPORT: ((1,), 0)}, (1,): {INSULT: ((1,), SAID), TARGET: ((1,), SAID)}})
+GRAMMAR = INSULTED.compose(THREATENING).compose(NEGATED).compose(REPORTED)
+
+#: Kinds of matches: insult, aimed insult and threat; each asserted, negated or reported.
+PLAIN, DIRECTED, THREATS_MADE = 0, 3, 6
+KINDS = 9
+ASSERTED = [PLAIN, DIRECTED, THREATS_MADE]
+#: The weight of a threat's match, which labels don't teach.
+THREAT_WEIGHT = 3.0
+FEATURES = 8 + KINDS
+
+
+def matches(words: list[tuple[int, float, bool]]) -> list[tuple[int, float]]:
+    """Of a clause's words (symbol, weight, whether a gap is before it): kind and weight of each accepted pattern."""
+    state, out = GRAMMAR.start, []
+    for symbol, weight, far in words:
+        if far:
+            state = GRAMMAR.moves[state][FAR][0]
+        state, gives = GRAMMAR.moves[state][symbol]
+        if gives:
+            turned = 1 if gives & NOT else 2 if gives & SAID else 0
+            if gives & HIT:
+                out.append(((DIRECTED if gives & AIMED else PLAIN) + turned, weight))
+            if gives & AIM:
+                for k in range(len(out) - 1, -1, -1):
+                    if out[k][0] < DIRECTED:
+                        out[k] = out[k][0] + DIRECTED, out[k][1]
+                        break
+            if gives & THREATENED:
+                out.append((THREATS_MADE + turned, THREAT_WEIGHT))
+    return out
 
 
 def _word_hashes(words: str) -> np.ndarray:
@@ -141,47 +181,45 @@ class Matcher:
         clause = np.cumsum(ends)[begin] + np.searchsorted(offsets, begin, "right")  # a text's end ends a clause, too
         threat = member(hashes(data, begin, end), FIXED[0][1]) >= 0
         core = np.flatnonzero((weight > 0) | threat)
-        if not len(core):
-            self._sum(out, n_words, *[np.zeros(0, np.int64)] * 3)
-            return
-        held = np.unique(clause[core])
-        own = np.flatnonzero(member(clause, held) >= 0)  # the words of clauses with an insult or threat
-        symbol = np.zeros(len(own), np.int64)
-        h = hashes(data, begin[own], end[own])
-        for kind, words in FIXED:
-            symbol[member(h, words) >= 0] = kind
-        symbol[weight[own] > 0] = INSULT
-        own, symbol = own[symbol > 0], symbol[symbol > 0]
-        moves, start = GRAMMAR.moves, GRAMMAR.start
-        kinds, docs, weights = [], [], []
-        for _, words in itertools.groupby(zip(clause[own].tolist(), doc[own].tolist(), symbol.tolist(), weight[own].tolist(), strict=True), key=lambda x: x[0]):
-            state, heaviest, row = start, 0.0, 0
-            for _, row, s, w in words:
-                state = moves[state][s]
-                heaviest = max(heaviest, w)
-            insult, threat_, target, negated, reported = state
-            kinds.append((insult, threat_, target, negated == 2, reported == 2))
-            docs.append(row)
-            weights.append(heaviest)
-        self._sum(out, n_words, np.array(docs), np.array(weights), np.array(kinds, np.float64))
+        found: list[tuple[int, int, int, float]] = []
+        if len(core):
+            held = np.unique(clause[core])
+            own = np.flatnonzero(member(clause, held) >= 0)  # the words of clauses with an insult or threat
+            symbol = np.zeros(len(own), np.int64)
+            h = hashes(data, begin[own], end[own])
+            for kind, words in FIXED:
+                symbol[member(h, words) >= 0] = kind
+            symbol[weight[own] > 0] = INSULT
+            own, symbol = own[symbol > 0], symbol[symbol > 0]
+            far = np.r_[False, np.diff(own) > REACH + 1]
+            rows = zip(clause[own].tolist(), doc[own].tolist(), symbol.tolist(), weight[own].tolist(), far.tolist(), strict=True)
+            for n, ((_, row), words) in enumerate(itertools.groupby(rows, key=lambda x: x[:2])):
+                found += [(n, row, kind, w) for kind, w in matches([x[2:] for x in words])]
+        self._sum(out, n_words, found)
 
     @staticmethod
-    def _sum(out: np.ndarray, n_words: np.ndarray, docs: np.ndarray, weights: np.ndarray, kinds: np.ndarray) -> None:
+    def _sum(out: np.ndarray, n_words: np.ndarray, found: list[tuple[int, int, int, float]]) -> None:
+        """A clause counts in each kind with the heaviest match that it has of it."""
         n = len(out)
-        total = lambda v: np.bincount(docs, v, minlength=n) if len(docs) else np.zeros(n)
-        sums = total(weights)
-        heaviest = np.zeros(n)
-        if len(docs):
-            np.maximum.at(heaviest, docs, weights)
-        clauses = np.maximum(total(np.ones(len(docs))), 1)
+        by_kind, heaviest, above = np.zeros((n, KINDS)), np.zeros(n), np.zeros((n, 3))
+        if found:
+            clause, row, kind, weight = (np.array(c) for c in zip(*found, strict=True))
+            order = np.lexsort((-weight, kind, clause))
+            clause, row, kind, weight = clause[order], row[order], kind[order], weight[order]
+            first = np.r_[True, (clause[1:] != clause[:-1]) | (kind[1:] != kind[:-1])]
+            row, kind, weight = row[first], kind[first], weight[first]
+            np.add.at(by_kind, (row, kind), weight)
+            told = np.isin(kind, ASSERTED)
+            np.maximum.at(heaviest, row[told], weight[told])
+            for k, least in enumerate((2, 3, 4)):
+                np.add.at(above[:, k], row[told & (weight > least)], 1)
+        sums = by_kind[:, ASSERTED].sum(1)
         out[:, 1] = heaviest
         out[:, 2] = np.log1p(sums)
-        for column, least in ((3, 2), (4, 3), (5, 4)):
-            out[:, column] = np.log1p(total((weights > least).astype(float)))
+        out[:, 3:6] = np.log1p(above)
         out[:, 6] = sums / np.sqrt(n_words + 5)
         out[:, 7] = np.log1p(n_words) / 5
-        for column in range(5):
-            out[:, 8 + column] = total(kinds[:, column] if len(docs) else weights) / clauses if column else np.log1p(total(kinds[:, 1] if len(docs) else weights))
+        out[:, 8:] = np.log1p(by_kind)
 
 
 def _arc_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

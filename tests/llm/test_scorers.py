@@ -74,28 +74,49 @@ def test_no_labels_one_class_no_documents(spark, frames, op):
 
 
 def test_grammar_kinds():
-    def end(*symbols):
-        state = toxicity.GRAMMAR.start
-        for s in symbols:
-            state = toxicity.GRAMMAR.moves[state][s]
-        return state
-
     t = toxicity
-    assert end(t.TARGET, t.INSULT) == (1, 0, 1, 3, 3)
-    assert end(t.NEGATION, t.INSULT) == (1, 0, 0, 2, 3)
-    assert end(t.INSULT, t.NEGATION) == (1, 0, 0, 3, 3)
-    assert end(t.REPORT, t.OTHER, t.NEGATION, t.THREAT, t.TARGET) == (0, 1, 1, 2, 2)
+
+    def found(*symbols):
+        return t.matches([(s if s >= 0 else -s, 2.0, s < 0) for s in symbols])  # below zero: a gap is before it
+
+    assert found(t.TARGET, t.INSULT) == [(t.DIRECTED, 2.0)]
+    assert found(t.TARGET, -t.INSULT) == [(t.PLAIN, 2.0)]
+    assert found(t.INSULT, t.TARGET) == [(t.DIRECTED, 2.0)]
+    assert found(t.INSULT, -t.TARGET) == [(t.PLAIN, 2.0)]
+    assert found(t.NEGATION, t.INSULT) == [(t.PLAIN + 1, 2.0)]
+    assert found(t.NEGATION, -t.INSULT) == [(t.PLAIN, 2.0)]
+    assert found(t.INSULT, t.NEGATION) == [(t.PLAIN, 2.0)]
+    assert found(t.REPORT, t.TARGET, t.INSULT, t.INSULT) == [(t.DIRECTED + 2, 2.0), (t.DIRECTED + 2, 2.0)]
+    # a threat needs its target after it, and near
+    assert found(t.THREAT, t.TARGET) == [(t.THREATS_MADE, t.THREAT_WEIGHT)]
+    assert found(t.TARGET, t.THREAT) == found(t.THREAT, -t.TARGET) == found(t.THREAT) == []
+    assert found(t.REPORT, t.NEGATION, t.THREAT, t.TARGET) == [(t.THREATS_MADE + 1, t.THREAT_WEIGHT)]
 
 
 def test_clauses_by_kind():
     raw = b"blorg"
     h = toxicity.hashes(np.frombuffer(raw, np.uint8), np.array([0]), np.array([5]))
     m = toxicity.Matcher(h, np.array([4.5]))
-    f = m.features(pa.array(["You blorg! It is fine. They said you blorg, not that.", "blorg is fine", "no", None, "BLORG. blorg"]))
-    assert np.allclose(f[0, 2], np.log1p(9.0)) and f[0, 1] == 4.5
-    assert f[0, 10] == 1.0 and f[0, 12] == 0.5 and f[0, 11] == 0.0
-    assert f[1, 10] == 0 and f[2, 1] == 0 and f[3, 7] == 0
-    assert np.allclose(f[4, 5], np.log1p(2))
+    f = m.features(pa.array(["You blorg! It is fine. They said you blorg, not that.", "blorg is fine", "no", None, "BLORG. blorg", "i will kill them", "they kill time", "not a blorg"]))
+    kind = lambda row, k: f[row, 8 + k]
+    one = np.log1p(4.5)
+    assert kind(0, toxicity.DIRECTED) == one and kind(0, toxicity.DIRECTED + 2) == one and f[0, 1] == 4.5 and np.allclose(f[0, 2], one)
+    assert kind(1, toxicity.PLAIN) == one and kind(1, toxicity.DIRECTED) == 0
+    assert not f[2, 1:7].any() and f[3, 7] == 0
+    assert np.allclose(f[4, 5], np.log1p(2)) and kind(4, toxicity.PLAIN) == np.log1p(9)
+    assert kind(5, toxicity.THREATS_MADE) == np.log1p(toxicity.THREAT_WEIGHT)
+    assert not f[6, 1:7].any() and not f[6, 8:].any()
+    assert kind(7, toxicity.PLAIN + 1) == one and f[7, 1] == 0
+
+
+@pytest.mark.parametrize("op", [toxicity, quality])
+def test_repeated_rows_teach_once(frames, op):
+    docs, labels, _ = frames
+    again = docs.union(docs.where("doc_id % 7 = 3")).union(docs.where("doc_id = 10").crossJoin(docs.sparkSession.range(300)).drop("id"))
+    label = "toxic" if op is toxicity else "quality"
+    assert sample(again, labels, label, 3, 1).count() == sample(docs, labels, label, 3, 1).count()
+    rows = lambda df: {(r.doc_id, r.score) for r in op.score(df, op.train(df, labels)).collect()}
+    assert rows(again) == rows(docs)
 
 
 def test_discriminant_uses_both_covariances():
