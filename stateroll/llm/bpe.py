@@ -3,8 +3,11 @@
 The words of a batch that a worker hasn't met are encoded together: the symbols of all of them lie in one flat
 array, and each round finds every word's lowest-rank adjacent pair by a binary search over the sorted pair keys and
 merges all its occurrences, left to right, in all words at once. Words are remembered in a table of bounded size.
-The pass has no shuffle; a task holds one Arrow batch. Null text is empty; empty texts have no ids; a text of any
-length is read in pieces of words. Repeated rows give equal rows.
+The pass has no shuffle; a task holds one Arrow batch.
+
+Defined cases: null text is empty; empty texts have no ids; a text of any length is read in pieces of words, and the
+table of words stays bounded within it; of equal ranks the leftmost pair is merged first; repeated rows give equal
+rows; an empty table gives none; only id and text are read, so no other column's name can clash.
 """
 
 from __future__ import annotations
@@ -166,9 +169,18 @@ class ByteBpe:
                             own.append(self.merge_rounds([w.encode() for w in run])[0] if long else np.fromiter(map(self.words.__getitem__, run), np.int64))
                     else:
                         own.append(np.fromiter(map(self.words.__getitem__, piece), np.int64, len(piece)))
+                if len(self.words) > 2 * REMEMBERED_WORDS:
+                    self.settle([*parts, own])
+                    self.forget()
             parts.append(own)
+        self.settle(parts)
+        return [np.concatenate(own) if own else np.zeros(0, np.uint32) for own in parts]
+
+    def settle(self, parts: list[list[np.ndarray]]) -> None:
+        """Ids in place of the words' numbers."""
         self.learn()
-        return [np.concatenate([x if x.dtype == np.uint32 else self.gather(x) for x in own]) if own else np.zeros(0, np.uint32) for own in parts]
+        for own in parts:
+            own[:] = [x if x.dtype == np.uint32 else self.gather(x) for x in own]
 
     def gather(self, numbers: np.ndarray) -> np.ndarray:
         n = self.length[numbers]
@@ -189,23 +201,27 @@ def _is_utf8(data: bytes) -> bool:
     return True
 
 
-#: One encoder a worker and vocabulary: its words serve the tasks that follow.
+#: One encoder a worker, of the vocabulary it used last: its words serve the tasks that follow.
 _LOADED: dict[str, ByteBpe] = {}
 
 
-def loaded(path: str) -> ByteBpe:
-    if path not in _LOADED:
-        with open(path, encoding="utf-8") as f:
-            _LOADED[path] = ByteBpe(json.load(f))
-    return _LOADED[path]
+def loaded(vocabulary: str) -> ByteBpe:
+    """The encoder of a vocabulary file's content."""
+    key = hashlib.sha256(vocabulary.encode()).hexdigest()
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = ByteBpe(json.loads(vocabulary))
+    return _LOADED[key]
 
 
 def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, text: bool = False) -> DataFrame:
     """A row a document: its id, n_tokens, `ids` if asked for, `decoded` text if asked for, and SHA-256 of both.
 
-    vocabulary: path of a byte-level BPE vocabulary file that every executor has. Special tokens' strings in a text
-    become their ids, and their text again.
+    vocabulary: path of a byte-level BPE vocabulary file on the driver; its content, some megabytes whatever the corpus,
+    is broadcast. Special tokens' strings in a text become their ids, and their text again.
     """
+    with open(vocabulary, encoding="utf-8") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType(), False)))
@@ -213,7 +229,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
         fields.append(T.StructField("decoded", T.StringType()))
 
     def make():
-        bpe = loaded(vocabulary)
+        bpe = loaded(shared.value)
 
         def run(_, texts: pa.Array) -> dict:
             out = {f.name: [] for f in fields}

@@ -8,6 +8,8 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from stateroll.llm.bpe import NOT_YET, ByteBpe, bpe_round_trip, loaded  # noqa: E402
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+with open(PATH, encoding="utf-8") as f:
+    CONTENT = f.read()
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +27,7 @@ def odd_texts():
 
 
 def test_equals_library(library):
-    bpe = loaded(PATH)
+    bpe = loaded(CONTENT)
     texts = odd_texts()
     for text, got in zip(texts, bpe.encode(texts), strict=True):
         assert got.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
@@ -35,7 +37,7 @@ def test_equals_library(library):
 
 
 def test_decodes_ids_that_are_not_utf8(library):
-    bpe = loaded(PATH)
+    bpe = loaded(CONTENT)
     for ids in ([1, 2, 3], [160, 161], [50256, 222, 5], []):
         assert bpe.decode(np.array(ids, np.uint32)).decode() == library.decode(ids, skip_special_tokens=False)
 
@@ -45,7 +47,31 @@ def test_long_text_in_pieces(library, monkeypatch):
 
     monkeypatch.setattr(module, "PIECE_WORDS", 7)
     text = "It's   a  long\n\n text, 123 words   \n" * 40
-    assert loaded(PATH).encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert loaded(CONTENT).encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_words_of_one_text_are_forgotten(library, monkeypatch):
+    import stateroll.llm.bpe as module
+
+    monkeypatch.setattr(module, "PIECE_WORDS", 50)
+    monkeypatch.setattr(module, "REMEMBERED_WORDS", 100)
+    text = " ".join(f"w{k}x{k * k}" for k in range(4000))
+    bpe = module.ByteBpe(module.json.loads(CONTENT))
+    got = bpe.encode(["a b", text, "b c"])
+    assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in ("a b", text, "b c")]
+    assert len(bpe.words) < 1000
+
+
+def test_query(spark, library):
+    from stateroll.llm.queries import QUERIES
+    from tests.llm import oracle
+
+    want = []
+    for doc, text in oracle.rows("SELECT doc_id, text FROM documents"):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        want.append((hashlib.sha256(back.encode()).hexdigest(), doc, hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), len(ids)))
+    assert oracle.frame(QUERIES["op4_bpe"](spark, oracle.SF)) == sorted(want, key=str)
 
 
 def test_frame(spark, library):
@@ -63,5 +89,5 @@ def test_frame(spark, library):
 
 
 def test_merges_shared_words_once():
-    assert isinstance(loaded(PATH), ByteBpe)
-    assert loaded(PATH) is loaded(PATH)
+    assert isinstance(loaded(CONTENT), ByteBpe)
+    assert loaded(CONTENT) is loaded(CONTENT)
