@@ -26,17 +26,31 @@ def test_turns_come_back(spark):
 
 
 def test_examples(spark):
-    ex = chat.examples(chat.format_conversations(frame(spark)))
-    rows = ex.select("conv_id", "example", chat.context(F.col("formatted"), F.col("start")).alias("context"), "reply", chat.target(F.col("formatted"), F.col("start"), F.col("chars")).alias("target"), "formatted").orderBy("example").collect()
+    ex = chat.examples(chat.format_conversations(frame(spark)).withColumn("whole", F.col("formatted")))
+    rows = ex.select("conv_id", "example", "context", "reply", chat.target(F.col("whole"), F.col("start"), F.col("chars")).alias("target"), "whole").orderBy("example").collect()
     one = [r for r in rows if r.conv_id == 1]
     assert [r.reply for r in one] == ["100%3C <b> %25 é🙂", "", "ok"]
     for r in one:
-        assert r.formatted.startswith(r.context + r.target)
+        assert r.whole.startswith(r.context + r.target)
         assert r.context.endswith("<turn assistant>")
     assert one[2].context.count("</turn>") == 4
     assert {r.conv_id for r in rows} == {1, None, 4}
 
 
+def test_many_turns_in_one_conversation(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"t{k}<") for k in range(3000)]
+    ex = chat.examples(chat.format_conversations(frame(spark, rows)))
+    got = ex.orderBy("example").collect()
+    assert [r.reply for r in got] == [f"t{k}<" for k in range(1, 3000, 2)]
+    assert len(got[-1].context) == got[-1].start and got[-1].context.endswith("<turn assistant>")
+
+
+def test_dotted_names(spark):
+    df = spark.createDataFrame([(1, 1, "assistant", "a")], "`c.id` int, `t.n` int, `the.role` string, `the.text` string")
+    got = chat.examples(chat.format_conversations(df, "c.id", "t.n", "the.role", "the.text")).collect()
+    assert [(r["c.id"], r.reply) for r in got] == [(1, "a")]
+
+
 def test_empty(spark):
     assert chat.format_conversations(frame(spark, [])).count() == 0
 
