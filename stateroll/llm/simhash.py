@@ -12,7 +12,9 @@ buckets stay small and none is cut short. Exact copies are one
 fingerprint before all this. Components follow from the links by large-star/small-star.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; fewer words than a shingle's are one
-shingle; repeated rows get equal rows; a null doc_id takes the component's least id, and is null where all are.
+shingle; repeated rows get equal rows, and one of them stays; a null doc_id takes the component's least id, and is
+null where all are; very long texts are counted in blocks of shingles; an empty table gives none; rows are carried as
+one struct, so columns of any name stay.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stateroll.llm.common import map_texts, table, written
+from stateroll.llm.common import column, map_texts, table, with_row, written
 from stateroll.llm.components import components
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
@@ -56,9 +58,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def row_key(id_col: str, text_col: str):
-    """64 bits over id and text, the same for rows that are equal in both."""
-    return F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+def row_key(own: Column, text: Column) -> Column:
+    """128 bits over id (null is one of its own) and text (null is empty), the same for rows that are equal in both."""
+    own, text = own.cast("string"), F.coalesce(text.cast("string"), F.lit(""))
+    return F.struct(F.xxhash64(own.isNull(), own, text).alias("k1"), F.xxhash64(text, F.lit(SEED), own, own.isNull()).alias("k2"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -70,7 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return run
 
-    keyed = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), row_key(id_col, text_col).alias("key")).alias("own"), F.col(f"`{text_col}`").alias("text"))
+    keyed = docs.select(F.struct(column(id_col).alias("id"), row_key(column(id_col), column(text_col)).alias("key")).alias("own"), column(text_col).alias("text"))
     return map_texts(keyed, "own", "text", [T.StructField("fp", T.LongType())], make, keep="id").select("id.id", "id.key", "fp")
 
 
@@ -203,12 +206,13 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     of_print = prints.groupBy("fp").agg(first)  # copies meet here, before the components do
     kept = of_print.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("kept_key"))
     kept = written(kept.join(prints.groupBy("key").agg(F.count(F.lit(1)).alias("n")), F.col("kept_key") == F.col("key")).select("kept_key", "n"))
-    own = row_key(id_col, text_col) == F.col("kept_key")
-    one, again = kept.where("n = 1"), kept.where("n > 1")
-    stay = docs.join(one, own, "left_semi")
+    rows = with_row(docs).select("row", row_key(F.col("row")[id_col], F.col("row")[text_col]).alias("key"))
+    own = F.col("key") == F.col("kept_key")
+    stay = rows.join(kept.where("n = 1"), own, "left_semi").select("row.*")
+    again = kept.where("n > 1")
     if again.isEmpty():
         return stay
-    return stay.union(docs.join(again, own, "left_semi").dropDuplicates([id_col, text_col]))
+    return stay.union(rows.join(again, own, "left_semi").dropDuplicates(["key"]).select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,6 +97,15 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {k: 100 for k in range(100, 161)} | {k: 1 for k in range(1, 50)}
 
 
+def test_one_row_stays_of_equal_ids_and_of_very_long_texts(spark):
+    long = "word " * 300_000
+    rows = [(None, None, "a"), (None, "", "b"), (0, "", "c"), (0, None, "d"), (5, long + "x", "e"), (6, long + "y", "f"), (6, long + "y", "g")]
+    df = spark.createDataFrame(rows, "`doc.id` long, `the.text` string, row string")
+    got = op.one_of_each_group(df, "doc.id", "the.text")
+    assert got.columns == df.columns
+    assert sorted(r["doc.id"] for r in got.collect()) == [0, 5]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert op.near_duplicates(df).count() == 0
