@@ -3,8 +3,9 @@
 A sparse (elastic-net) multinomial logistic regression over words and word pairs is trained on notices composed from
 the fixed templates below and on notice and body paragraphs of the licences (license_texts), plain and inside running
 text, against paragraphs of the corpus (a bounded sample,
-MAX_UNKNOWN lines of an eighth as many texts) and phrases that merely mention licences: those are the unknown class. The margin between a
-family and unknown is calibrated on a held-out quarter.
+MAX_UNKNOWN lines of an eighth as many texts), phrases that merely mention licences, and licences of no family: those
+are the unknown class. The margin between a family and unknown is calibrated on a held-out quarter and on licences that
+the regression hasn't seen.
 
 A paragraph is a block between blank lines (comment marks alone are blank), however its lines are wrapped. It is scored
 in overlapping windows of its words, of two SPANS, so that a name within 16 words and a text within 128 stand whole in
@@ -12,24 +13,27 @@ one of them. Each family whose confidence passes counts once its templates confi
 words; shorter templates whole) of one of them stand in the window, and among them one that tells it from each other
 licence with shingles in common (the notices of GPL, LGPL and AGPL differ in a word or two).
 
-The scan is row-wise: no shuffle, no Python. Paragraphs without any word or pair that speaks for a family (a positive
-weight) can't reach CONFIDENCE, by the weights themselves, and aren't scored.
+The scan is row-wise: no shuffle, no Python. Where the fitted weights, slope and shift show that paragraphs without any
+word or pair that speaks for a family can't reach CONFIDENCE, those aren't scored.
 
-Defined cases: null and empty texts have no licence; repeated rows get equal rows; an empty table trains on the fixed
-phrases alone.
+Defined cases: null and empty texts have no licence; very long texts are scanned whole, window by window; families that
+tie in a window all count; repeated rows get equal rows; an empty table trains on the fixed phrases alone and gives no
+rows; only id and text are read, so no other column's name can clash.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stateroll.llm.common import table, written
-from stateroll.llm.license_texts import BODIES, OTHERS
+from stateroll.llm.common import column, table, written
+from stateroll.llm.license_texts import BODIES, OTHERS, STRANGERS
 
 CONFIDENCE, SIMILARITY, SHINGLE = 0.5, 0.8, 5
 #: Paragraphs of the corpus in the unknown class, and words and pairs in the model besides those of the templates.
@@ -127,9 +131,15 @@ class Model:
     def __init__(self, families: list[str], bias: list[float], weights: dict[str, list[float]]) -> None:
         self.families, self.bias, self.weights = families, bias, weights
         self.slope, self.shift = 1.0, 0.0
-        speaks = sorted(g for g, w in weights.items() if max(w[1:]) > w[0])
-        # without a gram that speaks for it, no family has a larger margin than its bias
-        self.screen = f"(?<![a-z0-9]){any_of(speaks)}" if speaks and max(bias[1:]) < bias[0] else ""
+
+    @cached_property
+    def screen(self) -> str:
+        """A pattern for the grams that speak for a family (of the calibrated model); none where paragraphs without any of them could pass."""
+        speaks = sorted(g for g, w in self.weights.items() if max(w[1:]) > w[0])
+        # without such a gram no family has a larger margin than its bias, and confidence grows with the margin
+        most = max(self.bias[1:]) - self.bias[0]
+        out = self.slope > 0 and self.slope * most + self.shift < math.log(CONFIDENCE / (1 - CONFIDENCE))
+        return f"(?<![a-z0-9]){any_of(speaks)}" if speaks and out else ""
 
     def scores(self, gs: Column) -> Column:
         # in buckets by a hash: a map is searched from its beginning for each gram
@@ -185,7 +195,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     families = sorted(FAMILIES)
     named = "|".join(["licen[sc]e", "copyright", "gpl", "creative commons", "apache", "mozilla", "mit ", "bsd", "cc by", "cc0"])
     # a bounded sample of texts by their hash, then of their lines
-    text = F.col(text_col).cast("string")
+    text = column(text_col).cast("string")
     chosen = written(docs.where(text.isNotNull()).select(F.xxhash64(text).alias("th")).distinct().orderBy("th").limit(MAX_UNKNOWN // 8))
     few = docs.join(F.broadcast(chosen), F.xxhash64(text) == F.col("th"), "left_semi")
     lines = few.select(F.explode(F.split(F.lower(text), "\n")).alias("text")).where((F.length("text") > 0) & ~F.col("text").rlike(named))
@@ -200,9 +210,11 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     inside = local(spark, reach, "label, text, k, reach").join(around, F.col("k") + 1 == F.col("n"))
     inside = inside.select("label", F.concat_ws(" ", F.slice("w", F.lit(1), F.col("reach")), F.array("text"), F.slice("w", F.col("reach") + 1, F.col("reach"))).alias("text"))
     unknown = local(spark, [(0, t) for t in UNKNOWN], "label, text")
-    rows = fixed.select("label", "text", "body").union(inside.withColumn("body", F.lit(0))).union(unknown.withColumn("body", F.lit(0))).union(corpus.select(F.lit(0), "text", F.lit(0)))
+    # licences of no family: every second one is learned from, the others only calibrate
+    strange = local(spark, [(0, t.lower(), 2 + k % 2) for k, t in enumerate(STRANGERS)], "label, text, body")
+    rows = fixed.select("label", "text", "body").union(inside.withColumn("body", F.lit(0))).union(unknown.withColumn("body", F.lit(0))).union(strange).union(corpus.select(F.lit(0), "text", F.lit(0)))
     # a body has few rows: the plain one is always learned from
-    held = (F.col("body") == 0) & (F.pmod(F.xxhash64("text"), F.lit(4)) == 0)
+    held = ((F.col("body") == 0) & (F.pmod(F.xxhash64("text"), F.lit(4)) == 0)) | (F.col("body") == 3)
     rows = written(rows.select("label", held.alias("held"), tokens(F.col("text")).alias("words")).select("label", "held", grams(F.col("words")).alias("grams")))
     # what the templates say is always in the model, however common the corpus' own words are
     said = template_grams()
@@ -233,14 +245,14 @@ def _by_hash():
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row a document: its id and `found`, an array of (paragraph, family, confidence, similarity): each family whose confidence passes in a window of the paragraph."""
-    text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    text = F.lower(F.coalesce(column(text_col).cast("string"), F.lit("")))
     blocks = F.transform(F.split(text, BLANK), lambda block, i: F.struct(i.alias("paragraph"), block.alias("text")))
-    if model.screen:
-        blocks = F.filter(blocks, lambda p: p["text"].rlike(model.screen))
+    if screen := model.screen:
+        blocks = F.filter(blocks, lambda p: p["text"].rlike(screen))
     words = F.transform("blocks", lambda p: F.struct(p["paragraph"].alias("paragraph"), tokens(p["text"]).alias("words")))
     cut = F.flatten(F.transform("words", lambda p: F.transform(windows(p["words"]), lambda w: F.struct(p["paragraph"].alias("paragraph"), w.alias("words")))))
     scored = F.transform("cut", lambda p: F.struct(p["paragraph"].alias("paragraph"), model.scores(grams(p["words"])).alias("scores"), F.concat(F.lit(" "), F.array_join(p["words"], " "), F.lit(" ")).alias("joined")))
-    out = docs.select(F.col(id_col).alias("id"), blocks.alias("blocks")).select("id", words.alias("words")).select("id", cut.alias("cut")).select("id", scored.alias("scored"))
+    out = docs.select(column(id_col).alias("id"), blocks.alias("blocks")).select("id", words.alias("words")).select("id", cut.alias("cut")).select("id", scored.alias("scored"))
     return out.select(F.col("id").alias(id_col), model.judged(F.col("scored")).alias("found"))
 
 

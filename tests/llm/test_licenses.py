@@ -39,6 +39,30 @@ def test_all_templates(spark, model):
     assert right >= 0.97 * len(want)
 
 
+def test_licences_of_no_family_and_repeated_and_long_texts(spark, model):
+    strange = [t for t in op.STRANGERS]
+    notice = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    texts = [*strange, notice, notice, "word " * 200_000 + "\n\n" + notice + "\n\n" + "word " * 200_000]
+    got = rows(spark, model, texts)
+    assert [got[k].licences for k in range(len(strange))] == [""] * len(strange)
+    assert [got[len(strange) + k].licences for k in range(3)] == ["gpl-3.0"] * 3
+
+
+def test_scores_by_hand(spark, model):
+    import math
+    import re
+
+    text = "released under the mit license. this is other text"
+    words = re.findall(op.TOKEN, text)
+    total = list(model.bias)
+    for g in {*words, *map(" ".join, zip(words, words[1:]))}:
+        total = [a + b for a, b in zip(total, model.weights.get(g, [0.0] * len(total)))]
+    want = 1 / (1 + math.exp(-(total[1 + model.families.index("mit")] - total[0]) * model.slope - model.shift))
+    found = op.scan(spark.createDataFrame([(1, text)], "`doc.id` int, `the.text` string"), model, "doc.id", "the.text").first().found
+    assert [f.family for f in found if f.similarity >= 0.8] == ["mit"]
+    assert abs(next(f.confidence for f in found if f.family == "mit") - want) < 1e-9
+
+
 def test_screen_skips_only_what_cannot_count(spark, model):
     assert model.screen
     df = spark.read.parquet(f"{oracle.SF}/documents.parquet")
