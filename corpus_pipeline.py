@@ -3,6 +3,10 @@
 Each stage gets what its predecessor kept, as a table of the columns of documents, and its decisions take effect:
 toxic documents go; one document of each near-duplicate group stays; repeated bytes leave the texts (whole characters
 only); contaminated documents go; the last stage returns ids, with digests of ids and of the text they decode to.
+
+Defined cases: null texts are empty ones, null ids ids of their own; rows that repeat are near-duplicates of each
+other, and of ties the least id stays; very long texts go through every stage whole; an empty table gives none; columns
+beside those of documents go through unchanged, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stateroll.llm import bpe, decontaminate, simhash, suffix_dedup, toxicity
-from stateroll.llm.common import table, written
+from stateroll.llm.common import drop_written, shared_dir, table, working_tables, written
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's working tables and its input go once its output is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        with working_tables() as made:
+            out = shared_dir(spark)
+            docs = written(stage(spark, docs, sf_dir), out)
+        for path in [*made, before]:
+            if path not in (out, None):
+                drop_written(spark, path)
+        before = out
     return docs
