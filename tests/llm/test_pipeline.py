@@ -65,6 +65,26 @@ def test_stages_against_brute_force(spark, tmp_path):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+def test_nulls_repeats_long_texts_and_other_columns(spark, tmp_path):
+    import shutil
+
+    for name in ("labels", "benchmark"):
+        shutil.copy(f"{oracle.SF}/{name}.parquet", tmp_path / f"{name}.parquet")
+    rng = np.random.default_rng(3)
+    long = " ".join(f"w{k}" for k in rng.integers(0, 1 << 40, 150_000))
+    texts = [(1, "a first text of some words"), (None, "a second text, of no id"), (3, None), (4, ""), (5, long), (6, long + " more"), (7, "a third one"), (7, "a third one"), (None, "a second text, of no id")]
+    rows = [(i, t, "en", "s", len(t or ""), k, "x") for k, (i, t) in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row int, fp string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "row", "fp"], name
+    got = sorted(((r.doc_id, r.text, r.row in (1, 8)) for r in docs.collect()), key=str)
+    assert got == sorted([(1, texts[0][1], False), (None, texts[1][1], True), (3, "", False), (5, long, False), (7, "a third one", False)], key=str)
+    ids = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in ids) == ["1", "3", "5", "7", "None"]
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{oracle.SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
