@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Grains from fine to coarse, with the names that mean them.
+#: Grains from fine to coarse.
 GRAINS = ["hourly", "daily", "weekly", "monthly", "quarterly", "yearly", "summary"]
-ALIASES = {
-    "hour": "hourly", "day": "daily", "week": "weekly", "month": "monthly", "quarter": "quarterly", "year": "yearly", "all": "summary", "all_time": "summary", "total": "summary",
-    "hours": "hourly", "days": "daily", "weeks": "weekly", "months": "monthly", "quarters": "quarterly", "years": "yearly",
-}
+# Other names of grains.
+ALIASES = {"hour": "hourly", "day": "daily", "week": "weekly", "month": "monthly", "quarter": "quarterly", "year": "yearly", "all": "summary", "all_time": "summary", "all-time": "summary"}
 #: The time column that a grain groups by, and the columns that a stored level keeps.
 TIME_COLUMN = {"hourly": "Hour", "daily": "Day", "weekly": "Week", "monthly": "Month", "quarterly": "Quarter", "yearly": "Year"}
 LEVEL_COLUMNS = {"hourly": ["Hour", "Day", "Month"], "daily": ["Day", "Month"], "weekly": ["Week", "Month"], "monthly": ["Month"], "quarterly": ["Quarter", "Year"], "yearly": ["Year"], "summary": []}
@@ -18,7 +16,9 @@ DEFAULT_OUTPUTS = ["Day", "Week", "Month", "Quarter", "Year"]
 
 
 def grain(name: str) -> str:
-    out = ALIASES.get(name.lower(), name.lower())
+    """A grain by any of its names, whatever its case, blanks around it, or blanks for `_`."""
+    asked = "_".join(name.strip().lower().split(" "))
+    out = ALIASES.get(asked, asked)
     if out not in GRAINS:
         raise ValueError(f"unknown grain {name!r}")
     return out

@@ -40,13 +40,26 @@ def running(df: DataFrame, order: list[Column], value: str, total: str = "runnin
     return out.withColumn(total, F.sum(value).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) + F.col("_before_s")).drop("_part", "_before_c", "_before_s")
 
 
-def quantiles(df: DataFrame, column: str, qs: list[float]) -> DataFrame:
-    """One row, one array: exact quantiles, between two values in proportion; nulls don't count, no values: nulls."""
-    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))  # equal values meet first
-    sums = running(values, [F.col("v")], "c", "upto", "_n")
-    n = F.broadcast(values.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total")))
+def quantiles(df: DataFrame, column: str, qs: list[float], keys: list[str] | None = None) -> DataFrame:
+    """Exact quantiles, between two values in proportion, as one array (`quantiles`) a key; nulls don't count.
+
+    Without keys one row, of nulls if there are no values; keys without values have no row. Equal values meet first;
+    then all values are in one order by key and value, so that no task holds a key whole.
+    """
+    keys = keys or []
+    given = df.where(F.col(column).isNotNull())
+    values = given.groupBy(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    own = [f"_k{n}" for n in range(len(keys))]
+    parts = _parts(values, [*[F.col(k) for k in own], F.col("v")]).withColumn("_key", F.struct(F.lit(0), *own))
+    # of each key in each partition, what lies before it: a row a key, and one more for each partition that it goes on in
+    per = parts.groupBy("_key", "_part").agg(F.sum("c").alias("_s"))
+    by_key = W.partitionBy("_key")
+    per = per.select("_key", "_part", F.coalesce(F.sum("_s").over(by_key.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_s").over(by_key).alias("total"))
+    so_far = F.sum("c").over(W.partitionBy("_key", "_part").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = parts.join(per, ["_key", "_part"]).withColumn("upto", so_far + F.col("_before"))
     at = [((F.col("total") - 1) * q) for q in qs]
     inside = lambda place: (F.col("upto") - F.col("c") <= place) & (place < F.col("upto"))
-    rows = sums.crossJoin(n)
-    ends = rows.agg(*[F.max(F.when(inside(f(p)), F.col("v"))).alias(f"_{s}{k}") for k, p in enumerate(at) for s, f in (("a", F.floor), ("b", F.ceil))], F.max("total").alias("total"))
-    return ends.select(F.array(*[F.col(f"_a{k}") + (F.col(f"_b{k}") - F.col(f"_a{k}")) * (p - F.floor(p)) for k, p in enumerate(at)]).alias("quantiles"))
+    ends = [F.max(F.when(inside(f(p)), F.col("v"))).alias(f"_{s}{k}") for k, p in enumerate(at) for s, f in (("a", F.floor), ("b", F.ceil))]
+    got = rows.groupBy(*own).agg(*ends, F.max("total").alias("total"))
+    between = F.array(*[F.col(f"_a{k}") + (F.col(f"_b{k}") - F.col(f"_a{k}")) * (p - F.floor(p)) for k, p in enumerate(at)])
+    return got.select(*[F.col(f"_k{n}").alias(k) for n, k in enumerate(keys)], between.alias("quantiles"))

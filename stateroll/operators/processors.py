@@ -247,10 +247,13 @@ def novelty(df: DataFrame, keys: list[str], customer: str, interaction: str, act
 
 
 def source_order_slice(df: DataFrame, order: list[str]) -> DataFrame:
-    """The rows that the two recipes look at where whole tables are too many: all below 50 000, the second half below 100 000, else 50 000 from the middle."""
+    """A sampling operator: a stretch of rows in the given order. All of fewer than 50 000 rows; from the middle (half, to even) on, all of fewer than 100 000; else 50 000 from there.
+
+    Recipes don't call it; who wants whole tables leaves it out.
+    """
     n = df.count()
     if n < 50_000:
         return df
-    first, size = (n // 2, n - n // 2) if n < 100_000 else (n // 2, 50_000)
+    first, size = (round(n / 2), n) if n < 100_000 else (round(n / 2), 50_000)
     ranked = numbered(df, [F.col(c) for c in order], "_n").withColumn("_n", F.col("_n") - 1)
     return ranked.where((F.col("_n") >= first) & (F.col("_n") < first + size)).drop("_n")

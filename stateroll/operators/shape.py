@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,15 +11,15 @@ from pyspark.sql import functions as F
 from stateroll.operators.ordering import running
 
 
-def _by(cols: list[str]):
-    return W.partitionBy(*[F.col(c) for c in cols] or [F.lit(0)])
-
-
 def indexed(df: DataFrame, series: list[str], x: str, y: str, mode: str = "index") -> DataFrame:
     """Against the first value of each series: index (100 there) or change in percent; null where that value is 0."""
-    base = F.first(y, ignorenulls=True).over(_by(series).orderBy(x).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    if series:
+        base = F.first(y, ignorenulls=True).over(W.partitionBy(*series).orderBy(x).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    else:  # one row
+        df = df.crossJoin(F.broadcast(df.agg(F.min_by(y, F.when(F.col(y).isNotNull(), F.col(x))).alias("_base"))))
+        base = F.col("_base")
     value = F.when(base != 0, F.col(y) / base * 100 if mode == "index" else (F.col(y) / base - 1) * 100)
-    return df.withColumn(f"{y}_{mode}", value)
+    return df.withColumn(f"{y}_{mode}", value).drop("_base")
 
 
 def pareto(df: DataFrame, label: str, value: str) -> DataFrame:
@@ -180,16 +179,21 @@ def lttb(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
 
 
 def downsampled(df: DataFrame, series: list[str], x: str, y: str, points: int = 50_000) -> DataFrame:
-    """Each series' line with at most its share of the points. A line of a report: aggregated already, one series a task."""
+    """Each series' line with at most its share of the points (at least 3), rows as they are. A null y counts as 0.
+
+    A line of a report: aggregated already. Which point a bucket keeps depends on the bucket before, so a series is one task's.
+    """
     n_series = max(1, df.select(*series).distinct().count()) if series else 1
     budget = max(3, points // n_series)
+    names = df.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[y]).sort_values(x, kind="stable")
+        pdf = pdf.sort_values([x, y], kind="stable")
         at = pd.to_datetime(pdf[x]).astype("int64") if not pd.api.types.is_numeric_dtype(pdf[x]) else pdf[x]
-        return pdf.iloc[lttb(at.to_numpy(float), pdf[y].to_numpy(float), budget)]
+        return pdf.iloc[lttb(at.to_numpy(float), pdf[y].fillna(0).to_numpy(float), budget)][names]
 
-    return df.groupBy(*[F.col(s) for s in series] or [F.lit(0)]).applyInPandas(run, df.schema)
+    lines = df if series else df.withColumn("_line", F.lit(0))
+    return lines.groupBy(*(series or ["_line"])).applyInPandas(run, df.schema)
 
 
 def score_column(name: str, property_: str) -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stateroll.operators import ordering
+
 LG_K, LG_K_CPC, KLL_K, TDIGEST_K, TOPK_MAP = 12, 11, 200, 500, 10
 
 
@@ -149,11 +151,15 @@ def exact_distinct(df: DataFrame, keys: list[str], column: str) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], column: str, qs: dict[str, float]) -> DataFrame:
-    return df.groupBy(*keys).agg(*[F.percentile(F.col(column), F.lit(q)).alias(n) for n, q in qs.items()])
+    """Keys without values have no row."""
+    got = ordering.quantiles(df, column, list(qs.values()), keys)
+    return got.select(*keys, *[F.col("quantiles")[k].alias(n) for k, n in enumerate(qs)])
 
 
 def exact_top(df: DataFrame, keys: list[str], column: str, k: int) -> DataFrame:
     """The k most frequent values of each key, ties by value."""
     n = df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(W.partitionBy(*[F.col(x) for x in keys] or [F.lit(0)]).orderBy(F.desc("n"), column))
-    return n.withColumn("rank", rank).where(F.col("rank") <= k)
+    order = [F.desc("n"), F.col(column)]
+    if not keys:  # k rows in all
+        return n.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(W.orderBy(*order)))
+    return n.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)

@@ -62,25 +62,36 @@ def _(t):
     return R.read_json(t.spark, path, schema="event_id long, event_type string, value double")
 
 
+#: Lines of one written archive.
+ARCHIVE_LINES = 5_000
+
+
 def _zipped(uri: str):
-    """Writes a group's lines as one .zip archive of two members; gives how many it wrote."""
+    """Writes lines as .zip archives of two members, ARCHIVE_LINES at most each; a repeated task writes the same names. Gives how many lines each has."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(parts):
         import io
         import zipfile
 
         from pyarrow import fs
+        from pyspark import TaskContext
 
         store, base = fs.FileSystem.from_uri(uri)
         store.create_dir(base, recursive=True)
-        lines, half = pdf["line"].tolist(), len(pdf) // 2
-        held = io.BytesIO()
-        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr("b.ndjson", "\n".join(lines[:half]))
-            z.writestr("a.json", "[" + ",".join(lines[half:]) + "]")
-        with store.open_output_stream(f"{base}/{pdf['day'].iloc[0]}.zip") as out:
-            out.write(held.getvalue())
-        return pd.DataFrame({"n": [len(lines)]})
+        number = 0
+        for pdf in parts:
+            every = pdf["line"].tolist()
+            for at in range(0, len(every), ARCHIVE_LINES):
+                lines = every[at : at + ARCHIVE_LINES]
+                half = len(lines) // 2
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("b.ndjson", "\n".join(lines[:half]))
+                    z.writestr("a.json", "[" + ",".join(lines[half:]) + "]")
+                with store.open_output_stream(f"{base}/{TaskContext.get().partitionId():06d}-{number:06d}.zip") as out:
+                    out.write(held.getvalue())
+                number += 1
+                yield pd.DataFrame({"n": [len(lines)]})
 
     return run
 
@@ -89,8 +100,8 @@ def _zipped(uri: str):
 def _(t):
     path = t.spark._jvm.org.apache.hadoop.fs.Path(scratch(t))
     uri = path.getFileSystem(t.spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString().replace("file:/", "file:///", 1).replace("file://///", "file:///")
-    rows = daily(t).select(c("chunk_id").alias("day"), F.to_json(F.struct("event_id", "event_type", "value")).alias("line"))
-    rows.groupBy("day").applyInPandas(_zipped(uri), "n long").agg(F.sum("n")).collect()  # one number
+    rows = t.events.select(F.to_json(F.struct("event_id", "event_type", "value")).alias("line"))
+    rows.mapInPandas(_zipped(uri), "n long").agg(F.sum("n")).collect()  # one number
     return R.read_archives(t.spark, f"{uri}/*.zip", "event_id long, event_type string, value double")
 
 
@@ -102,6 +113,14 @@ def _(t):
     return df.groupBy(R.chunk_id(r"day=(\d+)").alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("a05_discovered_chunks", "SELECT strftime(ts, '%d') AS chunk_id, true AS has_files, true AS has_bytes FROM events GROUP BY 1")
+def _(t):
+    path = scratch(t)
+    daily(t).select("event_id", "event_type", c("chunk_id").alias("day")).write.partitionBy("day").json(path)
+    found = R.discovered(t.spark, path, "*.zip", r"day=(\d+)", fallback="*.json")
+    return found.select("chunk_id", (c("n_files") > 0).alias("has_files"), (c("n_bytes") > 0).alias("has_bytes"))
+
+
 @query("a07_a08_aggregate_table", "SELECT event_type, CAST(ts AS DATE) AS \"Day\", " + COUNT + " FROM events GROUP BY 1, 2")
 def _(t):
     path = scratch(t)
@@ -139,7 +158,10 @@ def attempts(t):
 
 @query("a10_current_view", f"SELECT CASE WHEN day(ts) % 2 = 0 THEN 'run-2' ELSE 'run-1' END AS run, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(t):
-    stored = chunked(t).unionByName(chunked(t, "run-2"))
+    path = scratch(t)
+    sinks.write_aggregate(chunked(t), path)
+    sinks.write_aggregate(chunked(t, "run-2"), path)
+    stored = sinks.scan_aggregate(t.spark, path, every_attempt=True)
     return sinks.current_view(stored, attempts(t), SPEC).groupBy(c("pipeline_run_id").alias("run"), "event_type").agg(F.sum("n").alias("n"))
 
 
@@ -151,16 +173,17 @@ def _(t):
     return df.withColumn("truncated", F.lit(truncated))
 
 
-@query("a12_governed_tables")
+@query("a12_governed_tables", " UNION ALL ".join(f"SELECT 'governed_events' AS table_name, '{n}' AS column_name, '{k}' AS data_type, count({n}) AS non_null FROM events" for n, k in (("event_id", "bigint"), ("event_type", "string"), ("value", "double"))))
 def _(t):
-    t.events.withColumn("blob", c("event_type").cast("binary")).createOrReplaceTempView("governed_events")
-    return sinks.governed_tables(t.spark).where("table_name = 'governed_events'")
+    t.events.select("event_id", "event_type", "value", c("event_type").cast("binary").alias("blob")).createOrReplaceTempView("governed_events")
+    return sinks.governed_tables(t.spark, ["governed_events"])
 
 
-@query("a13_source_probe")
+@query("a13_source_probe", "SELECT f.field, f.calendar, f.dtype, e.chunks FROM (VALUES ('event_id', false, 'bigint'), ('event_type', false, 'string'), ('Day', true, 'date'), ('Month', true, 'string')) AS f(field, calendar, dtype), (SELECT count(DISTINCT strftime(ts, '%d')) AS chunks FROM events) AS e")
 def _(t):
-    p = R.probe(C.derive_calendar(t.events, "ts"))
-    return p["rows"].withColumn("calendar", F.lit(",".join(p["calendar"])))
+    p = R.probe(C.derive_calendar(t.events, "ts", ["Day", "Month"]).select("event_id", "event_type", "Day", "Month"), chunk=F.date_format("Day", "dd"))
+    fields = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.lit(k).alias("dtype"), F.lit(n in p["calendar"]).alias("calendar")) for n, k in p["schema"]]))
+    return p["chunks"].agg(F.count(F.lit(1)).alias("chunks")).select("chunks", fields.alias("f")).select("f.*", "chunks")
 
 
 @query("m01_pending_chunks", "SELECT strftime(ts, '%d') AS chunk_id FROM events WHERE day(ts) % 3 = 0 GROUP BY 1")
@@ -191,8 +214,8 @@ def _(t):
 @query("m05_partials_from_stream", "SELECT event_type, CAST(ts AS DATE) AS \"Day\", " + COUNT + " FROM events GROUP BY 1, 2")
 def _(t):
     path, source = scratch(t), scratch(t)
-    t.events.repartition(3).write.parquet(source)
-    stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    t.events.write.option("maxRecordsPerFile", 4_000).parquet(source)
+    stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 2).parquet(source)
     build = lambda df: S.build(C.derive_calendar(df, "ts", ["Day"]), ["event_type", "Day"], COUNTS).withColumn("period", F.date_format("Day", "yyyy-MM"))
     I.partials_stream(stream, build, path, scratch(t), SPEC).trigger(availableNow=True).start().awaitTermination()
     return S.merge(sinks.scan_aggregate(t.spark, path, SPEC), ["event_type", "Day"], COUNTS)
@@ -229,16 +252,19 @@ def _(t):
 
 @query("m10_compaction", "SELECT CASE WHEN day(ts) % 2 = 0 THEN 'run-2' ELSE 'run-1' END AS run, count(*) AS n FROM (SELECT ts, event_type FROM events) GROUP BY 1")
 def _(t):
-    stored = chunked(t).unionByName(chunked(t, "run-2"))
-    return I.compacted(stored, attempts(t)).groupBy(c("pipeline_run_id").alias("run")).agg(F.sum("n").alias("n"))
+    path, target = scratch(t), scratch(t)
+    sinks.write_aggregate(chunked(t), path)
+    sinks.write_aggregate(chunked(t, "run-2"), path)
+    I.compact(sinks.scan_aggregate(t.spark, path, every_attempt=True), attempts(t), target)
+    return I.current(t.spark, target).groupBy(c("pipeline_run_id").alias("run")).agg(F.sum("n").alias("n"))
 
 
 @query("m11_clean_rebuild", "SELECT event_type, " + COUNT + " FROM events GROUP BY 1")
 def _(t):
-    staging, target = scratch(t), scratch(t)
+    target = scratch(t)
     halves = {f"half-{k}": (lambda k=k: S.build(daily(t).where(c("event_id") % 2 == k), ["event_type", "Day"], COUNTS).withColumn("period", F.date_format("Day", "yyyy-MM"))) for k in (0, 1)}
-    I.rebuild(t.spark, halves, staging, target, "run-1", SPEC)
-    return S.merge(sinks.scan_aggregate(t.spark, target), ["event_type"], COUNTS)
+    I.rebuild(t.spark, halves, target, "run-1", SPEC)
+    return S.merge(I.current(t.spark, target), ["event_type"], COUNTS)
 
 
 @query("m12_several_processors", "SELECT event_type, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS bought, round(sum(value), 4) AS total, max(value) AS hi FROM events GROUP BY 1")
@@ -333,13 +359,15 @@ def _(t):
     return kind.merge(kind.build(daily(t), ["event_type", "Day"]), ["event_type"]).select("event_type", r(F.sqrt("ss"), 4).alias("norm"))
 
 
-def _spread(v: pd.Series) -> float:
-    return float(v.max() - v.min())
+def _spread(high: pd.Series, low: pd.Series) -> float:
+    return float(high.max() - low.min())
 
 
 @query("q02_grouped_aggregate_udf", "SELECT event_type, round(max(value) - min(value), 4) AS spread FROM events GROUP BY 1")
 def _(t):
-    return t.events.groupBy("event_type").agg(r(F.pandas_udf(_spread, "double")("value"), 4).alias("spread"))
+    # a row a partition and type: what the callback gets doesn't grow with a type's rows
+    parts = t.events.groupBy("event_type", F.spark_partition_id().alias("part")).agg(F.max("value").alias("hi"), F.min("value").alias("lo"))
+    return parts.groupBy("event_type").agg(r(F.pandas_udf(_spread, "double")("hi", "lo"), 4).alias("spread"))
 
 
 @query("q05_query_builder", "SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1 HAVING count(*) > 5 ORDER BY n DESC, user_id LIMIT 10")

@@ -93,21 +93,27 @@ def _(t):
     return rolled(t, POOLED).select("event_type", r("var", 4).alias("var"))
 
 
-DISTINCT_SQL = "SELECT event_type, CAST(count(DISTINCT user_id % 100) AS DOUBLE) AS users FROM events GROUP BY 1"
+NEAR_SQL = "SELECT event_type, count(DISTINCT user_id) AS users, true AS near FROM events GROUP BY 1"
 
 
-@query("d10_hll", DISTINCT_SQL)
+def near_exact(t, kind, lg_k):
+    """The estimate of all users, merged from days, within three standard errors of their exact number."""
+    s = [State("u", kind, "user_id")]
+    got = rolled(t, s).select("event_type", S.estimate("u").alias("estimate"))
+    exact = S.exact_distinct(t.events, TYPE, "user_id")
+    low, high = S.bounds(c("distinct_values"), lg_k)
+    half = (high - low) / 4 * 3 + 1
+    return exact.join(got, "event_type").select("event_type", c("distinct_values").alias("users"), (F.abs(c("estimate") - c("distinct_values")) <= half).alias("near"))
+
+
+@query("d10_hll", NEAR_SQL)
 def _(t):
-    e = by_day(t).withColumn("u", c("user_id") % 100)
-    s = [State("u", "hll", "u")]
-    return S.merge(S.build(e, DAY, s), TYPE, s).select("event_type", S.estimate("u").alias("users"))
+    return near_exact(t, "hll", S.LG_K)
 
 
-@query("d11_cpc_as_hll", DISTINCT_SQL)
+@query("d11_cpc_as_hll", NEAR_SQL)
 def _(t):
-    e = by_day(t).withColumn("u", c("user_id") % 100)
-    s = [State("u", "cpc", "u", size=14)]
-    return S.merge(S.build(e, DAY, s), TYPE, s).select("event_type", S.estimate("u").alias("users"))
+    return near_exact(t, "cpc", S.LG_K_CPC)
 
 
 @query("d12_theta", "SELECT event_type, CAST(count(DISTINCT user_id) AS DOUBLE) AS users, CAST(count(DISTINCT CASE WHEN value > 200 THEN user_id END) AS DOUBLE) AS big FROM events GROUP BY 1")
@@ -116,14 +122,29 @@ def _(t):
     return rolled(t, s).select("event_type", S.estimate("u", "theta").alias("users"), S.estimate("b", "theta").alias("big"))
 
 
-@query("d13_kll")
+def rank_near(t, got, of, off):
+    """Whether the rank that each estimate has among all values of its type is within `off` of what it stands for: `of` names columns and ranks."""
+    e = t.events.where("value IS NOT NULL").join(F.broadcast(got), "event_type")  # got: a row a type
+    up_to = lambda n: F.count_if(c("value") <= c(n)) / F.count(F.lit(1))
+    under = lambda n: F.count_if(c("value") < c(n)) / F.count(F.lit(1))
+    # equal values share a span of ranks
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), *[((up_to(n) >= q - off) & (under(n) <= q + off)).alias(n) for n, q in of.items()])
+
+
+def rank_sql(*names):
+    return f"SELECT event_type, count(value) AS n, {', '.join(f'true AS {x}' for x in names)} FROM events WHERE value IS NOT NULL GROUP BY 1"
+
+
+@query("d13_kll", rank_sql("q1", "median", "q99"))
 def _(t):
-    return rolled(t, [State("q", "kll", "value")]).select("event_type", S.weight("q").alias("n"), S.quantile("q", 0.5).alias("median"))
+    got = rolled(t, [State("q", "kll", "value")]).select("event_type", *[S.quantile("q", q).alias(n) for n, q in (("q1", 0.01), ("median", 0.5), ("q99", 0.99))])
+    return rank_near(t, got, {"q1": 0.01, "median": 0.5, "q99": 0.99}, 0.0165)
 
 
-@query("d14_tdigest_as_kll")
+@query("d14_tdigest_as_kll", rank_sql("q1", "median", "q99"))
 def _(t):
-    return rolled(t, [State("q", "tdigest", "value")]).select("event_type", S.weight("q").alias("n"), S.quantile("q", 0.99).alias("p99"), S.cdf("q", 100.0).alias("below_100"))
+    got = rolled(t, [State("q", "tdigest", "value")]).select("event_type", *[S.quantile("q", q).alias(n) for n, q in (("q1", 0.01), ("median", 0.5), ("q99", 0.99))])
+    return rank_near(t, got, {"q1": 0.01, "median": 0.5, "q99": 0.99}, 0.008)
 
 
 TOP_SQL = """WITH n AS (SELECT user_id % 2 AS half, event_type, count(*) AS n FROM events GROUP BY 1, 2)
@@ -269,7 +290,7 @@ def _(t):
 
 @query("e08_recipe_slice", """
 WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS k, count(*) OVER () AS n FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM n WHERE n < 50000 OR (n < 100000 AND k >= n // 2) OR (n >= 100000 AND k >= n // 2 AND k < n // 2 + 50000)""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM n WHERE n < 50000 OR (n < 100000 AND k >= round_even(n / 2, 0)) OR (n >= 100000 AND k >= round_even(n / 2, 0) AND k < round_even(n / 2, 0) + 50000)""")
 def _(t):
     return P.source_order_slice(t.lineitem, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
@@ -353,9 +374,11 @@ def rounded_sums(df):
     return df.withColumns({"RunnerPropensity": r("RunnerPropensity", 4), "FocalPriority": r("FocalPriority", 2), "RunnerPriority": r("RunnerPriority", 2)})
 
 
-@query("e15_frequency_response", f"""WITH {CONTACTS_SQL}, {RUNNER_SQL},
-f AS (SELECT x.*, least(seq - (SELECT count(*) FROM x AS o WHERE o.u = x.u AND o.a = x.a AND o.p = x.p AND o.s <= x.s - 34560000), 7) :: INTEGER AS frequency FROM x)
-SELECT frequency, {SUMS_SQL} FROM f LEFT JOIN r USING (u, i) GROUP BY 1""")
+EXPOSED_SQL = f"""{CONTACTS_SQL}, {RUNNER_SQL},
+f AS (SELECT x.*, least(seq - (SELECT count(*) FROM x AS o WHERE o.u = x.u AND o.a = x.a AND o.p = x.p AND o.s <= x.s - 34560000), 7) :: INTEGER AS frequency FROM x)"""
+
+
+@query("e15_frequency_response", f"WITH {EXPOSED_SQL} SELECT frequency, {SUMS_SQL} FROM f LEFT JOIN r USING (u, i) GROUP BY 1")
 def _(t):
     return rounded_sums(exposures().build(contacts_source(t), keys=["frequency"]))
 

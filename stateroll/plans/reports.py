@@ -17,7 +17,7 @@ from stateroll.operators import shape as H
 from stateroll.operators import states as S
 from stateroll.operators.states import State
 from stateroll.plans.catalog import query, r
-from stateroll.plans.reductions import contacts_source, exposures, lifecycle, rounded_sums
+from stateroll.plans.reductions import EXPOSED_SQL, NEAR_SQL, SUMS_SQL, contacts_source, exposures, lifecycle, rank_near, rank_sql, rounded_sums
 
 c = F.col
 COUNTS = [State("n", "count"), State("bought", "count", where="event_type = 'purchase'"), State("total", "value_sum", "value")]
@@ -202,10 +202,11 @@ def _(t):
     return catalog.derive(S.merge(stored(t), ["user_id"], COUNTS), "product").select("user_id", r("mean", 9).alias("mean_value"), r("product", 7).alias("weighted"))
 
 
-@query("g02_approx_distinct", "SELECT event_type, CAST(count(DISTINCT user_id % 50) AS DOUBLE) AS users FROM events GROUP BY 1")
+@query("g02_approx_distinct", NEAR_SQL)
 def _(t):
-    e = t.events.withColumn("u", c("user_id") % 50)
-    return M.approx_distinct(S.build(e, ["event_type"], [State("u", "hll", "u")]), "users", "u").select("event_type", "users")
+    got = M.approx_distinct(S.build(t.events, ["event_type"], [State("u", "hll", "user_id")]), "estimate", "u").select("event_type", "estimate")
+    exact = S.exact_distinct(t.events, ["event_type"], "user_id")
+    return exact.join(got, "event_type").select("event_type", c("distinct_values").alias("users"), (F.abs(c("estimate") / c("distinct_values") - 1) < 0.05).alias("near"))
 
 
 @query("g03_topk_items", "SELECT event_type AS item, count(*) AS estimate, count(*) AS lower, count(*) AS upper FROM events GROUP BY 1")
@@ -214,15 +215,28 @@ def _(t):
     return H.topk_rows(got, [], "items").select("item", "estimate", "lower", "upper")
 
 
-@query("g04_quantile")
+@query("g03_topk_bounds", "SELECT event_type AS item, count(*) AS exact, true AS inside, true AS told FROM events WHERE event_type IN ('view', 'click') GROUP BY 1")
 def _(t):
-    return M.quantile(S.build(t.events, ["event_type"], [State("q", "tdigest", "value")]), "p90", "q", 0.9).select("event_type", "p90")
+    """A map of 64 items over two frequent ones and a long tail: it overflows, and the bounds hold the exact counts all the same."""
+    rows = t.events.select(F.when(c("event_type").isin("view", "click"), c("event_type")).otherwise(c("event_id").cast("string")).alias("item"))
+    built = S.build(rows, [], [State("top", "topk", "item", size=6), State("n", "count")])
+    got = H.topk_rows(M.topk_items(built, "items", "top", 2, "n", tracked=64), [], "items")
+    exact = rows.groupBy("item").agg(F.count(F.lit(1)).alias("exact"))
+    return got.join(exact, "item").select("item", "exact", c("exact").between(c("lower"), c("upper")).alias("inside"), (c("lower") < c("upper")).alias("told"))
 
 
-@query("g05_distribution")
+@query("g04_quantile", rank_sql("p90"))
+def _(t):
+    got = M.quantile(S.build(t.events, ["event_type"], [State("q", "tdigest", "value")]), "p90", "q", 0.9).select("event_type", "p90")
+    return rank_near(t, got, {"p90": 0.9}, 0.008)
+
+
+@query("g05_distribution", rank_sql("p25", "Median", "p75", "p90", "p95").replace(" FROM", ", min(value) AS lo, max(value) AS hi FROM"))
 def _(t):
     s = [State("q", "tdigest", "value"), State("lo", "min", "value"), State("hi", "max", "value")]
-    return M.distribution(S.build(t.events, ["event_type"], s), "q", "lo", "hi").drop("q", "lo", "hi")
+    got = M.distribution(S.build(t.events, ["event_type"], s), "q", "lo", "hi").drop("q", "lo", "hi")
+    near = rank_near(t, got.select("event_type", *M.QUANTILES), M.QUANTILES, 0.008)
+    return near.join(got.select("event_type", c("Min").alias("lo"), c("Max").alias("hi")), "event_type")
 
 
 SCORED_SQL = "e AS (SELECT user_id % 3 AS g, value / 500 AS score, CASE WHEN event_type IN ('click', 'purchase') THEN 1 ELSE 0 END AS flag FROM events)"
@@ -267,10 +281,22 @@ def _(t):
     return M.calibration_bins(scored(t), ["g"], "score", "flag").select("g", "bin", r("bin_mid").alias("bin_mid"), r("predicted").alias("predicted"), r("observed").alias("observed"), "n")
 
 
-@query("g08_calibration_digest")
-def _(t):
+CALIBRATED_SQL = f"""WITH {SCORED_SQL}, b AS (SELECT unnest(range(25)) AS bin), d AS (SELECT bin, ({EDGES})[bin + 1] AS lo, ({EDGES})[bin + 2] AS hi FROM b)
+SELECT k.g, CAST(d.bin AS INTEGER) AS bin, round((lo + hi) / 2, 6) AS bin_mid, true AS near FROM (SELECT DISTINCT g FROM e) k, d"""
+
+
+def calibrated_near(t):
+    """Each bin of the sketches against the exact one, where that holds enough rows to say something."""
     s = [State("p", "tdigest", "score", c("flag") == 1), State("n", "tdigest", "score", c("flag") == 0)]
-    return H.calibration_rows(M.calibration_from_digests(S.build(scored(t), ["g"], s), "p", "n"), ["g"])
+    got = H.calibration_rows(M.calibration_from_digests(S.build(scored(t), ["g"], s), "p", "n"), ["g"])
+    exact = M.calibration_bins(scored(t), ["g"], "score", "flag").select("g", "bin", c("predicted").alias("mean"), c("observed").alias("rate"), "n")
+    near = (F.abs(c("predicted") - c("mean")) < 0.02) & (F.abs(c("observed") - c("rate")) < 0.2)
+    return got.join(exact, ["g", "bin"]).select("g", "bin", r("bin_mid").alias("bin_mid"), ((c("n") < 40) | near).alias("near"))
+
+
+@query("g08_calibration_digest", CALIBRATED_SQL)
+def _(t):
+    return calibrated_near(t)
 
 
 ARMS = "a AS (SELECT event_id % 2 AS v, user_id % 4 AS g, event_type = 'purchase' AS pos FROM events WHERE event_type IN ('purchase', 'view')), n AS (SELECT g, count(*) FILTER (v = 1 AND pos) :: DOUBLE AS x1, count(*) FILTER (v = 1) :: DOUBLE AS n1, count(*) FILTER (v = 0 AND pos) :: DOUBLE AS x2, count(*) FILTER (v = 0) :: DOUBLE AS n2 FROM a GROUP BY 1)"
@@ -312,7 +338,13 @@ def _(t):
     return got.select("g", c("Count").alias("n"), c("Positives").alias("pos"), r("z_score").alias("z"))
 
 
-@query("g11_p_values")
+#: The two-sided tail of a normal value, by the series of the error function.
+TAIL = lambda z: f"(1 - exp(-({z}) * ({z}) / 2) * list_sum(list_transform(range(120), lambda k: power(abs({z}) / sqrt(2.0), 2 * k + 1) / gamma(k + 1.5))))"
+EXPECTED = [(x, total, f"{n} * {share}") for n in ("n1", "n2") for x, total, share in ((n.replace("n", "x"), n, "(x1 + x2) / (n1 + n2)"), (f"({n} - {n.replace('n', 'x')})", n, "(1 - (x1 + x2) / (n1 + n2))"))]
+G_STAT = "2 * (" + " + ".join(f"{x} * ln({x} / ({e}))" for x, _, e in EXPECTED) + ")"
+
+
+@query("g11_p_values", f"WITH {ARMS} SELECT g, round({TAIL(POOLED_Z)}, 6) AS chi2_p, round({TAIL(f'sqrt({G_STAT})')}, 6) AS g_p, round({TAIL(POOLED_Z)}, 6) AS z_p FROM n")
 def _(t):
     got = M.contingency_test(arms(t), ["g"], "v")
     return got.select("g", r("chi2_p").alias("chi2_p"), r("g_p").alias("g_p"), r("z_p").alias("z_p"))
@@ -336,7 +368,7 @@ def _(t):
     return rfm_rows(t).select("o_custkey", "frequency", "tenure", "recency", c("monetary_value").alias("monetary"), "rfm_seg", r("rfm_score").alias("rfm_score"))
 
 
-@query("h11_rfm_segments", RFM_SQL + "SELECT CASE " + " ".join(f"WHEN list_contains({v.split()}, rq || fq || mq) THEN '{k}'" for k, v in rfm.SEGMENTS.items()) + " ELSE 'Unknown' END AS segment, count(*) AS n FROM s GROUP BY 1")
+@query("h11_rfm_segments", RFM_SQL + "SELECT CASE " + " ".join(f"WHEN list_contains({v}, rq || fq || mq) THEN '{k}'" for k, v in rfm.SEGMENTS.items()) + " ELSE 'Unknown' END AS segment, count(*) AS n FROM s GROUP BY 1")
 def _(t):
     return rfm_rows(t).groupBy(c("rfm_segment").alias("segment")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -436,10 +468,10 @@ def _(t):
     return S.build(t.events, ["event_type"], [State("u", "theta", "user_id")]).select("event_type", K.unique_entities("u", "theta").alias("users"))
 
 
-@query("p04_p07_quantile_kpis")
+@query("p04_p07_quantile_kpis", rank_sql("median", "p95", "latency"))
 def _(t):
     g = S.build(t.events, ["event_type"], [State("q", "tdigest", "value")])
-    return g.select("event_type", K.median("q").alias("median"), K.p95("q").alias("p95"), K.latency_p95("q").alias("latency"))
+    return rank_near(t, g.select("event_type", K.median("q").alias("median"), K.p95("q").alias("p95"), K.latency_p95("q").alias("latency")), {"median": 0.5, "p95": 0.95, "latency": 0.95}, 0.008)
 
 
 @query("p09_p12_score_kpis", f"""WITH {SCORED_SQL}, s AS (SELECT g, count(*) AS n, sum(flag) AS pos, sum(score) AS s, sum(score * (1 - score)) AS b, sum((score - 0.2) ** 2) AS d, count(*) FILTER (score > 0 AND 0.2 > score * 0.5) AS up FROM e GROUP BY 1)
@@ -458,7 +490,9 @@ def _(t):
     return g.select("user_id", r(K.funnel_conversion("v", "k")).alias("conversion"), r(K.funnel_drop_off("v", "k")).alias("dropoff"))
 
 
-@query("p17_p22_opportunity_kpis")
+@query("p17_p22_opportunity_kpis", f"""WITH {EXPOSED_SQL}, s AS (SELECT frequency, {SUMS_SQL} FROM f LEFT JOIN r USING (u, i) GROUP BY 1)
+SELECT frequency, round("Clicks" / "Contacts", 6) AS marginal_ctr, round(coalesce("ComparableClicks" / nullif("Comparable", 0), 0), 6) AS comparable_ctr, round(coalesce("RunnerPropensity" / nullif("Comparable", 0), 0), 6) AS expected_ctr, round("Comparable" / "Contacts", 6) AS coverage,
+round(coalesce(("ComparableClicks" - "RunnerPropensity") / nullif("Comparable", 0), 0), 6) AS margin, round(coalesce(("FocalPriority" - "RunnerPriority") / nullif("PriorityComparable", 0), 0), 2) AS gap FROM s""")
 def _(t):
     g = rounded_sums(exposures().build(contacts_source(t), keys=["frequency"]))
     return g.select(
@@ -543,10 +577,15 @@ def _(t):
     return H.histogram(t.events, ["event_type"], "value", 20).select("event_type", "bin", "n")
 
 
-@query("o10_digest_histogram")
+@query("o10_digest_histogram", "SELECT event_type, CAST(b.bin AS INTEGER) AS bin, true AS near FROM (SELECT DISTINCT event_type FROM events), (SELECT unnest(range(20)) AS bin) AS b")
 def _(t):
+    """The mass below each bin's end against the share of all values there."""
     g = H.digest_histogram(S.build(t.events, ["event_type"], [State("q", "tdigest", "value")]), "q", 20)
-    return g.select("event_type", F.posexplode("histogram").alias("bin", "h")).select("event_type", "bin", "h.*")
+    rows = g.select("event_type", F.posexplode("histogram").alias("bin", "h")).select("event_type", "bin", "h.*")
+    below = F.sum("mass").over(W.partitionBy("event_type").orderBy("bin").rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("below", F.coalesce(below, F.lit(0.0)))
+    share = t.events.join(F.broadcast(rows), "event_type").groupBy("event_type", "bin").agg((F.count_if(c("value") < c("left_edge")) / F.count(F.lit(1))).alias("share"), F.first("below").alias("below"))
+    return share.select("event_type", "bin", (F.abs(c("share") - c("below")) < 0.02).alias("near"))
 
 
 @query("o11_curve_rows", CURVE_SQL + " SELECT g, CAST(row_number() OVER (PARTITION BY g ORDER BY fpr, k) - 1 AS INTEGER) AS point, round(fpr, 6) AS x FROM v")
@@ -561,10 +600,9 @@ def _(t):
     return rows.groupBy("g").agg(F.count(F.lit(1)).alias("points"), r(F.sum("x"), 4).alias("x_sum"), r(F.sum("lift"), 4).alias("lift_sum"))
 
 
-@query("o13_calibration_rows")
+@query("o13_calibration_rows", CALIBRATED_SQL)
 def _(t):
-    s = [State("p", "tdigest", "score", c("flag") == 1), State("n", "tdigest", "score", c("flag") == 0)]
-    return H.calibration_rows(M.calibration_from_digests(S.build(scored(t), ["g"], s), "p", "n"), ["g"])
+    return calibrated_near(t)
 
 
 @query("o14_topk_rows", "WITH n AS (SELECT event_type AS item, count(*) AS estimate FROM events GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY estimate DESC) AS INTEGER) AS rank, item, estimate FROM n")
@@ -578,7 +616,11 @@ def _(t):
     return rfm_rows(t).select("o_custkey", r(H.projected_purchases(c("frequency"), c("tenure"))).alias("projected"))
 
 
-@query("o16_odds_verdict")
+ODDS = "ln(x2 * (n1 - x1) / ((n2 - x2) * x1))"
+ODDS_SE = f"{Z} * sqrt(1 / x1 + 1 / (n1 - x1) + 1 / x2 + 1 / (n2 - x2))"
+
+
+@query("o16_odds_verdict", f"WITH {ARMS} SELECT g, CASE WHEN exp({ODDS} + {ODDS_SE}) < 1 THEN 'Control' WHEN exp({ODDS} - {ODDS_SE}) > 1 THEN 'Test' ELSE 'N/A' END AS verdict FROM n")
 def _(t):
     return M.contingency_test(arms(t), ["g"], "v", p_value=False).select("g", H.odds_verdict(c("odds_low"), c("odds_high")).alias("verdict"))
 

@@ -171,10 +171,10 @@ def _(t):
     return t.events.select("event_id", E.strftime(c("ts"), "%Y/%m/%d %H:%M:%S").alias("shown"), F.to_date(E.strptime(E.strftime(c("ts"), "%d.%m.%Y"), "%d.%m.%Y")).alias("back"))
 
 
-@query("i01_grain_aliases", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'daily' WHEN 1 THEN 'monthly' ELSE 'summary' END AS grain FROM orders")
+@query("i01_grain_aliases", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'daily' WHEN 1 THEN 'monthly' WHEN 2 THEN 'summary' WHEN 3 THEN 'summary' ELSE 'hourly' END AS grain FROM orders")
 def _(t):
-    names = F.array(*[F.lit(C.grain(n)) for n in ("day", "Month", "all_time")])
-    return t.orders.select("o_orderkey", F.element_at(names, (c("o_orderkey") % 3).cast("int") + 1).alias("grain"))
+    names = F.array(*[F.lit(C.grain(n)) for n in (" day ", "Month", "All time", "all-time", "HOUR")])
+    return t.orders.select("o_orderkey", F.element_at(names, (c("o_orderkey") % 5).cast("int") + 1).alias("grain"))
 
 
 @query("i02_coarser_from_labels", """

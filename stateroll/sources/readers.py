@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import io
+import itertools
+import json
 import tarfile
 import zipfile
 from collections.abc import Iterator
+from typing import IO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,31 +36,52 @@ def read_json(spark: SparkSession, paths: str | list[str], array: bool = False,
     return (reader.schema(schema) if schema else reader).json(paths)
 
 
-def _members(name: str, content: bytes) -> Iterator[tuple[str, bytes]]:
-    """The .json and .ndjson members of an archive, by name."""
+#: Lines that a task hands on at a time.
+BATCH_LINES = 10_000
+
+
+def _members(name: str, content: io.BytesIO) -> Iterator[tuple[str, IO[bytes]]]:
+    """The .json and .ndjson members of an archive as open files, by name."""
+    wanted = (".json", ".ndjson")
     if name.endswith(".zip"):
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
+        with zipfile.ZipFile(content) as z:
             for n in sorted(z.namelist()):
-                if n.endswith((".json", ".ndjson")):
-                    yield n, z.read(n)
+                if n.endswith(wanted):
+                    with z.open(n) as f:
+                        yield n, f
     else:
-        with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as t:
-            for m in sorted((m for m in t.getmembers() if m.isfile() and m.name.endswith((".json", ".ndjson"))), key=lambda m: m.name):
-                yield m.name, t.extractfile(m).read()
+        with tarfile.open(fileobj=content, mode="r:*") as t:
+            for m in sorted((m for m in t.getmembers() if m.isfile() and m.name.endswith(wanted)), key=lambda m: m.name):
+                yield m.name, t.extractfile(m)
+
+
+def _documents(raw: IO[bytes]) -> Iterator[str]:
+    """A member's documents, a line each: an array's elements, or its lines that aren't blank."""
+    text = io.TextIOWrapper(raw, encoding="utf-8-sig", newline=None)
+    head = ""
+    while not head.strip():
+        head = text.readline()
+        if not head:
+            return
+    if head.lstrip().startswith("["):  # one JSON value: read whole
+        yield from (json.dumps(x) for x in json.loads(head + text.read()))
+        return
+    yield head.rstrip("\n")
+    for line in text:
+        if line.strip():
+            yield line.rstrip("\n")
 
 
 def archive_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, member, line_no, line) of .zip, .tar.gz and .tgz archives: a task an archive; an array becomes a line an element."""
+    """(path, member, line_no, line) of .zip, .tar.gz and .tgz archives: a task an archive, whose packed bytes it holds; members are unpacked as they are read."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
         for part in parts:
             for path, content in zip(part["path"], part["content"], strict=True):
-                for member, raw in _members(path, content):
-                    text = raw.decode("utf-8-sig")
-                    lines = [json.dumps(x) for x in json.loads(text)] if text.lstrip().startswith("[") else [x for x in text.splitlines() if x.strip()]
-                    yield pd.DataFrame({"path": path, "member": member, "line_no": range(len(lines)), "line": lines})
+                for member, raw in _members(path, io.BytesIO(content)):
+                    numbered = enumerate(_documents(raw))
+                    while rows := list(itertools.islice(numbered, BATCH_LINES)):
+                        yield pd.DataFrame({"path": path, "member": member, "line_no": [n for n, _ in rows], "line": [x for _, x in rows]})
 
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
     return files.mapInPandas(run, "path string, member string, line_no long, line string")
@@ -80,16 +104,22 @@ def chunk_id(pattern: str | None = None, path: Column | None = None) -> Column:
     return F.when(path.rlike(pattern), found).otherwise(name)
 
 
-def discovered(spark: SparkSession, root: str, glob: str, pattern: str | None = None, by_folder: bool = False) -> DataFrame:
-    """Chunks under a root, newest first: chunk_id, n_files, n_bytes, modified, and a fingerprint of path, size and time of its files."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
+def discovered(spark: SparkSession, root: str, glob: str, pattern: str | None = None, by_folder: bool = False, fallback: str | None = None) -> DataFrame:
+    """Chunks under a root, newest first: chunk_id, n_files, n_bytes, modified, and a fingerprint of path, size and time of its files.
+
+    fallback: the glob to take where no file matches the first one (for JSON exports, `*.json`).
+    """
+    listed = lambda g: spark.read.format("binaryFile").option("pathGlobFilter", g).option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
+    files = listed(glob)
+    if fallback and files.isEmpty():
+        files = listed(fallback)
     own = F.element_at(F.split(F.col("path"), "/"), -2) if by_folder else chunk_id(pattern, F.col("path"))
     marks = F.sort_array(F.collect_list(F.concat_ws("|", "path", F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string"))))
     got = files.groupBy(own.alias("chunk_id")).agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes"), F.max("modificationTime").alias("modified"), F.sha2(F.array_join(marks, "\n"), 256).alias("fingerprint"))
     return got.orderBy(F.desc("modified"), F.desc("chunk_id"))
 
 
-def probe(df: DataFrame, limit: int = 10) -> dict:
-    """What a transformed source looks like: schema, files, calendar columns and a few rows."""
+def probe(df: DataFrame, limit: int = 10, chunk: Column | None = None) -> dict:
+    """What a transformed source looks like: schema, files, calendar columns, a few rows, and its different chunks (by an expression, else by file name)."""
     calendar = [c for c in df.columns if c in ("Hour", "Day", "Week", "Month", "Quarter", "Year")]
-    return {"schema": [(f.name, f.dataType.simpleString()) for f in df.schema], "files": len(df.inputFiles()), "calendar": calendar, "rows": df.limit(limit)}
+    return {"schema": [(f.name, f.dataType.simpleString()) for f in df.schema], "files": len(df.inputFiles()), "calendar": calendar, "rows": df.limit(limit), "chunks": df.select((chunk_id() if chunk is None else chunk).alias("chunk_id")).distinct()}

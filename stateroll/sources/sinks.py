@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from stateroll.sources.scratch import dropped, folder, settled
 
 PROVENANCE = ["pipeline_run_id", "chunk_id", "period", "created_at", "config_hash"]
+#: Folders of a stored aggregate, from the outside in.
+PARTS = ("period", "chunk_id", "pipeline_run_id")
 
 
 def canonical(value):
@@ -36,30 +43,71 @@ def stamped(df: DataFrame, run_id: str, chunk: str | None, spec_hash: str, creat
 
 
 def write_aggregate(df: DataFrame, path: str) -> DataFrame:
-    """Write rows with provenance, partitioned by period and chunk; the same (period, chunk) is replaced. Gives receipts.
+    """Write rows with provenance, partitioned by period, chunk and run. Gives the receipts of what was written.
 
-    Rows without a period, and chunks of more than one run or hash, are refused.
+    The reduction runs once, into a working table, which is checked and then published; so runs of one chunk lie side
+    by side, and a failed one leaves those before it. Rows without a period, and chunks of more than one run or hash in
+    one write, are refused. Of repeated attempts, scan_aggregate() shows the newest.
     """
     missing = [c for c in PROVENANCE if c not in df.columns]
     if missing:
         raise ValueError(f"provenance columns are missing: {', '.join(missing)}")
-    if not df.where("period IS NULL").isEmpty():
-        raise ValueError("rows without a period")
-    mixed = df.groupBy("chunk_id").agg(F.count_distinct("pipeline_run_id", "config_hash").alias("n")).where("n > 1")
-    if not mixed.isEmpty():
-        raise ValueError("a chunk of several runs or configurations")
-    df.write.partitionBy("period", "chunk_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
-    return receipts(df.sparkSession.read.option("mergeSchema", True).parquet(path))
+    spark, staging = df.sparkSession, folder(df.sparkSession)
+    staged = settled(df, staging)
+    try:
+        chunks = staged.groupBy("chunk_id").agg(F.count_if(F.col("period").isNull()).alias("bare"), F.count_distinct("pipeline_run_id", "config_hash").alias("n"))
+        bare, mixed = chunks.agg(F.sum("bare"), F.count_if(F.col("n") > 1)).first()
+        if bare:
+            raise ValueError("rows without a period")
+        if mixed:
+            raise ValueError("a chunk of several runs or configurations")
+        staged.write.partitionBy(*PARTS).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+        of = settled(staged.select("pipeline_run_id", "chunk_id").distinct())
+    finally:
+        dropped(spark, staging)
+    same = [F.col(c) == F.col(f"_{c}") for c in of.columns]
+    return receipts(_stored(spark, path).join(of.select(*[F.col(c).cast("string").alias(f"_{c}") for c in of.columns]), same, "left_semi"))
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """A partitioned folder, with its folders' names as text: a chunk `01` isn't the number 1."""
+    found = spark.read.option("mergeSchema", True).parquet(path).schema
+    return spark.read.schema(T.StructType([T.StructField(f.name, T.StringType()) if f.name in PARTS else f for f in found])).parquet(path)
 
 
 def receipts(stored: DataFrame) -> DataFrame:
-    """(run, chunk, period, hash) with rows and files."""
-    return stored.groupBy("pipeline_run_id", "chunk_id", F.col("period").cast("string").alias("period"), "config_hash").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(F.col("_metadata.file_path")).alias("files"))
+    """(run, chunk, period, hash) with rows, files and their bytes."""
+    keys = ["pipeline_run_id", "chunk_id", "period", "config_hash"]
+    by_file = stored.withColumn("period", F.col("period").cast("string")).groupBy(*keys, F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"), F.max("_metadata.file_size").alias("size"))
+    return by_file.groupBy(*keys).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("files"), F.sum("size").alias("size_bytes"))
+
+
+def latest_attempts(stored: DataFrame) -> DataFrame:
+    """Of each chunk the rows of its newest attempt (of equal times, the greater run)."""
+    last = stored.groupBy(F.col("chunk_id").alias("_chunk")).agg(F.max(F.struct("created_at", F.col("pipeline_run_id").cast("string").alias("run"))).alias("_last"))
+    own = F.struct("created_at", F.col("pipeline_run_id").cast("string").alias("run"))
+    return stored.join(last, F.col("chunk_id").eqNullSafe(F.col("_chunk")) & (own == F.col("_last")), "left_semi")
+
+
+def scan_aggregate(spark: SparkSession, path: str, spec_hash: str | None = None, every_attempt: bool = False) -> DataFrame:
+    """Stored rows, of each chunk its newest attempt, or with every_attempt all; of one configuration if asked for."""
+    df = _stored(spark, path)
+    df = df if spec_hash is None else df.where(F.col("config_hash") == spec_hash)
+    return df if every_attempt else latest_attempts(df)
+
+
+def publish(df: DataFrame, target: str, by: tuple[str, ...] = ("period", "chunk_id", "pipeline_run_id")) -> None:
+    """Write df as a new version of the target and then point to it: readers see the version before until all of it is there."""
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    df.write.partitionBy(*by).parquet(f"{target}/versions/{version}")
+    pointer = spark.range(1).select(F.lit(version).alias("version"), F.lit(time.time_ns()).alias("at"))
+    pointer.write.mode("append").parquet(f"{target}/pointers")
 
 
-def scan_aggregate(spark: SparkSession, path: str, spec_hash: str | None = None) -> DataFrame:
-    df = spark.read.option("mergeSchema", True).parquet(path)
-    return df if spec_hash is None else df.where(F.col("config_hash") == spec_hash)
+def current(spark: SparkSession, target: str) -> DataFrame:
+    """The version that was published last."""
+    version = spark.read.parquet(f"{target}/pointers").orderBy(F.desc("at"), "version").first().version
+    return _stored(spark, f"{target}/versions/{version}")
 
 
 def without_binary(df: DataFrame) -> DataFrame:
@@ -88,14 +136,14 @@ def visible(attempts: DataFrame) -> DataFrame:
 
 def newest(df: DataFrame) -> DataFrame:
     """Of each chunk the rows with the greatest created_at."""
-    last = F.max("created_at").over(W.partitionBy("chunk_id"))
-    return df.withColumn("_last", last).where("created_at = _last").drop("_last")
+    last = df.groupBy(F.col("chunk_id").alias("_chunk")).agg(F.max("created_at").alias("_last"))
+    return df.join(last, F.col("chunk_id").eqNullSafe(F.col("_chunk")) & (F.col("created_at") == F.col("_last")), "left_semi")
 
 
 def current_view(stored: DataFrame, attempts: DataFrame, spec_hash: str, name: str | None = None) -> DataFrame:
     """Rows of visible attempts under the current hash, newest per chunk, without sketches; registered under `name`."""
     keys = visible(attempts).select("pipeline_run_id", "chunk_id")
-    df = without_binary(newest(stored.where(F.col("config_hash") == spec_hash).join(F.broadcast(keys), ["pipeline_run_id", "chunk_id"], "left_semi")))
+    df = without_binary(newest(stored.where(F.col("config_hash") == spec_hash).join(keys, ["pipeline_run_id", "chunk_id"], "left_semi")))
     if name:
         df.createOrReplaceTempView(name)
     return df
@@ -108,7 +156,13 @@ def run_sql(spark: SparkSession, sql: str, limit: int = 500, most: int = 2_000)
     return df.limit(cap), len(df.limit(cap + 1).select(F.lit(1)).collect()) > cap
 
 
-def governed_tables(spark: SparkSession) -> DataFrame:
-    """(table, column, type) of the session's tables and views, sketches left out."""
-    rows = [(t.name, c.name, c.dataType) for t in spark.catalog.listTables() for c in spark.catalog.listColumns(t.name) if c.dataType != "binary"]
-    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string")
+def governed_tables(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
+    """(table, column, type, rows with a value) of the session's tables and views (or the named ones), sketches left out."""
+    out = None
+    for t in names or [t.name for t in spark.catalog.listTables()]:
+        df = without_binary(spark.table(t))
+        counts = df.agg(*[F.count(F.col(f"`{f.name}`")).alias(f"_{k}") for k, f in enumerate(df.schema)])
+        rows = F.explode(F.array(*[F.struct(F.lit(t).alias("table_name"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"), F.col(f"_{k}").alias("non_null")) for k, f in enumerate(df.schema)]))
+        one = counts.select(rows.alias("r")).select("r.*")
+        out = one if out is None else out.union(one)
+    return out if out is not None else spark.createDataFrame([], "table_name string, column_name string, data_type string, non_null long")

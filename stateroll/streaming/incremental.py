@@ -9,9 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stateroll.operators import states as S
-from stateroll.sources.sinks import newest, receipts, scan_aggregate, stamped, visible, write_aggregate
+from stateroll.sources.scratch import dropped, folder
+from stateroll.sources.sinks import current, newest, publish, receipts, scan_aggregate, stamped, visible, write_aggregate
 
-__all__ = ["compacted", "current_hash_only", "freshness", "history_rows", "lineage", "newest", "partials_stream", "pending", "pruned", "rebuild", "reconciled", "run_totals", "several", "visible"]
+__all__ = ["compact", "compacted", "current", "current_hash_only", "freshness", "history_rows", "lineage", "newest", "partials_stream", "pending", "pruned", "rebuild", "reconciled", "run_totals", "several", "visible"]
 
 
 def pending(chunks: DataFrame, log: DataFrame, spec_hash: str) -> DataFrame:
@@ -59,8 +60,8 @@ def reconciled(retained: DataFrame, expected: DataFrame, order: str = "chunk_id"
     """
     r = retained.select(F.col("chunk_id").alias("r_chunk"), F.col("fingerprint").alias("r_print"))
     both = expected.join(r, (F.col("chunk_id") == F.col("r_chunk")) & (F.col("fingerprint") == F.col("r_print")), "left")
-    broken = F.min(F.when(F.col("r_chunk").isNull(), F.col(order))).over(W.partitionBy(F.lit(0)))
-    marked = both.withColumn("_first", broken)
+    broken = F.broadcast(both.agg(F.min(F.when(F.col("r_chunk").isNull(), F.col(order))).alias("_first")))  # one row
+    marked = both.crossJoin(broken)
     stays = marked.where(F.col("_first").isNull() | (F.col(order) < F.col("_first"))).select(*expected.columns)
     missing = marked.where(F.col("_first").isNotNull() & (F.col(order) >= F.col("_first"))).select(*expected.columns)
     return stays, missing
@@ -73,20 +74,29 @@ def pruned(history: DataFrame, latest: str, days: int, day: str = "day") -> Data
 def compacted(stored: DataFrame, attempts: DataFrame, keys: tuple[str, ...] = ("period", "chunk_id", "config_hash")) -> DataFrame:
     """The rows of the newest successful attempt of each part; the rest was superseded."""
     ok = attempts.where("status = 'ok'").select("pipeline_run_id", "chunk_id").distinct()
-    rows = stored.join(F.broadcast(ok), ["pipeline_run_id", "chunk_id"], "left_semi")
+    rows = stored.join(ok, ["pipeline_run_id", "chunk_id"], "left_semi")
     last = F.max(F.struct("created_at", "pipeline_run_id")).over(W.partitionBy(*keys))
     return rows.withColumn("_last", last).where("created_at = _last.created_at AND pipeline_run_id = _last.pipeline_run_id").drop("_last")
 
 
-def rebuild(spark: SparkSession, chunks: dict[str, Callable[[], DataFrame]], staging: str, target: str, run_id: str, spec_hash: str) -> int:
-    """Do all chunks into a staging folder, and replace the target only if every one succeeded. Rows written."""
-    for name, make in chunks.items():
-        write_aggregate(stamped(make(), run_id, name, spec_hash), staging)
-    done = scan_aggregate(spark, staging)
-    if done.select("chunk_id").distinct().count() != len(chunks):
-        raise RuntimeError("not every chunk has rows; the target stays as it is")
-    done.write.partitionBy("period", "chunk_id").mode("overwrite").parquet(target)
-    return spark.read.parquet(target).count()
+def compact(stored: DataFrame, attempts: DataFrame, target: str) -> None:
+    """Rewrite what compacted() keeps as the target's new version."""
+    publish(compacted(stored, attempts), target)
+
+
+def rebuild(spark: SparkSession, chunks: dict[str, Callable[[], DataFrame]], target: str, run_id: str, spec_hash: str) -> int:
+    """Do all chunks into a working folder, and publish them as the target's new version only if every one succeeded. Rows written.
+
+    Whatever fails, the version before stays the current one. A chunk may have no rows.
+    """
+    staging = folder(spark)
+    try:
+        for name, make in chunks.items():
+            write_aggregate(stamped(make(), run_id, name, spec_hash), staging)
+        publish(scan_aggregate(spark, staging, every_attempt=True), target)
+    finally:
+        dropped(spark, staging)
+    return current(spark, target).count()
 
 
 def several(df: DataFrame, keys: list[str], processors: dict[str, list[S.State]]) -> dict[str, DataFrame]:

@@ -124,6 +124,134 @@ def test_sink_refuses_rows_without_period_and_mixed_chunks(spark, tmp_path):
     assert sinks.scan_aggregate(spark, str(tmp_path / "y"), "h").count() == 2
 
 
+def test_attempts_lie_side_by_side_and_one_reduction_a_write(spark, tmp_path):
+    path = str(tmp_path / "t")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(part):
+        for x in part:
+            seen.add(len(x))
+            yield x
+
+    raw = spark.range(200, numPartitions=4).withColumn("period", F.when(F.col("id") < 100, "2024-01").otherwise("2024-02")).mapInPandas(counted, "id long, period string")
+    build = lambda df: df.groupBy("period").agg(F.count(F.lit(1)).alias("n"))
+    got = sinks.write_aggregate(sinks.stamped(build(raw), "r1", "01", "h", "2024-03-01 00:00:00"), path).collect()
+    assert seen.value == 200
+    assert {(r.pipeline_run_id, r.chunk_id, r.period, r.n_rows) for r in got} == {("r1", "01", p, 1) for p in ("2024-01", "2024-02")} and all(r.size_bytes > 0 and r.files == 1 for r in got)
+    # a second run with one period only: its chunk shows that run alone, and the first stays to fall back on
+    again = sinks.write_aggregate(sinks.stamped(build(spark.createDataFrame([(1, "2024-01")], "id long, period string")), "r2", "01", "h", "2024-03-02 00:00:00"), path).collect()
+    assert [(r.pipeline_run_id, r.period) for r in again] == [("r2", "2024-01")]
+    assert [(r.pipeline_run_id, r.period, r.n) for r in sinks.scan_aggregate(spark, path, "h").collect()] == [("r2", "2024-01", 1)]
+    every = sinks.scan_aggregate(spark, path, every_attempt=True)
+    assert every.count() == 3
+    attempts = spark.createDataFrame([("s", "01", "r1", "ok", "ok", 1), ("s", "01", "r2", "failed", "failed", 2)], "source string, chunk_id string, pipeline_run_id string, status string, run_status string, attempt_at int")
+    assert sorted((r.period, r.n) for r in sinks.current_view(every, attempts, "h").collect()) == [("2024-01", 100), ("2024-02", 100)]
+
+
+def test_rebuild_keeps_the_old_version_on_failure(spark, tmp_path):
+    target = str(tmp_path / "target")
+    rows = lambda n: spark.createDataFrame([(n, "2024-01")], "n int, period string")
+    assert incremental.rebuild(spark, {"a": lambda: rows(1), "b": lambda: rows(2).limit(0)}, target, "r1", "h") == 1
+
+    def broken():
+        raise RuntimeError("source is gone")
+
+    with pytest.raises(RuntimeError, match="gone"):
+        incremental.rebuild(spark, {"a": lambda: rows(5), "b": broken}, target, "r2", "h")
+    assert [(r.n, r.pipeline_run_id) for r in incremental.current(spark, target).collect()] == [(1, "r1")]
+    assert incremental.rebuild(spark, {"a": lambda: rows(7), "b": lambda: rows(8)}, target, "r3", "h") == 2
+    assert sorted(r.n for r in incremental.current(spark, target).collect()) == [7, 8]
+
+
+@pytest.mark.parametrize("resolution", [101, 1501])
+def test_curves_at_any_resolution(spark, resolution):
+    rng = np.random.default_rng(3)
+    score, flag = rng.random(4000), rng.random(4000)
+    flag = (flag < score).astype(int)
+    df = spark.createDataFrame([(float(s), int(f)) for s, f in zip(score, flag, strict=True)] + [(None, 1), (0.5, None), (0.29, 1), (0.29, 0)], "s double, f int")
+    at = np.arange(resolution) / (resolution - 1)
+    s, f = np.r_[score, 0.29, 0.29], np.r_[flag, 1, 0]
+    tpr, fpr = ((s[f == k][None, :] > at[:, None]).mean(1) for k in (1, 0))
+    points = sorted(zip(fpr, -tpr, strict=True))  # of equal fall-outs the greatest hit rate first
+    want = sum((b[0] - a[0]) * -b[1] for a, b in zip(points[:-1], points[1:], strict=True))
+    got = metrics.exact_curve(df, [], "s", "f", resolution).first().curve
+    assert math.isclose(got.roc_auc, want, abs_tol=1e-9) and np.allclose(sorted(got.tpr), sorted(tpr))
+    built = S.build(df, [], [State("p", "tdigest", "s", "f = 1"), State("n", "tdigest", "s", "f = 0")])
+    near = metrics.curve_from_digests(built, "p", "n", resolution).first().curve
+    assert abs(near.roc_auc - want) < 0.02 and len(near.tpr) == resolution
+
+
+def test_slice_begins_at_half_rounded_to_even(spark):
+    for n, first in ((50_001, 25_000), (50_003, 25_002)):
+        got = P.source_order_slice(spark.range(n), ["id"]).agg(F.min("id"), F.max("id"), F.count("id")).first()
+        assert tuple(got) == (first, n - 1, n - first)
+
+
+def test_downsampling_with_and_without_series(spark):
+    rng = np.random.default_rng(6)
+    y = [None if k % 50 == 7 else float(v) for k, v in enumerate(rng.normal(size=400).cumsum())]
+    df = spark.createDataFrame([("a" if k % 2 else None, float(k), v) for k, v in enumerate(y)], "s string, x double, y double")
+
+    def plain(xs, ys, m):
+        every, out, a = (len(xs) - 2) / (m - 2), [0], 0
+        for i in range(m - 2):
+            after = range(int((i + 1) * every) + 1, min(int((i + 2) * every) + 1, len(xs)))
+            mx, my = sum(xs[k] for k in after) / len(after), sum(ys[k] for k in after) / len(after)
+            a = max(range(int(i * every) + 1, min(int((i + 1) * every) + 1, len(xs) - 1)), key=lambda k: abs((xs[a] - mx) * (ys[k] - ys[a]) - (xs[a] - xs[k]) * (my - ys[a])))
+            out.append(a)
+        return [xs[k] for k in [*out, len(xs) - 1]]
+
+    xs, ys = [float(k) for k in range(400)], [v or 0.0 for v in y]
+    got = shape.downsampled(df, [], "x", "y", 40)
+    assert got.columns == df.columns
+    assert sorted(r.x for r in got.collect()) == plain(xs, ys, 40)
+    by = {s: sorted(r.x for r in shape.downsampled(df, ["s"], "x", "y", 80).collect() if r.s == s) for s in ("a", None)}
+    assert by == {s: plain([x for x in xs if x % 2 == k], [v for x, v in zip(xs, ys, strict=True) if x % 2 == k], 40) for s, k in (("a", 1), (None, 0))}
+
+
+def test_grain_names():
+    from stateroll.functions import calendar
+
+    assert [calendar.grain(g) for g in ("all-time", "All time", " day ", "HOURLY", "quarter")] == ["summary", "summary", "daily", "hourly", "quarterly"]
+    with pytest.raises(ValueError, match="fortnight"):
+        calendar.grain("fortnight")
+
+
+def test_names_of_identities_and_measures():
+    from stateroll.operators import profile
+
+    assert [n for n in ("id", "Key", "customer_id", "order-id", "the id", "PlayerID", "ID", "paid", "customerNumber", "account token", "UserEmail", "uuid", "idea", "number") if profile.is_identity(n)] == ["id", "Key", "customer_id", "order-id", "the id", "PlayerID", "ID", "customerNumber", "account token", "UserEmail", "uuid"]
+    assert [n for n in ("OutcomeTime", "response-time-ms", "update", "Propensity", "score_final", "Channel", "rank", "colour") if profile.is_measure_or_time(n)] == ["OutcomeTime", "response-time-ms", "update", "Propensity", "score_final", "rank"]
+
+
+def test_profile_counts_few_values_exactly_and_estimates_many(spark, monkeypatch):
+    from stateroll.operators import profile
+
+    monkeypatch.setattr(profile, "EXACT_MAX", 100)
+    df = spark.range(5000).select("id", (F.col("id") % 7).alias("few"), F.lit(None).cast("int").alias("none"))
+    got = {r.field: r for r in profile.column_profile(df).collect()}
+    assert (got["few"].cardinality, got["none"].cardinality, got["none"].null_rate) == (7, 0, 1.0)
+    assert 4800 <= got["id"].cardinality <= 5000
+
+
+def test_quantiles_by_key(spark):
+    from stateroll.operators import ordering
+
+    rng = np.random.default_rng(8)
+    rows = [(k, float(v)) for k in ("a", "b", None) for v in rng.integers(0, 9, 200)] + [("c", 1.5), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    got = {r.k: r.quantiles for r in ordering.quantiles(df, "v", [0.1, 0.5, 0.77], ["k"]).collect()}
+    assert got.keys() == {"a", "b", None, "c"}
+    for k, q in got.items():
+        assert np.allclose(q, np.quantile([v for x, v in rows if x == k], [0.1, 0.5, 0.77]))
+
+
+def test_discovery_falls_back(spark, tmp_path):
+    (tmp_path / "x-1.json").write_text("{}")
+    assert readers.discovered(spark, str(tmp_path), "*.zip", r"x-(\d)").count() == 0
+    assert [r.chunk_id for r in readers.discovered(spark, str(tmp_path), "*.zip", r"x-(\d)", fallback="*.json").collect()] == ["1"]
+
+
 def test_stream_drops_late_repeats(spark, tmp_path):
     rows = [(1, dt.datetime(2024, 1, 1, 0)), (1, dt.datetime(2024, 1, 1, 1)), (2, dt.datetime(2024, 1, 1, 2))]
     spark.createDataFrame(rows, "k int, t timestamp").write.parquet(str(tmp_path / "in"))
