@@ -13,8 +13,8 @@ one of them. Each family whose confidence passes counts once its templates confi
 words; shorter templates whole) of one of them stand in the window, and among them one that tells it from each other
 licence with shingles in common (the notices of GPL, LGPL and AGPL differ in a word or two).
 
-The scan is row-wise: no shuffle, no Python. Where the fitted weights, slope and shift show that paragraphs without any
-word or pair that speaks for a family can't reach CONFIDENCE, those aren't scored.
+The scan is row-wise: no shuffle, no Python. Paragraphs that can't reach CONFIDENCE by the fitted weights, slope and
+shift, because they have none of the words and pairs that speak most for a family, aren't scored.
 
 Defined cases: null and empty texts have no licence; very long texts are scanned whole, window by window; families that
 tie in a window all count; repeated rows get equal rows; an empty table trains on the fixed phrases alone and gives no
@@ -134,12 +134,26 @@ class Model:
 
     @cached_property
     def screen(self) -> str:
-        """A pattern for the grams that speak for a family (of the calibrated model); none where paragraphs without any of them could pass."""
-        speaks = sorted(g for g, w in self.weights.items() if max(w[1:]) > w[0])
-        # without such a gram no family has a larger margin than its bias, and confidence grows with the margin
-        most = max(self.bias[1:]) - self.bias[0]
-        out = self.slope > 0 and self.slope * most + self.shift < math.log(CONFIDENCE / (1 - CONFIDENCE))
-        return f"(?<![a-z0-9]){any_of(speaks)}" if speaks and out else ""
+        """A pattern (of the calibrated model) for grams of which a paragraph must have one to pass; none where it could pass without any.
+
+        Confidence grows with the margin, and the margin is a sum. So the weakest grams that speak for a family may be
+        left out as long as all of them together wouldn't reach CONFIDENCE.
+        """
+        if self.slope <= 0:
+            return ""
+        least = (math.log(CONFIDENCE / (1 - CONFIDENCE)) - self.shift) / self.slope
+        spare = [least - (b - self.bias[0]) for b in self.bias[1:]]
+        if min(spare) <= 0:
+            return ""
+        speaks = {g: [max(x - w[0], 0.0) for x in w[1:]] for g, w in self.weights.items() if max(w[1:]) > w[0]}
+        kept = []
+        for g, margins in sorted(speaks.items(), key=lambda x: (max(x[1]), x[0])):
+            rest = [s - m for s, m in zip(spare, margins, strict=True)]
+            if min(rest) > 1e-6:
+                spare = rest
+            else:
+                kept.append(g)
+        return f"(?<![a-z0-9]){any_of(sorted(kept))}" if kept else ""
 
     def scores(self, gs: Column) -> Column:
         # in buckets by a hash: a map is searched from its beginning for each gram
