@@ -124,11 +124,23 @@ def with_history(current: DataFrame, history: DataFrame) -> DataFrame:
     return current.withColumn("seen_current", F.lit(True)).unionByName(history.withColumn("seen_current", F.lit(False)), allowMissingColumns=True)
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: list[str], time: str, values: list[str]) -> DataFrame:
-    """Each left row with the values of the right row of its key with the greatest time at or before its own; by one shuffle, no pairs."""
+def asof_join(left: DataFrame, right: DataFrame, on: list[str], time: str, values: list[str], bucket: Column | None = None) -> DataFrame:
+    """Each left row with the values of the right row of its key with the greatest time at or before its own; no pairs.
+
+    bucket: a coarser time, such as the day, that never falls as time goes on. With it a key's rows are dealt by bucket,
+    so that a key which holds much of the table is many tasks' work; the last values of earlier buckets, a row a key and
+    bucket, are carried over. Without it a key is one task's.
+    """
     both = left.withColumn("_side", F.lit(1)).unionByName(right.select(*on, time, F.struct(*values).alias("_value")).withColumn("_side", F.lit(0)), allowMissingColumns=True)
-    w = W.partitionBy(*on).orderBy(time, "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    both = both.withColumn("_bucket", F.lit(0) if bucket is None else bucket)
+    own = [*on, "_bucket"]
+    w = W.partitionBy(*own).orderBy(time, "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
     found = both.withColumn("_found", F.last("_value", ignorenulls=True).over(w)).where("_side = 1")
+    if bucket is not None:
+        last = both.groupBy(*own).agg(F.max_by("_value", F.when(F.col("_side") == 0, F.col(time))).alias("_last"))
+        before = W.partitionBy(*on).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+        carried = last.select(*[F.col(k).alias(f"_c{n}") for n, k in enumerate(own)], F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+        found = found.join(carried, [F.col(k).eqNullSafe(F.col(f"_c{n}")) for n, k in enumerate(own)], "left").withColumn("_found", F.coalesce("_found", "_carried"))
     return found.select(*left.columns, *[F.col(f"_found.{v}").alias(v) for v in values])
 
 

@@ -170,25 +170,25 @@ def _(t):
     return rolled(t, [State("u", "theta", "user_id", c("value") < -1)]).select("event_type", S.estimate("u", "theta").alias("nobody"))
 
 
-@query("d18_cardinality_bounds", "SELECT event_type, true AS inside FROM events GROUP BY 1")
+@query("d18_cardinality_bounds", "SELECT event_type, CAST(count(DISTINCT user_id) AS DOUBLE) AS users, true AS inside FROM events GROUP BY 1")
 def _(t):
     got = rolled(t, [State("u", "hll", "user_id"), State("x", "theta", "user_id", size=20)])
     low, high = S.bounds(S.estimate("u"))
-    return got.select("event_type", S.estimate("x", "theta").between(F.floor(low), F.ceil(high)).alias("inside"))
+    return got.select("event_type", S.estimate("x", "theta").alias("users"), S.estimate("x", "theta").between(F.floor(low), F.ceil(high)).alias("inside"))
 
 
-@query("d19_quantile_within_rank_error", "SELECT event_type, true AS near, 0.0 :: DOUBLE AS of_nothing FROM events GROUP BY 1")
+@query("d19_quantile_within_rank_error", f"SELECT *, 0.0 :: DOUBLE AS of_nothing FROM ({rank_sql('q10', 'median', 'q90')})")
 def _(t):
     s = [State("q", "tdigest", "value"), State("none", "tdigest", "value", c("value") < -1)]
-    got = rolled(t, s).select("event_type", S.quantile("q", 0.5).alias("m"), S.quantile("none", 0.5).alias("of_nothing"))
-    rank = by_day(t).join(F.broadcast(got), "event_type").groupBy("event_type").agg((F.count_if(c("value") <= c("m")) / F.count(F.lit(1))).alias("rank"), F.first("of_nothing").alias("of_nothing"))
-    return rank.select("event_type", (F.abs(c("rank") - 0.5) < 0.02).alias("near"), "of_nothing")
+    of = {"q10": 0.1, "median": 0.5, "q90": 0.9}
+    got = rolled(t, s).select("event_type", *[S.quantile("q", q).alias(n) for n, q in of.items()], S.quantile("none", 0.5).alias("of_nothing"))
+    return rank_near(t, got.drop("of_nothing"), of, 0.008).join(got.select("event_type", "of_nothing"), "event_type")
 
 
-@query("d20_cdf_within_rank_error", "SELECT event_type, true AS near FROM events GROUP BY 1")
+@query("d20_cdf_within_rank_error", "SELECT event_type, count(value) AS n, count(*) FILTER (value <= 100) AS low, true AS near FROM events GROUP BY 1")
 def _(t):
-    got = rolled(t, [State("q", "tdigest", "value"), State("n", "count"), State("low", "count", where=c("value") <= 100)])
-    return got.select("event_type", (F.abs(S.cdf("q", 100.0) - c("low") / c("n")) < 0.02).alias("near"))
+    got = rolled(t, [State("q", "tdigest", "value"), State("n", "count", "value"), State("low", "count", where=c("value") <= 100)])
+    return got.select("event_type", "n", "low", (F.abs(S.cdf("q", 100.0) - c("low") / c("n")) < 0.008).alias("near"))
 
 
 @query("d21_sketch_weight", "SELECT event_type, count(value) AS n FROM events GROUP BY 1")
@@ -202,10 +202,11 @@ def _(t):
     return got.select(F.explode(S.frequent("top", 10)).alias("i")).select(c("i.item").alias("event_type"), c("i.count").alias("n"))
 
 
-@query("d23_text_of_values", "SELECT CAST(user_id % 2 = 0 AS VARCHAR) AS flag, CAST(count(DISTINCT CAST(value AS VARCHAR)) > 0 AS BOOLEAN) AS some FROM events GROUP BY 1")
+@query("d23_text_of_values", "SELECT CAST(user_id % 2 = 0 AS VARCHAR) AS flag, CAST(count(DISTINCT CAST(CAST(ts AS DATE) AS VARCHAR)) AS DOUBLE) AS days, CAST(count(DISTINCT CAST(value > 100 AS VARCHAR)) AS DOUBLE) AS sides FROM events GROUP BY 1")
 def _(t):
-    e = t.events.select((c("user_id") % 2 == 0).cast("string").alias("flag"), "value")
-    return S.build(e, ["flag"], [State("u", "theta", "value")]).select("flag", (S.estimate("u", "theta") > 0).alias("some"))
+    e = t.events.select((c("user_id") % 2 == 0).cast("string").alias("flag"), F.to_date("ts").alias("day"), (c("value") > 100).alias("side"))
+    states = [State("days", "theta", "day"), State("sides", "theta", "side")]
+    return S.build(e, ["flag"], states).select("flag", S.estimate("days", "theta").alias("days"), S.estimate("sides", "theta").alias("sides"))
 
 
 @query("d24_exact_companions", """
@@ -418,7 +419,7 @@ SELECT v.event_id, v.user_id, k.value AS last_click FROM v ASOF LEFT JOIN k ON v
 def _(t):
     left = t.events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     right = t.events.where("event_type = 'click'").groupBy("user_id", "ts").agg(F.max("value").alias("last_click"))
-    return FR.asof_join(left, right, ["user_id"], "ts", ["last_click"]).select("event_id", "user_id", "last_click")
+    return FR.asof_join(left, right, ["user_id"], "ts", ["last_click"], F.to_date("ts")).select("event_id", "user_id", "last_click")
 
 
 @query("j03_null_safe_left_join", """

@@ -256,12 +256,13 @@ def _(t):
     return M.exact_curve(scored(t), ["g"], "score", "flag").select("g", r("curve.roc_auc").alias("auc"))
 
 
-@query("g06_roc_auc_digest_near_exact", "SELECT user_id % 3 AS g, true AS near FROM events GROUP BY 1")
+@query("g06_roc_auc_digest_near_exact", CURVE_SQL + """, s AS (SELECT *, lag(fpr) OVER (PARTITION BY g ORDER BY fpr, k) AS prev FROM v)
+SELECT g, round(least(greatest(sum((fpr - prev) * tpr), 0), 1), 6) AS exact, true AS near FROM s GROUP BY 1""")
 def _(t):
     s = [State("p", "tdigest", "score", c("flag") == 1), State("n", "tdigest", "score", c("flag") == 0)]
     exact = M.exact_curve(scored(t), ["g"], "score", "flag").select("g", c("curve.roc_auc").alias("exact"))
     got = M.curve_from_digests(S.build(scored(t), ["g"], s), "p", "n").select("g", c("curve.roc_auc").alias("auc"))
-    return got.join(exact, "g").select("g", (F.abs(c("auc") - c("exact")) < 0.03).alias("near"))
+    return got.join(exact, "g").select("g", r("exact").alias("exact"), (F.abs(c("auc") - c("exact")) < 0.03).alias("near"))
 
 
 @query("g07_average_precision_exact", CURVE_SQL + """, p AS (SELECT g, k, tpr AS recall, max(tpr * np / (tpr * np + fpr * nn + 1e-10)) OVER (PARTITION BY g ORDER BY k ROWS UNBOUNDED PRECEDING) AS prec FROM v),

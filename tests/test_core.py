@@ -81,6 +81,18 @@ def test_frequency_window_cap_and_runner(spark):
     assert {r.interaction: r.frequency for r in make().responses(seen).collect()} == {f"i{k}": min(k + 1, 7) for k in range(4, 9)}
 
 
+@pytest.mark.parametrize("width", [None, 1, 10])
+def test_asof_join_by_bucket(spark, width):
+    rng = np.random.default_rng(5)
+    left = [(n, None if k == 9 else int(k), int(at)) for n, (k, at) in enumerate(zip(rng.choice([0, 0, 0, 1, 2, 9], 200), rng.integers(0, 60, 200), strict=True))]
+    right = {(int(k), int(at)): None if v < 2 else int(v) for k, at, v in zip(rng.choice([0, 1], 25), rng.integers(5, 60, 25), rng.integers(0, 9, 25), strict=True)}
+    l, r = spark.createDataFrame(left, "n int, k int, at int"), spark.createDataFrame([(*k, v) for k, v in right.items()], "k int, at int, v int")
+    bucket = None if width is None else F.floor(F.col("at") / width)
+    got = {x.n: x.v for x in frequency.asof_join(l, r, ["k"], "at", ["v"], bucket).collect()}
+    last = lambda k, at: max(((t, right[g, t]) for g, t in right if g == k and t <= at), default=(0, None), key=lambda x: x[0])[1]
+    assert got == {n: last(k, at) for n, k, at in left}
+
+
 def test_rfm_duplicate_cuts_take_the_lowest_label(spark):
     df = spark.createDataFrame([(k, 1 if k < 4 else 6, 10.0, dt.date(2024, 1, 1), dt.date(2024, 1, 1 + k)) for k in range(5)], "k int, unique_holdings long, lifetime_value double, MinPurchasedDate date, MaxPurchasedDate date")
     got = {r.k: r for r in rfm.lifecycle_summary(df).collect()}
