@@ -216,11 +216,12 @@ class Snapshot(Processor):
 
 
 def customer_sample(df: DataFrame, column: str, fraction: float) -> DataFrame:
-    """Whole customers, by a hash of the id; the fraction is a multiple of one millionth."""
+    """Whole customers, by the first 48 bits of the SHA-256 of the id as text; the fraction is a multiple of one millionth. Rows without an id are no customer's."""
     threshold = round(fraction * 1_000_000)
     if abs(threshold - fraction * 1_000_000) > 1e-9 or not 0 < threshold <= 1_000_000:
         raise ValueError("the fraction must be a multiple of 0.000001, above 0 and at most 1")
-    return df.where(F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(1_000_000)) < threshold)
+    drawn = F.conv(F.substring(F.sha2(F.col(column).cast("string"), 256), 1, 12), 16, 10).cast("long")
+    return df.where(drawn % 1_000_000 < threshold)
 
 
 def personalization(df: DataFrame, keys: list[str], customer: str, action: str) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stateroll.operators.ordering import running
+from stateroll.operators.ordering import numbered, running
+from stateroll.sources.scratch import settled
 
 
 def indexed(df: DataFrame, series: list[str], x: str, y: str, mode: str = "index") -> DataFrame:
@@ -162,38 +167,82 @@ def gauge(df: DataFrame, value: str) -> DataFrame:
     return df.agg(F.avg(value).alias("reference"), F.when(top > 0, 1.2 * top).otherwise(1.0).alias("axis_max"))
 
 
-def lttb(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
-    """Which n points keep a line's look: of each bucket the one that makes the largest triangle with the point chosen before and the next bucket's mean."""
-    if n >= len(x) or n < 3:
-        return np.arange(len(x))
-    edges = np.floor(np.linspace(1, len(x) - 1, n - 1)).astype(int)
-    chosen = [0]
-    for k in range(n - 2):
-        a, b = edges[k], edges[k + 1]
-        c = slice(b, edges[k + 2]) if k + 2 < len(edges) else slice(len(x) - 1, len(x))
-        mx, my = x[c].mean(), y[c].mean()
-        px, py = x[chosen[-1]], y[chosen[-1]]
-        area = np.abs((px - mx) * (y[a:b] - py) - (px - x[a:b]) * (my - py))
-        chosen.append(a + int(area.argmax()))
-    return np.array([*chosen, len(x) - 1])
+def corners(x: list[float], y: list[float]) -> list[int]:
+    """Which points, in order of x and then y, are corners of their convex hull; of equal points the first."""
+    found: set[int] = set()
+    for side in (1, -1):
+        chain: list[int] = []
+        for k, point in enumerate(zip(x, y, strict=True)):
+            if chain and point == (x[chain[-1]], y[chain[-1]]):
+                continue
+            while len(chain) > 1:
+                i, j = chain[-2:]
+                if side * ((x[j] - x[i]) * (point[1] - y[i]) - (y[j] - y[i]) * (point[0] - x[i])) > 0:
+                    break
+                chain.pop()
+            chain.append(k)
+        found.update(chain)
+    return sorted(found)
+
+
+def _thinned(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each bucket's points in a batch the corners: a triangle on two given points is largest at one of them."""
+    for pdf in parts:
+        pdf = pdf.sort_values("_n")
+        own, x, y = pdf[["_first", "_b"]].to_numpy(), pdf["_x"].tolist(), pdf["_y"].tolist()
+        cut = [0, *(np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
+        yield pdf.iloc[[a + k for a, b in itertools.pairwise(cut) for k in corners(x[a:b], y[a:b])]]
+
+
+def _walked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Over corners by line and place: of each bucket the point that makes the largest triangle with the point kept before and the next bucket's mean."""
+    bucket = kept = best = None
+    for pdf in parts:
+        out = []
+        for first, b, n, x, y, mx, my in pdf[["_first", "_b", "_n", "_x", "_y", "_mx", "_my"]].itertuples(index=False):
+            if (first, b) != bucket:
+                if best:
+                    out.append(best[1])
+                kept = best[2:] if best and bucket[0] == first else None
+                bucket, best = (first, b), None
+            area = 0.0 if kept is None else abs((kept[0] - mx) * (y - kept[1]) - (kept[0] - x) * (my - kept[1]))
+            if best is None or area > best[0]:
+                best = (area, n, x, y)
+        yield pd.DataFrame({"_n": np.array(out, np.int64)})
+    if best:
+        yield pd.DataFrame({"_n": np.array([best[1]], np.int64)})
+
+
+def _axis(df: DataFrame, x: str) -> Column:
+    """A line's axis as numbers; texts that aren't numbers stand by their place."""
+    kind = df.schema[x].dataType
+    if isinstance(kind, T.DateType):
+        return F.unix_date(x).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(x).cast("timestamp")) / 1e6
+    return F.col(x).try_cast("double")
 
 
 def downsampled(df: DataFrame, series: list[str], x: str, y: str, points: int = 50_000) -> DataFrame:
-    """Each series' line with at most its share of the points (at least 3), rows as they are. A null y counts as 0.
+    """Each series' line with at most its share of the points (at least 3), rows as they are. A null y counts as 0; a null series is one.
 
-    A line of a report: aggregated already. Which point a bucket keeps depends on the bucket before, so a series is one task's.
+    Largest triangles of three buckets. Lines are put in order by range partitions and cut into buckets of equal
+    length, and batches of rows are thinned to the corners of their buckets' hulls. Which corner a bucket keeps depends
+    on the bucket before, so one task a line walks over the corners, and holds a batch of them at a time.
     """
-    n_series = max(1, df.select(*series).distinct().count()) if series else 1
-    budget = max(3, points // n_series)
-    names = df.columns
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([x, y], kind="stable")
-        at = pd.to_datetime(pdf[x]).astype("int64") if not pd.api.types.is_numeric_dtype(pdf[x]) else pdf[x]
-        return pdf.iloc[lttb(at.to_numpy(float), pdf[y].fillna(0).to_numpy(float), budget)][names]
-
-    lines = df if series else df.withColumn("_line", F.lit(0))
-    return lines.groupBy(*(series or ["_line"])).applyInPandas(run, df.schema)
+    lines = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.struct(F.lit(0), *series).alias("_line"), F.col(x).alias("_at"), _axis(df, x).alias("_x"), F.coalesce(F.col(y).cast("double"), F.lit(0.0)).alias("_y"))
+    rows = settled(numbered(lines, [F.col(c) for c in ("_line", "_at", "_y")], "_n"))
+    sizes = settled(rows.groupBy("_line").agg(F.min("_n").alias("_first"), F.count(F.lit(1)).alias("_size")))
+    budget = max(3, points // max(1, sizes.count()))
+    rows = rows.join(sizes, "_line").withColumn("_k", F.col("_n") - F.col("_first")).withColumn("_x", F.coalesce("_x", F.col("_k").cast("double")))
+    few = F.col("_size") <= budget
+    inner = F.expr(f"(_k * {budget - 2} - 1) div (_size - 2)")
+    long = rows.where(~few).withColumn("_b", F.when(F.col("_k") == 0, -1).when(F.col("_k") == F.col("_size") - 1, budget - 2).otherwise(inner).cast("long"))
+    means = long.groupBy("_first", (F.col("_b") - 1).alias("_b")).agg(F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
+    thin = long.select("_first", "_b", "_n", "_x", "_y").mapInPandas(_thinned, "_first long, _b long, _n long, _x double, _y double")
+    walk = thin.join(means, ["_first", "_b"], "left").fillna(0.0, ["_mx", "_my"]).repartition("_first").sortWithinPartitions("_first", "_n")
+    kept = walk.mapInPandas(_walked, "_n long")
+    return rows.where(few).select("_row.*").union(long.join(kept, "_n", "left_semi").select("_row.*"))
 
 
 def score_column(name: str, property_: str) -> Column:

@@ -391,7 +391,7 @@ def _(t):
     return rounded_sums(exposures().build(contacts_source(t), daily=True, keys=["frequency"]))
 
 
-@query("e17_customer_sample")
+@query("e17_customer_sample", "SELECT o_custkey, o_orderkey FROM orders WHERE CAST('0x' || substr(sha256(CAST(o_custkey AS VARCHAR)), 1, 12) AS BIGINT) % 1000000 < 250000")
 def _(t):
     return P.customer_sample(t.orders, "o_custkey", 0.25).select("o_custkey", "o_orderkey")
 

@@ -659,9 +659,19 @@ def _(t):
     return g.select(r("reference").alias("reference"), r("axis_max").alias("axis_max"))
 
 
-@query("o23_downsampling")
+LINES_SQL = """WITH RECURSIVE o AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY hour) AS x, v FROM (SELECT event_type, strftime(ts, '%Y-%m-%d %H') AS hour, round(sum(value), 4) AS v FROM events GROUP BY 1, 2)),
+s AS (SELECT event_type, count(*) AS n, greatest(3, 500 // count(*) OVER ()) AS m FROM o GROUP BY 1),
+edges AS (SELECT event_type, n, m, i, 2 + (i * (n - 2)) // (m - 2) AS low, 2 + ((i + 1) * (n - 2)) // (m - 2) AS high FROM (SELECT *, unnest(range(0, m - 2)) AS i FROM s WHERE n > m)),
+b AS (SELECT o.*, i FROM o JOIN edges AS e ON o.event_type = e.event_type AND x >= low AND x < high UNION ALL SELECT o.*, CASE WHEN x = 1 THEN -1 ELSE m - 2 END FROM o JOIN s USING (event_type) WHERE n > m AND x IN (1, n)),
+a AS (SELECT event_type, i, avg(x) AS mx, avg(v) AS my FROM b GROUP BY 1, 2),
+w AS (SELECT event_type, x, v, i FROM b WHERE i = -1 UNION ALL
+SELECT event_type, x, v, i FROM (SELECT b.*, row_number() OVER (PARTITION BY b.event_type ORDER BY abs((w.x - mx) * (b.v - w.v) - (w.x - b.x) * (my - w.v)) DESC, b.x) AS k FROM w JOIN b ON b.event_type = w.event_type AND b.i = w.i + 1 LEFT JOIN a ON a.event_type = b.event_type AND a.i = b.i + 1) WHERE k = 1)
+SELECT event_type, CAST(x AS DOUBLE) AS x, v FROM w UNION ALL SELECT o.event_type, CAST(x AS DOUBLE), v FROM o JOIN s USING (event_type) WHERE n <= m"""
+
+
+@query("o23_downsampling", LINES_SQL)
 def _(t):
-    rows = t.events.groupBy("event_type", F.date_format("ts", "yyyy-MM-dd HH").alias("hour")).agg(F.sum("value").alias("v"))
+    rows = t.events.groupBy("event_type", F.date_format("ts", "yyyy-MM-dd HH").alias("hour")).agg(r(F.sum("value"), 4).alias("v"))
     n = F.row_number().over(W.partitionBy("event_type").orderBy("hour"))
     return H.downsampled(rows.select("event_type", n.cast("double").alias("x"), "v"), ["event_type"], "x", "v", 500)
 

@@ -200,25 +200,32 @@ def test_slice_begins_at_half_rounded_to_even(spark):
 
 
 def test_downsampling_with_and_without_series(spark):
+    # a flat line with a peak in three of its four middle buckets (places 1-5, 6-10, 11-15, 16-20)
+    peaks = {3: 9.0, 8: -7.0, 14: 5.0}
+    rows = [(s, x, None if x % 4 == 1 and x not in peaks else peaks.get(x, 0.0)) for s in ("a", None) for x in range(22)]
+    df = spark.createDataFrame(rows, "s string, x int, y double").repartition(3)
+    kept = [0, 3, 8, 14, 16, 21]
+    one = shape.downsampled(df.where("s IS NULL"), [], "x", "y", 6)
+    assert one.columns == df.columns and sorted(r.x for r in one.collect()) == kept
+    two = shape.downsampled(df, ["s"], "x", "y", 12).collect()
+    assert sorted(((r.s or ""), r.x) for r in two) == [(s, x) for s in ("", "a") for x in kept]
+    assert all(r.y == peaks[r.x] for r in two if r.x in peaks)
+    assert shape.downsampled(df, ["s"], "x", "y").count() == 44
+    assert shape.downsampled(df.limit(0), ["s"], "x", "y", 6).count() == 0
+    days = df.where("s IS NULL").select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("x")).alias("d"), "y")
+    assert sorted(r.d.toordinal() - dt.date(2024, 1, 1).toordinal() for r in shape.downsampled(days, [], "d", "y", 6).collect()) == kept
+
+
+def test_corners_hold_every_extreme():
     rng = np.random.default_rng(6)
-    y = [None if k % 50 == 7 else float(v) for k, v in enumerate(rng.normal(size=400).cumsum())]
-    df = spark.createDataFrame([("a" if k % 2 else None, float(k), v) for k, v in enumerate(y)], "s string, x double, y double")
-
-    def plain(xs, ys, m):
-        every, out, a = (len(xs) - 2) / (m - 2), [0], 0
-        for i in range(m - 2):
-            after = range(int((i + 1) * every) + 1, min(int((i + 2) * every) + 1, len(xs)))
-            mx, my = sum(xs[k] for k in after) / len(after), sum(ys[k] for k in after) / len(after)
-            a = max(range(int(i * every) + 1, min(int((i + 1) * every) + 1, len(xs) - 1)), key=lambda k: abs((xs[a] - mx) * (ys[k] - ys[a]) - (xs[a] - xs[k]) * (my - ys[a])))
-            out.append(a)
-        return [xs[k] for k in [*out, len(xs) - 1]]
-
-    xs, ys = [float(k) for k in range(400)], [v or 0.0 for v in y]
-    got = shape.downsampled(df, [], "x", "y", 40)
-    assert got.columns == df.columns
-    assert sorted(r.x for r in got.collect()) == plain(xs, ys, 40)
-    by = {s: sorted(r.x for r in shape.downsampled(df, ["s"], "x", "y", 80).collect() if r.s == s) for s in ("a", None)}
-    assert by == {s: plain([x for x in xs if x % 2 == k], [v for x, v in zip(xs, ys, strict=True) if x % 2 == k], 40) for s, k in (("a", 1), (None, 0))}
+    for spread in (3, 1000):
+        points = sorted((float(a), float(b)) for a, b in rng.integers(0, spread, (200, 2)))
+        x, y = (list(v) for v in zip(*points, strict=True))
+        at = shape.corners(x, y)
+        assert len(at) < 40
+        for u, v, w in rng.integers(-9, 10, (50, 3)).tolist():
+            size = [abs(u * a + v * b + w) for a, b in points]
+            assert size.index(max(size)) in at
 
 
 def test_grain_names():
@@ -297,11 +304,10 @@ def test_sketches_of_a_million_stay_within_their_error(spark):
     assert abs(r.n - 1e6) < 1e6 * 0.05 and abs(r.m - 500) < 20
 
 
-def test_lttb_keeps_ends_and_peak():
-    x = np.arange(1000.0)
-    y = np.where(x == 500, 100.0, np.sin(x / 50))
-    at = shape.lttb(x, y, 50)
-    assert len(at) == 50 and at[0] == 0 and at[-1] == 999 and 500 in at
+def test_downsampling_keeps_ends_and_peak(spark):
+    x = F.col("id").cast("double")
+    got = [r.x for r in shape.downsampled(spark.range(1000).select(x.alias("x"), F.when(x == 500, 100.0).otherwise(F.sin(x / 50)).alias("y")), [], "x", "y", 50).collect()]
+    assert len(got) == 50 and min(got) == 0 and max(got) == 999 and 500 in got
 
 
 def test_personalization_golden(spark):
