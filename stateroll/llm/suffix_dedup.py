@@ -17,8 +17,9 @@ so a row of the shuffle is an anchor, with the stretch of text that its windows
      again. A half of one window is all core, so this ends after eight passes, and a passage that a third of all rows
      share costs a few rows each of them, not one for each window.
 
-In steps 3 and 4 bytes are compared. In step 2 stretches of one gram are held equal if 64 bits of another hash, their
-size and the anchor's place agree; two that differ are taken for one with a chance of 2**-64 a pair of one gram.
+In steps 3 and 4 bytes are compared. In step 2 stretches of one gram are held equal if XXH3 of their bytes agrees,
+seeded by the anchor's place: a hash of another family than the grams' sum, so that no text is built alike for both.
+Two that differ are taken for one with a chance of 2**-64 a pair of one gram.
 Everything is judged on the input. Texts go through in steps of bounded size: where a stretch is cut by the end of a
 step, it is another kind, and step 3 resolves it.
 
@@ -36,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,9 +49,6 @@ WIDTH = 200
 GRAM = 64
 #: Slices of one group that a task sorts; larger groups get another pass of the shuffle first.
 KINDS = 500
-#: An odd multiplier for the hash of stretches, other than that of grams, and its inverse modulo 2**64.
-BASE_KIND = 0xD1B54A32D192ED03
-INVERSE_KIND = pow(BASE_KIND, -1, 1 << 64)
 #: Bytes of texts handled at a time.
 STEP = 1 << 20
 
@@ -85,8 +84,6 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> dic
         return none
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * kept_powers(n, BASE), out=sums[1:])
-    apart = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * kept_powers(n, BASE_KIND), out=apart[1:])
     back = kept_powers(n + 1, INVERSE)
     grams = mix((sums[gram:] - sums[:-gram]) * back[: n - gram + 1])
     at = least_in_window(grams, width - gram + 1)
@@ -102,7 +99,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> dic
     cut = np.flatnonzero((at[1:] != at[:-1]) | (text[1:] != text[:-1])) + 1
     first, last = np.r_[0, cut], np.r_[cut, len(start)] - 1
     begin, end, place = start[first], start[last] + width, at[first]
-    kind = mix((apart[end] - apart[begin]) * kept_powers(n + 1, INVERSE_KIND)[begin] + (end - begin).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + (place - begin).astype(np.uint64) * np.uint64(0x165667B19E3779F9))
+    raw = data.tobytes()
+    kinds = (xxhash.xxh3_64_intdigest(raw[b:e], p) for b, e, p in zip(begin.tolist(), end.tolist(), (place - begin).tolist(), strict=True))
+    kind = np.fromiter(kinds, np.uint64, len(begin))
     return {"text": text[first], "begin": begin, "end": end, "gram": grams[place].view(np.int64), "kind": kind.view(np.int64), "place": place}
 
 
@@ -237,8 +236,6 @@ def _halved(width: int):
     """Each slice in two, by how many bytes its windows have before the anchor; all windows of a half share its core, the digit of the next pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for b in batches:
             for s in range(0, b.num_rows, 1000):
                 rows = []
