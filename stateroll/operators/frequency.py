@@ -1,8 +1,8 @@
 """Exposure frequency: how often a customer had seen an action at a placement before a response.
 
-All steps partition by customer first, so a customer's history stays in one place and Spark reuses the exchange. The
-number of exposures in a window needs no as-of join: it is a rank less a range-frame count. A null alternative group
-equals a null alternative group.
+Rows are shuffled by contact, by (customer, action, placement) and by (customer, interaction): all finer than a customer,
+so that one who holds much of the table is many tasks' work. The number of exposures in a window needs no as-of join: it
+is a rank less a range-frame count. A null alternative group equals a null alternative group.
 """
 
 from __future__ import annotations
