@@ -216,7 +216,7 @@ class WordMachine:
         if a < 0:
             return self.merged(self.bpe.token_bytes[b]) == [b]
         if (a, b) not in self.neighbours:
-            if len(self.neighbours) > 2_000_000:
+            if len(self.neighbours) > KEPT_STATES:
                 self.neighbours.clear()
             self.neighbours[a, b] = self.merged(self.bpe.token_bytes[a] + self.bpe.token_bytes[b]) == [a, b]
         return self.neighbours[a, b]
