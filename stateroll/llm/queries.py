@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stateroll.llm import bpe, chat, decontaminate, licenses, neighbours, quality, simhash, spelling, suffix_dedup, token_counts, toxicity, warc
+from stateroll.llm import alignment, bpe, chat, decontaminate, licenses, neighbours, quality, simhash, spelling, suffix_dedup, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.query,
     "op9_quality": quality.query,
     "op10_chat": chat.query,
+    "op11_alignment": alignment.query,
     "op12_spelling": spelling.query,
     "op13_token_counts": token_counts.query,
 }
