@@ -7,6 +7,7 @@ groupBy().agg(). Custom kinds register in plans.registry.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,27 +20,43 @@ from stateroll.operators.ordering import numbered
 from stateroll.operators.states import State
 
 
+# What stands for a boolean.
+TRUE_WORDS, FALSE_WORDS = ("true", "1", "yes"), ("false", "0", "no")
+
+
+def _as_boolean(v) -> bool | None:
+    if isinstance(v, str):
+        word = v.strip().lower()
+        return True if word in TRUE_WORDS else False if word in FALSE_WORDS else None
+    return bool(v) if isinstance(v, (bool, int, float)) and v in (0, 1) else None
+
+
+def _as_integer(v) -> int | None:
+    """Whole numbers of 64 bits, digit for digit; numbers that aren't whole, or don't fit, are none."""
+    try:
+        exact = v if isinstance(v, int) else Decimal(v.strip()) if isinstance(v, str) else Decimal(v)
+    except (ArithmeticError, TypeError, ValueError, AttributeError):
+        return None
+    if isinstance(exact, Decimal):
+        if not exact.is_finite() or exact.adjusted() > 18 or exact != exact.to_integral_value():
+            return None
+    return int(exact) if -(1 << 63) <= exact < 1 << 63 else None
+
+
+def _as_double(v) -> float | None:
+    try:
+        return float(v)
+    except (ArithmeticError, TypeError, ValueError):
+        return None
+
+
 def compatible(values: list, dtype: T.DataType) -> list:
     """Configured values in the column's type; those that don't fit are left out."""
-    out = []
-    for v in values:
-        try:
-            if isinstance(dtype, T.StringType):
-                out.append(str(v))
-            elif isinstance(dtype, T.BooleanType):
-                text = str(v).strip().lower()
-                if text in ("true", "1", "false", "0"):
-                    out.append(text in ("true", "1"))
-            elif isinstance(dtype, T.IntegralType):
-                if float(v) == int(float(v)):
-                    out.append(int(float(v)))
-            elif isinstance(dtype, (T.FractionalType)):
-                out.append(float(v))
-            else:
-                out.append(v)
-        except (TypeError, ValueError):
-            continue
-    return out
+    if isinstance(dtype, T.StringType):
+        return [str(v) for v in values]
+    kinds = ((T.BooleanType, _as_boolean), (T.IntegralType, _as_integer), ((T.FloatType, T.DoubleType), _as_double))
+    read = next((f for kind, f in kinds if isinstance(dtype, kind)), None)
+    return list(values) if read is None else [got for v in values if (got := read(v)) is not None]
 
 
 def in_values(df: DataFrame, column: str, values: list) -> Column:

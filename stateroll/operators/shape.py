@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stateroll.operators import states as S
 from stateroll.operators.ordering import numbered, running
 from stateroll.sources.scratch import settled
 
@@ -92,8 +93,7 @@ def histogram(df: DataFrame, keys: list[str], value: str, bins: int = 100) -> Da
 
 def digest_histogram(df: DataFrame, state: str, bins: int = 100, output: str = "histogram") -> DataFrame:
     """From a quantile sketch: the share of evenly spread quantiles that falls into each even bin of its range."""
-    qs = F.array(*[F.lit(k / 1000) for k in range(1001)])
-    df = df.withColumn("_v", F.kll_sketch_get_quantile_double(F.col(state), qs))
+    df = df.withColumn("_v", S.quantiles(state, [k / 1000 for k in range(1001)]))
     low, high = F.col("_v")[0], F.col("_v")[1000]
     df = df.withColumns({"_low": F.when(low == high, low - 0.5).otherwise(low), "_width": F.when(low == high, F.lit(1.0)).otherwise(high - low) / bins})
     df = df.withColumn("_at", F.transform("_v", lambda x: F.least(F.floor((x - F.col("_low")) / F.col("_width")), F.lit(bins - 1))))
@@ -248,7 +248,6 @@ def downsampled(df: DataFrame, series: list[str], x: str, y: str, points: int =
 def score_column(name: str, property_: str) -> Column:
     """The state that a descriptive score is read from: Count, Sum, Mean, Var, Min, Max, or a quantile by name."""
     from stateroll.operators import metrics
-    from stateroll.operators import states as S
 
     return S.quantile(f"{property_}_Digest", metrics.QUANTILES[name]) if name in metrics.QUANTILES else F.col(f"{property_}_{name}")
 

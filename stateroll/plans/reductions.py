@@ -98,10 +98,10 @@ NEAR_SQL = "SELECT event_type, count(DISTINCT user_id) AS users, true AS near FR
 
 def near_exact(t, kind, lg_k):
     """The estimate of all users, merged from days, within three standard errors of their exact number."""
-    s = [State("u", kind, "user_id")]
-    got = rolled(t, s).select("event_type", S.estimate("u").alias("estimate"))
+    s = [State("u", kind, "user_id", size=lg_k)]
+    got = rolled(t, s).select("event_type", S.estimate("u", kind, lg_k).alias("estimate"))
     exact = S.exact_distinct(t.events, TYPE, "user_id")
-    low, high = S.bounds(c("distinct_values"), lg_k)
+    low, high = S.bounds(c("distinct_values"), lg_k, kind)
     half = (high - low) / 4 * 3 + 1
     return exact.join(got, "event_type").select("event_type", c("distinct_values").alias("users"), (F.abs(c("estimate") - c("distinct_values")) <= half).alias("near"))
 
@@ -111,11 +111,29 @@ def _(t):
     return near_exact(t, "hll", S.LG_K)
 
 
-@query("d11_cpc_as_hll", NEAR_SQL)
+@query("d11_cpc", NEAR_SQL)
 def _(t):
     return near_exact(t, "cpc", S.LG_K_CPC)
 
 
+@query("d11_cpc_as_hll", NEAR_SQL)
+def _(t):
+    """HyperLogLog of as many slots, where one aggregate for all states matters more than its wider error."""
+    return near_exact(t, "hll", S.LG_K_CPC)
+
+
+@query("d11_cpc_bounds", "SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers, true AS inside FROM orders GROUP BY 1")
+def _(t):
+    """Merged from dates; three standard errors, of a sketch that holds fewer slots than there are customers."""
+    o = t.orders
+    s = [State("u", "cpc", "o_custkey", size=8)]
+    got = S.merge(S.build(o, ["o_orderpriority", "o_orderdate"], s), ["o_orderpriority"], s).select("o_orderpriority", S.estimate("u", "cpc", 8).alias("estimate"))
+    exact = S.exact_distinct(o, ["o_orderpriority"], "o_custkey")
+    low, high = S.bounds(c("distinct_values"), 8, "cpc")
+    inside = (c("estimate") - c("distinct_values")).between((low - c("distinct_values")) * 1.5, (high - c("distinct_values")) * 1.5)
+    return exact.join(got, "o_orderpriority").select("o_orderpriority", c("distinct_values").alias("customers"), inside.alias("inside"))
+
+
 @query("d12_theta", "SELECT event_type, CAST(count(DISTINCT user_id) AS DOUBLE) AS users, CAST(count(DISTINCT CASE WHEN value > 200 THEN user_id END) AS DOUBLE) AS big FROM events GROUP BY 1")
 def _(t):
     s = [State("u", "theta", "user_id"), State("b", "theta", "user_id", c("value") > 200)]
@@ -127,24 +145,50 @@ def rank_near(t, got, of, off):
     e = t.events.where("value IS NOT NULL").join(F.broadcast(got), "event_type")  # got: a row a type
     up_to = lambda n: F.count_if(c("value") <= c(n)) / F.count(F.lit(1))
     under = lambda n: F.count_if(c("value") < c(n)) / F.count(F.lit(1))
-    # equal values share a span of ranks
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), *[((up_to(n) >= q - off) & (under(n) <= q + off)).alias(n) for n, q in of.items()])
+    # equal values share a span of ranks; what lies between two values is a row off either
+    off = off if isinstance(off, dict) else dict.fromkeys(of, off)
+    slack = {n: off[n] + 1 / F.count(F.lit(1)) for n in of}
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), *[((up_to(n) >= q - slack[n]) & (under(n) <= q + slack[n])).alias(n) for n, q in of.items()])
 
 
 def rank_sql(*names):
     return f"SELECT event_type, count(value) AS n, {', '.join(f'true AS {x}' for x in names)} FROM events WHERE value IS NOT NULL GROUP BY 1"
 
 
+ENDS = {"q1": 0.01, "median": 0.5, "q99": 0.99}
+#: Of a digest of size 500: how far a quantile's rank may be off.
+DIGEST_ERROR = {"q1": 0.0005, "median": 0.003, "q99": 0.0005}
+
+
 @query("d13_kll", rank_sql("q1", "median", "q99"))
 def _(t):
-    got = rolled(t, [State("q", "kll", "value")]).select("event_type", *[S.quantile("q", q).alias(n) for n, q in (("q1", 0.01), ("median", 0.5), ("q99", 0.99))])
-    return rank_near(t, got, {"q1": 0.01, "median": 0.5, "q99": 0.99}, 0.0165)
+    got = rolled(t, [State("q", "kll", "value")]).select("event_type", *[S.quantile("q", q, "kll").alias(n) for n, q in ENDS.items()])
+    return rank_near(t, got, ENDS, 0.0165)
+
+
+@query("d14_tdigest", rank_sql("q1", "median", "q99"))
+def _(t):
+    got = rolled(t, [State("q", "tdigest", "value")]).select("event_type", *[S.quantile("q", q).alias(n) for n, q in ENDS.items()])
+    return rank_near(t, got, ENDS, DIGEST_ERROR)
 
 
 @query("d14_tdigest_as_kll", rank_sql("q1", "median", "q99"))
 def _(t):
-    got = rolled(t, [State("q", "tdigest", "value")]).select("event_type", *[S.quantile("q", q).alias(n) for n, q in (("q1", 0.01), ("median", 0.5), ("q99", 0.99))])
-    return rank_near(t, got, {"q1": 0.01, "median": 0.5, "q99": 0.99}, 0.008)
+    """KLL of a like size, where one aggregate for all states matters more than the ends' accuracy."""
+    got = rolled(t, [State("q", "kll", "value", size=S.TDIGEST_K)]).select("event_type", *[S.quantile("q", q, "kll").alias(n) for n, q in ENDS.items()])
+    return rank_near(t, got, ENDS, 0.008)
+
+
+@query("d14_tdigest_of_prices", "SELECT l_returnflag, count(*) AS n, true AS q1, true AS median, true AS q99, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem GROUP BY 1")
+def _(t):
+    """Digests of days, merged: ranks among all prices, and both ends."""
+    s = [State("q", "tdigest", "l_extendedprice")]
+    keys = ["l_returnflag"]
+    got = S.merge(S.build(t.lineitem, [*keys, "l_shipdate"], s), keys, s)
+    got = got.select(*keys, *[S.quantile("q", q).alias(n) for n, q in ENDS.items()], S.quantile("q", 0.0).alias("low"), S.quantile("q", 1.0).alias("high"))
+    x, share = t.lineitem.join(F.broadcast(got), keys), lambda cond: F.count_if(cond) / F.count(F.lit(1))
+    near = [((share(c("l_extendedprice") <= c(n)) >= q - DIGEST_ERROR[n] - 1 / F.count(F.lit(1))) & (share(c("l_extendedprice") < c(n)) <= q + DIGEST_ERROR[n] + 1 / F.count(F.lit(1)))).alias(n) for n, q in ENDS.items()]
+    return x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *near, F.first("low").alias("low"), F.first("high").alias("high"))
 
 
 TOP_SQL = """WITH n AS (SELECT user_id % 2 AS half, event_type, count(*) AS n FROM events GROUP BY 1, 2)
@@ -156,7 +200,7 @@ def _(t):
     e = by_day(t).withColumn("half", c("user_id") % 2)
     s = [State("top", "topk", "event_type")]
     got = S.merge(S.build(e, ["half", "Day"], s), ["half"], s)
-    return got.select("half", F.explode(S.frequent("top", 2)).alias("i")).select("half", c("i.item").alias("event_type"), c("i.count").alias("n"))
+    return got.select("half", F.explode(S.frequent("top", 2)).alias("i")).select("half", c("i.item").alias("event_type"), c("i.estimate").alias("n"))
 
 
 @query("d16_neutral_fill", "SELECT event_type, 0 :: BIGINT AS missing, count(*) AS n, 0.0 :: DOUBLE AS total FROM events GROUP BY 1")
@@ -193,13 +237,41 @@ def _(t):
 
 @query("d21_sketch_weight", "SELECT event_type, count(value) AS n FROM events GROUP BY 1")
 def _(t):
-    return rolled(t, [State("q", "kll", "value")]).select("event_type", S.weight("q").alias("n"))
+    return rolled(t, [State("q", "kll", "value")]).select("event_type", S.weight("q", "kll").alias("n"))
+
+
+@query("d21_digest_weight", "SELECT event_type, count(value) AS n FROM events GROUP BY 1")
+def _(t):
+    return rolled(t, [State("q", "tdigest", "value")]).select("event_type", S.weight("q").alias("n"))
 
 
 @query("d22_frequent_items", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def _(t):
     got = rolled(t, [State("top", "topk", "event_type")], [])
-    return got.select(F.explode(S.frequent("top", 10)).alias("i")).select(c("i.item").alias("event_type"), c("i.count").alias("n"))
+    return got.select(F.explode(S.frequent("top", 10)).alias("i")).select(c("i.item").alias("event_type"), c("i.estimate").alias("n"))
+
+
+MIXED = "CASE WHEN l_linenumber <= 3 THEN l_returnflag || l_linestatus ELSE CAST(l_partkey AS VARCHAR) END"
+
+
+def mixed(t):
+    """A few frequent items over a tail of as many as there are parts."""
+    return t.lineitem.select("l_returnflag", F.when(c("l_linenumber") <= 3, F.concat("l_returnflag", "l_linestatus")).otherwise(c("l_partkey").cast("string")).alias("item"))
+
+
+@query("d22_frequent_items_modes", f"""WITH n AS (SELECT {MIXED} AS item, count(*) AS exact FROM lineitem GROUP BY 1)
+SELECT item, exact, true AS inside, exact * 40 > (SELECT count(*) FROM lineitem) AS surely, true AS maybe FROM n WHERE exact * 40 > (SELECT count(*) FROM lineitem)""")
+def _(t):
+    """64 counters, merged from states of flags: all items above the threshold are told, and none below it for sure; counts lie within bounds."""
+    s = [State("top", "topk", "item", size=6), State("n", "count")]
+    x = mixed(t)
+    merged = S.merge(S.build(x, ["l_returnflag"], s), [], s)
+    limit = F.floor(c("n") / 40)
+    told = lambda mode, name: merged.select(F.explode(S.frequent("top", 64, mode, limit)).alias("i")).select("i.*", F.lit(True).alias(name))
+    exact = x.groupBy("item").agg(F.count(F.lit(1)).alias("exact")).join(F.broadcast(merged.select("n")))
+    got = exact.join(told("NO_FALSE_NEGATIVES", "maybe"), "item", "left").join(told("NO_FALSE_POSITIVES", "surely").select("item", "surely"), "item", "left")
+    got = got.where((c("exact") * 40 > c("n")) | c("surely"))
+    return got.select("item", "exact", c("exact").between(c("lower"), c("upper")).alias("inside"), F.coalesce("surely", c("lower") <= limit).alias("surely"), F.coalesce("maybe", F.lit(False)).alias("maybe"))
 
 
 @query("d23_text_of_values", "SELECT CAST(user_id % 2 = 0 AS VARCHAR) AS flag, CAST(count(DISTINCT CAST(CAST(ts AS DATE) AS VARCHAR)) AS DOUBLE) AS days, CAST(count(DISTINCT CAST(value > 100 AS VARCHAR)) AS DOUBLE) AS sides FROM events GROUP BY 1")
@@ -257,6 +329,22 @@ def _(t):
     return p.build(t.orders.withColumn("third", c("o_custkey") % 3)).select("o_orderstatus", "Count", "Positives")
 
 
+@query("e03_coercion_of_kinds", """
+SELECT l_linestatus, CAST('big' AS VARCHAR) AS kind, count(*) FILTER (l_orderkey % 4 = 1) AS "Positives", count(*) AS "Count" FROM lineitem WHERE l_orderkey % 4 IN (1, 2) GROUP BY 1
+UNION ALL SELECT l_linestatus, 'flag', count(*) FILTER (l_quantity > 25), count(*) FROM lineitem GROUP BY 1
+UNION ALL SELECT l_linestatus, 'number', count(*) FILTER (l_discount = 0.05), count(*) FROM lineitem WHERE l_discount IN (0.05, 0.07) GROUP BY 1""")
+def _(t):
+    """Whole numbers beyond the doubles' 53 bits, words and numbers for booleans, text for doubles; what fits no value is left out."""
+    rows = t.lineitem.withColumns({"big": c("l_orderkey") % 4 + F.lit(9007199254740991), "flag": c("l_quantity") > 25, "number": c("l_discount").cast("double")})
+    kinds = {"big": ([9007199254740992, "inf", "no number"], ["9007199254740993", float("inf"), 2**70]), "flag": (["Yes ", "perhaps"], [0.0, None]), "number": (["0.05", "x"], [0.07, ""])}
+    out = None
+    for kind, (yes, no) in kinds.items():
+        p = P.BinaryOutcome(group_by=["l_linestatus"], states=P.BinaryOutcome.outcome_states(), outcome=kind, positive=yes, negative=no)
+        got = p.build(rows).select("l_linestatus", F.lit(kind).alias("kind"), "Positives", "Count")
+        out = got if out is None else out.union(got)
+    return out
+
+
 @query("e04_numeric_distribution", """
 SELECT l_returnflag, count(l_quantity) AS n, round(sum(l_quantity), 2) AS total, round(avg(l_quantity), 6) AS mean, round(var_samp(l_quantity), 4) AS var, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1""")
 def _(t):

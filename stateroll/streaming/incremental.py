@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -101,8 +102,8 @@ def rebuild(spark: SparkSession, chunks: dict[str, Callable[[], DataFrame]], tar
 
 def several(df: DataFrame, keys: list[str], processors: dict[str, list[S.State]]) -> dict[str, DataFrame]:
     """Processors with the same keys share one aggregate over one scan; each gets its own columns back."""
-    every = {f"{p}__{s.name}": s.build() for p, states in processors.items() for s in states}
-    one = df.groupBy(*keys).agg(*[c.alias(n) for n, c in every.items()])
+    own = lambda p, name: name and f"{p}__{name}"
+    one = S.build(df, keys, [replace(s, name=own(p, s.name), mean=own(p, s.mean), weight=own(p, s.weight)) for p, states in processors.items() for s in states])
     return {p: one.select(*keys, *[F.col(f"{p}__{s.name}").alias(s.name) for s in states]) for p, states in processors.items()}
 
 

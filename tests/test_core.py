@@ -293,6 +293,16 @@ def test_query_errors(spark):
         registry.kind("none")
 
 
+def test_configured_values_take_the_columns_type():
+    from pyspark.sql import types as T
+
+    whole = [9007199254740993, "9007199254740993", " 12 ", "1e3", 5.0, True, "inf", float("inf"), float("nan"), "1.5", 2.5, "", None, "x", 2**63, -(2**63), "1e999999"]
+    assert P.compatible(whole, T.LongType()) == [9007199254740993, 9007199254740993, 12, 1000, 5, 1, -(2**63)]
+    assert P.compatible(["Yes", "no ", "TRUE", "0", "maybe", 1.0, 0, True, 2, None], T.BooleanType()) == [True, False, True, False, True, False, True]
+    assert P.compatible(["1.5", 2, True, "x", None, "inf"], T.DoubleType()) == [1.5, 2.0, 1.0, float("inf")]
+    assert P.compatible([1, True, "a"], T.StringType()) == ["1", "True", "a"]
+
+
 def test_relative_bounds():
     assert Q.relative_bounds("7d", dt.date(2024, 3, 10), dt.date(2024, 5, 1)) == (dt.date(2024, 3, 4), dt.date(2024, 3, 10))
     assert Q.relative_bounds("ytd", dt.date(2024, 3, 10), dt.date(2024, 2, 1)) == (dt.date(2024, 1, 1), dt.date(2024, 2, 1))
