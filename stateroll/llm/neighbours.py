@@ -1,24 +1,26 @@
-"""Approximate nearest neighbours: a navigable small-world graph per shard, and merged answers.
+"""Approximate nearest neighbours: navigable small-world graphs per shard, and merged answers.
 
-Vectors are dealt into shards by a hash of their id. A task builds one shard's hierarchical graph and keeps it as flat
-arrays (a row of neighbour numbers a node and layer), then answers all queries from it, batch by batch: descend
-through the sparse layers, then a best-first search of width EF on the full one. Equal vectors are one node. Answers
-of the shards are merged by a window over each query; scores are inner products in double precision on the original
-vectors. All shards are searched through their graphs, whatever their size.
+Vectors are dealt into shards by a hash. A task builds a shard's hierarchical graphs and keeps them as flat arrays (a row
+of neighbour numbers a node and layer), then answers all queries from them, batch by batch: descend through the sparse
+layers, then a best-first search of width EF on the full one. Equal vectors are one node. A task holds the graphs of
+several shards (HELD_BYTES of them at most) and merges their answers before anything is shuffled; a window over each
+query merges those of all tasks. Scores are inner products in double precision on the original vectors. All shards are searched
+through their graphs, whatever their size.
 
-For largest inner products, a shard's vectors get one more component that brings all to the same length (0 in
-queries): neighbours in the graph are then near in every direction, and the order of the inner products is unchanged.
+For largest inner products, a shard has a graph for each band of lengths, in which none is BAND times another. A graph
+links vectors that are near in direction, where lengths can't outweigh it, and is searched by inner product. Bands are
+searched from the longest down; one whose length times the query's is below the k-th best score so far holds no
+answer, and neither do those after it.
 
-SHARD_ROWS bounds a task's memory. Queries are a table in the shared folder, from which each shard's task streams
-them; only vectors (once) and answers (k a query and shard) are shuffled. Work is queries x shards x log(rows of a
-shard).
+SHARD_ROWS bounds what one graph takes. Queries are a table in the shared folder, from which each task streams
+them; only vectors (once) and answers (k a query and task) are shuffled. Work is queries x shards x log(rows of a shard).
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows of
 null id; vectors meet only vectors of as many components; a query's own id is never among its answers, so rows that
 repeat an id aren't each other's answers, and an id of several vectors counts with its best score, as a candidate and
 as a query; ties go to smaller ids; repeated rows count once and take no memory; a vector that a third of all rows
-share is one node of each shard; vectors may be as long as an Arrow batch; empty tables give no rows; only the two
-named columns are read, so no other column's name can clash.
+share is one node of each shard, and the vectors of one id are dealt like others; vectors may be as long as an Arrow
+batch; empty tables give no rows; only the two named columns are read, so no other column's name can clash.
 """
 
 from __future__ import annotations
@@ -40,6 +42,10 @@ K = 20
 LINKS, EF_BUILD, EF = 16, 80, 250
 #: Vectors of one shard, and shards at least (so that a small table still has several tasks).
 SHARD_ROWS, LEAST_SHARDS = 20_000, 6
+#: How many times as long the longest vector of a graph may be as the shortest.
+BAND = 1.5
+#: Shards of one task, and bytes of graphs that it holds at most (one shard at least).
+TASK_SHARDS, HELD_BYTES = 8, 256 << 20
 #: Queries that a task reads at a time.
 ASKED_ROWS = 1_000
 
@@ -170,7 +176,7 @@ class Graph:
 
 
 class Shard:
-    """Vectors of one length with their ids, and the graph over the different ones."""
+    """Vectors of as many components with their ids, and a graph over the different ones of each band of lengths."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
         _, first, node = np.unique(x.view([("", x.dtype)] * x.shape[1]).ravel() if x.shape[1] > 1 else x.ravel(), return_index=True, return_inverse=True)
@@ -180,21 +186,49 @@ class Shard:
         self.ids, node = self.ids[~again], node[~again]
         self.start = np.searchsorted(node, np.arange(len(first) + 1))
         self.x = x[first].astype(np.float64)
-        size = (self.x * self.x).sum(1)
-        self.graph = Graph(np.c_[self.x, np.sqrt(np.maximum(size.max() - size, 0))])
-
-    def answers(self, own: int, q: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best ids, the query's own left out, and their scores."""
-        nodes = self.graph.nearest(np.append(q, 0).astype(np.float32), max(ef, k))
-        scores = (self.x[nodes] * q).sum(1)
-        # a node's smallest k + 1 ids decide, as ties go to smaller ids and one of them may be the query
-        size = np.minimum(self.start[nodes + 1] - self.start[nodes], k + 1)
-        row = np.repeat(np.arange(len(nodes)), size)
-        ids = self.ids[self.start[nodes][row] + np.arange(len(row)) - (np.cumsum(size) - size)[row]]
-        scores = scores[row]
-        order = np.lexsort((ids, -scores))
-        order = order[ids[order] != own][:k]
-        return ids[order], scores[order]
+        length = np.sqrt((self.x * self.x).sum(1))
+        by_length = np.argsort(-length, kind="stable")
+        #: Of each band the greatest length, its nodes and their graph.
+        self.bands: list[tuple[float, np.ndarray, Graph]] = []
+        at = 0
+        while at < len(by_length):
+            most = float(length[by_length[at]])
+            end = max(at + 1, int(np.searchsorted(-length[by_length], -most / BAND, "right")))
+            nodes = by_length[at:end]
+            graph = Graph(self.x[nodes] / length[nodes, None])  # links by direction
+            graph.x = np.ascontiguousarray(self.x[nodes], np.float32)  # searches by inner product
+            self.bands.append((most, nodes, graph))
+            at = end
+
+    @property
+    def bytes(self) -> int:
+        return self.x.nbytes + self.ids.nbytes + sum(g.x.nbytes + g.seen.nbytes + sum(a.nbytes for a in (*g.near, *g.row)) for _, _, g in self.bands)
+
+    def answers(self, own: int, q: np.ndarray, k: int, ef: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """The k best ids, the query's own left out, and their scores, best first; those below `least` may be missing."""
+        asked, size = q.astype(np.float32), float(np.sqrt((q * q).sum()))
+        ids, scores = np.zeros(0, np.int64), np.zeros(0)
+        for most, members, graph in self.bands:
+            if most * size * (1 + 1e-9) < least:
+                break
+            nodes = members[graph.nearest(asked, max(ef, k))]
+            got = (self.x[nodes] * q).sum(1)
+            # a node's smallest k + 1 ids decide, as ties go to smaller ids and one of them may be the query
+            many = np.minimum(self.start[nodes + 1] - self.start[nodes], k + 1)
+            row = np.repeat(np.arange(len(nodes)), many)
+            new = self.ids[self.start[nodes][row] + np.arange(len(row)) - (np.cumsum(many) - many)[row]]
+            ids, scores = best(np.r_[ids, new[new != own]], np.r_[scores, got[row][new != own]], k)
+            if len(ids) == k:
+                least = max(least, float(scores[-1]))
+        return ids, scores
+
+
+def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best, each id once with its best score, ties to smaller ids."""
+    order = np.lexsort((ids, -scores))
+    ids, scores = ids[order], scores[order]
+    first = np.sort(np.unique(ids, return_index=True)[1])[:k]
+    return ids[first], scores[first]
 
 
 def _vectors(lists: pa.Array) -> np.ndarray:
@@ -218,23 +252,32 @@ def _asked(folder: str, size: int) -> Iterator[pa.RecordBatch]:
 
 
 def _answer(k: int, ef: int, folder: str):
-    """Over rows (shard, size, id, vector) that lie in this order: each shard's answers to all queries in folder."""
+    """Over rows (shard, size, id, vector) that lie in this order: answers to all queries in folder, of the shards held together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, vectors = None, [], []
+        held: dict[int, list[Shard]] = {}  # by number of components
 
         def done() -> Iterator[pa.RecordBatch]:
-            if not ids:
-                return
-            shard = Shard(np.concatenate(ids), np.concatenate(vectors))
-            for b in _asked(folder, key[1]):
-                out = [[], [], []]
-                for q, v in zip(b.column("id").to_pylist(), _vectors(b.column("vector")), strict=True):
-                    found, scores = shard.answers(q, v.astype(np.float64), k, ef)
-                    out[0].append(np.full(len(found), q))
-                    out[1].append(found)
-                    out[2].append(scores)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
+            if ids:
+                held.setdefault(key[1], []).append(Shard(np.concatenate(ids), np.concatenate(vectors)))
+            if sum(s.bytes for x in held.values() for s in x) > HELD_BYTES:
+                yield from told()
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for size, shards in held.items():
+                for b in _asked(folder, size):
+                    out = [[], [], []]
+                    for q, v in zip(b.column("id").to_pylist(), _vectors(b.column("vector")).astype(np.float64), strict=True):
+                        found, scores = np.zeros(0, np.int64), np.zeros(0)
+                        for s in shards:
+                            new, got = s.answers(q, v, k, ef, float(scores[-1]) if len(scores) == k else -np.inf)
+                            found, scores = best(np.r_[found, new], np.r_[scores, got], k)
+                        out[0].append(np.full(len(found), q))
+                        out[1].append(found)
+                        out[2].append(scores)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
+            held.clear()
 
         for b in batches:
             if not b.num_rows:
@@ -254,6 +297,7 @@ def _answer(k: int, ef: int, folder: str):
                     ids.append(own[new])
                     vectors.append(x[new])
         yield from done()
+        yield from told()
 
     return run
 
@@ -268,8 +312,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     # every shard's task reads the queries from their table: they go through no shuffle
     folder = shared_dir(vectors.sparkSession)
     written(take(queries), folder)
-    rows = base.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("shard"), "size", "id", "vector")
-    dealt = rows.repartitionByRange(n, "shard").sortWithinPartitions("shard", "size", "id", F.xxhash64("vector"))
+    rows = base.select(F.pmod(F.xxhash64("id", "vector"), F.lit(n)).cast("int").alias("shard"), "size", "id", "vector")
+    tasks = max(LEAST_SHARDS, -(-n // TASK_SHARDS))
+    dealt = rows.repartitionByRange(tasks, "shard").sortWithinPartitions("shard", "size", "id", F.xxhash64("vector"))
     found = dealt.mapInArrow(_answer(k, ef, folder), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

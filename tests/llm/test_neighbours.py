@@ -63,6 +63,43 @@ def test_recall(spark, monkeypatch, unit):
             assert s == pytest.approx(float((np.array(exact[q], np.float64) * np.array(exact[i], np.float64)).sum()), abs=1e-12)
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.3, 0.5, 1.0])
+def test_recall_where_lengths_vary(spread):
+    """One shard of directions without structure, lengths lognormal. README has the figures of a shard of SHARD_ROWS."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True) * np.exp(spread * rng.normal(size=(4000, 1)))).astype(np.float32)
+    shard = op.Shard(np.arange(4000), x)
+    exact = x.astype(np.float64)
+    hits = 0
+    for q in range(0, 4000, 40):
+        scores = exact @ exact[q]
+        scores[q] = -np.inf
+        want = np.lexsort((np.arange(4000), -scores))[: op.K]
+        hits += len(set(shard.answers(q, exact[q], op.K, op.EF)[0].tolist()) & set(want.tolist()))
+    assert hits / (100 * op.K) >= 0.97
+
+
+def test_ids_of_several_vectors_and_shards_of_one_task(spark, monkeypatch):
+    """Answers are whole where a task holds several shards, or one after another, and an id's vectors lie in several of them."""
+    monkeypatch.setattr(op, "LEAST_SHARDS", 1)
+    monkeypatch.setattr(op, "SHARD_ROWS", 100)
+    rng = np.random.default_rng(3)
+    rows = [(k % 150, (rng.normal(size=8) * rng.lognormal()).astype(np.float32).tolist()) for k in range(600)] + [(7, rng.normal(size=5).astype(np.float32).tolist()) for _ in range(40)]
+    df = frame(spark, rows)
+    scores = {}
+    for q, v in rows:
+        for i, w in rows:
+            if i != q and len(w) == len(v) and q % 20 == 0:
+                s = float((np.array(v, np.float64) * np.array(w, np.float64)).sum())
+                scores.setdefault(q, {})[i] = max(s, scores.get(q, {}).get(i, -np.inf))
+    want = {q: [i for i, _ in sorted(x.items(), key=lambda t: (-t[1], t[0]))[: op.K]] for q, x in scores.items()}
+    for held in (1 << 30, 1):
+        monkeypatch.setattr(op, "HELD_BYTES", held)
+        got = answers(op.nearest(df, df.where("vec_id % 20 = 0")))
+        assert {q: [i for i, _ in x] for q, x in got.items()} == want
+
+
 def test_empty(spark):
     df = frame(spark, [])
     assert op.nearest(df, df).count() == 0
