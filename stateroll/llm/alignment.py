@@ -1,6 +1,9 @@
 """Alignment of two tokenizers over a corpus: links between their tokens, counted over a minimal perfect hash of the pairs.
 
-Two passes read the texts; neither shuffles them.
+Two passes read the texts; neither shuffles them. A text is aligned unit by unit: where a blank follows what is no white
+space, both tokenizers begin a new token whatever stands around (the second, if none of its pieces goes on over a
+blank; else a text is one unit). A worker keeps the alignments of units in a table of bounded size, so that each
+different one is tokenised once, and works with their numbers.
 
 1. Each task aligns its texts and writes its different pairs of linked ids, with their counts. The distinct pairs of all
    tasks are dealt into parts of some PART_PAIRS by a hash, and a task builds each part's minimal perfect hash: levels
@@ -15,8 +18,8 @@ What is sent to all tasks is bounded by the vocabularies: a best count for each
 (one for PART_PAIRS of at most all pairs of ids).
 
 Defined cases: null and empty texts have no tokens, and neither have texts that a tokenizer doesn't give back byte by byte
-(a normalised character, say); strings of special tokens are plain text; very long texts are tokenised whole, and
-counted like others; of counts that tie for an id's highest, each is the best; repeated rows count again; an empty table gives none;
+(a normalised character, say); strings of special tokens are plain text; very long texts are read in pieces of whole
+units; of counts that tie for an id's highest, each is the best; repeated rows count again; an empty table gives none;
 only id and text are read, so no other column's name can clash.
 """
 
@@ -24,25 +27,30 @@ from __future__ import annotations
 
 import hashlib
 import io
+import itertools
 import json
+import re
 import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stateroll.llm.bpe import ByteBpe
-from stateroll.llm.common import column, file_system, shared_dir, small_batches, steps, table, written
+from stateroll.llm.bpe import ByteBpe, Words
+from stateroll.llm.common import column, file_system, shared_dir, small_batches, table, written
 from stateroll.llm.textarrays import expand, mix
 
 #: Pairs of one part; pairs that a task holds before it sends them on; bytes of parts that a worker keeps; vectors added to one at a time.
 PART_PAIRS, HELD_PAIRS, KEPT_BYTES, FAN = 1 << 18, 1 << 20, 256 << 20, 8
 # How the byte-level vocabulary splits texts into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Units that a worker remembers before it starts anew; units, and characters of one text, that are handled together.
+REMEMBERED_UNITS, TOGETHER_UNITS, PIECE_CHARS = 400_000, 500_000, 1 << 20
+#: Where a text may be cut.
+CUT = re.compile(r"(?<=\S)(?= )")
 #: Bits for each key of a level of the hash.
 SPARSE = 1.5
 #: How a pair's part is drawn from it: a product below 2**63, whose middle bits are taken.
@@ -68,28 +76,102 @@ class Aligner:
         #: An id's decimal form before each of the marks that may follow it.
         self.text = [f"{k}{mark}" for size, marks in ((self.size_a, ",|"), (self.size_b, ",;")) for mark in marks for k in range(size)]
 
-    def aligned(self, texts: list[str | None]) -> "Aligned":
+        self.blank = self.second.piece_to_id("▁")
+        self.apart = not any(re.search("[^▁]▁", self.second.id_to_piece(k)) for k in range(n))
+        self.forget()
+
+    def forget(self) -> None:
+        none = np.zeros(0, np.int64)
+        self.units, self.known, self.groups = Words(), 0, []
+        self.n_a, self.n_b, self.n_links, self.start, self.pairs, self.fit = none, none, none, none, none, np.zeros(0, bool)
+
+    def numbers(self, units: Iterator[str], n: int) -> np.ndarray:
+        """Each unit's number in the table; new ones are aligned."""
+        out = np.fromiter(map(self.units.__getitem__, units), np.int64, n)
+        new = list(itertools.islice(self.units, self.known, None))
+        if new:
+            got = self.aligned(new)
+            self.n_a, self.n_b, self.fit = np.r_[self.n_a, got.n_a], np.r_[self.n_b, got.n_b], np.r_[self.fit, got.n_a > 0]
+            self.start = np.r_[self.start, len(self.pairs) + np.cumsum(got.n_links) - got.n_links]
+            self.n_links, self.pairs = np.r_[self.n_links, got.n_links], np.r_[self.pairs, got.pairs]
+            self.groups += got.groups()
+            self.known = len(self.units)
+        return out
+
+    def aligned(self, units: list[str]) -> "Aligned":
+        """units: each begins with a blank. One that a tokenizer doesn't give back has no tokens."""
         a_parts, b_parts, raw = [], [], []
-        for text, b in zip(texts, self.second.encode([t or "" for t in texts], num_threads=1), strict=True):
-            data = b" " + text.encode() if text else b""
-            a = self.first.encode_to_numpy(f" {text}", disallowed_special=()).astype(np.int64) if text else np.zeros(0, np.int64)
-            if text and (b"".join(map(self.bytes_b.__getitem__, b)) != data or b"".join(map(self.bytes_a.__getitem__, a.tolist())) != data):
+        for unit, b in zip(units, self.second.encode([u[1:] for u in units], num_threads=1), strict=True):
+            data = unit.encode()
+            a = self.first.encode_to_numpy(unit, disallowed_special=()).astype(np.int64)
+            b = b or [self.blank]
+            if b"".join(map(self.bytes_b.__getitem__, b)) != data or b"".join(map(self.bytes_a.__getitem__, a.tolist())) != data:
                 a, b, data = a[:0], [], b""
             a_parts.append(a)
-            b_parts.append(np.array(b if text else [], np.int64))
+            b_parts.append(np.array(b, np.int64))
             raw.append(len(data))
         return Aligned(self, a_parts, b_parts, np.array(raw, np.int64))
 
+    def pieces(self, text: str) -> Iterator[str]:
+        """The text after a blank, cut between units where it is long."""
+        text, at = f" {text}", 0
+        while at < len(text):
+            cut = CUT.search(text, at + PIECE_CHARS) if self.apart else None
+            end = cut.start() if cut else len(text)
+            yield text[at:end] if at or cut else text
+            at = end
+
+    def split(self, piece: str) -> list[str]:
+        return CUT.split(piece) if self.apart else [piece]
+
+    def fits(self, piece: str) -> bool:
+        if len(self.units) > REMEMBERED_UNITS:
+            self.forget()
+        units = self.split(piece)
+        return bool(self.fit[self.numbers(iter(units), len(units))].all())
+
+    def read(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The row and the number of each unit of texts that both tokenizers give back; rows ascend. Numbers hold until the next are asked for."""
+        held, size = [], 0
+
+        def told() -> tuple[np.ndarray, np.ndarray]:
+            if len(self.units) > REMEMBERED_UNITS:
+                self.forget()
+            number = self.numbers(itertools.chain.from_iterable(u for _, u in held), size)
+            row = np.repeat([r for r, _ in held], [len(u) for _, u in held])
+            bad = np.unique(row[~self.fit[number]])
+            keep = ~np.isin(row, bad) if len(bad) else slice(None)
+            return row[keep], number[keep]
+
+        for row, text in enumerate(texts):
+            text = text.as_py()
+            if not text:
+                continue
+            if self.apart and len(text) > PIECE_CHARS and not all(map(self.fits, self.pieces(text))):
+                continue  # a text of several pieces is known to fit before the first of them counts
+            for piece in self.pieces(text):
+                units = self.split(piece)
+                held.append((row, units))
+                size += len(units)
+                if size > TOGETHER_UNITS:
+                    yield told()
+                    held, size = [], 0
+        if held:
+            yield told()
+
+    def pairs_of(self, units: np.ndarray) -> np.ndarray:
+        return self.pairs[expand(self.start[units], self.n_links[units])]
+
 
 class Aligned:
-    """The tokens of some texts, and which of them end together."""
+    """The tokens of some units, and which of them end together."""
 
     def __init__(self, by: Aligner, a: list[np.ndarray], b: list[np.ndarray], size: np.ndarray) -> None:
         self.by, self.rows = by, len(size)
         none = [np.zeros(0, np.int64)]
         self.a, self.b = np.concatenate(a or none), np.concatenate(b or none)
         self.n_a, self.n_b = (np.array([len(x) for x in y], np.int64) for y in (a, b))
-        # texts follow each other, so that the ends of all tokens ascend
+        # units follow each other, so that the ends of all tokens ascend
         self.end_a, self.end_b = np.cumsum(by.length_a[self.a]), np.cumsum(by.length_b[self.b])
         self.common = np.intersect1d(self.end_a, self.end_b)  # no token is empty, so a place ends one token of each
         self.at_a, self.at_b = np.searchsorted(self.end_a, self.common), np.searchsorted(self.end_b, self.common)
@@ -97,8 +179,8 @@ class Aligned:
         self.row = np.searchsorted(np.cumsum(size), self.common)  # of each link
         self.n_links = np.bincount(self.row, minlength=self.rows)
 
-    def digests(self) -> list[str]:
-        """SHA-256 of each text's groups, as ids of the first and of the second tokenizer."""
+    def groups(self) -> list[str]:
+        """Each unit's groups, as ids of the first and of the second tokenizer."""
         by = self.by
         group_a, group_b = np.searchsorted(self.common, self.end_a), np.searchsorted(self.common, self.end_b)
         before_a = np.searchsorted(group_a, np.arange(len(self.common) + 1))  # tokens before each group
@@ -110,7 +192,7 @@ class Aligned:
         out[np.arange(len(self.b)) + before_a[group_b + 1]] = self.b + 2 * by.size_a + mark_b * by.size_b
         words = list(map(by.text.__getitem__, out.tolist()))
         ends = np.cumsum(self.n_a + self.n_b).tolist()
-        return [hashlib.sha256("".join(words[s:e])[:-1].encode()).hexdigest() if e > s else "" for s, e in zip([0, *ends], ends, strict=False)]
+        return ["".join(words[s:e])[:-1] for s, e in zip([0, *ends], ends, strict=False)]
 
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,34 +311,21 @@ def aligner(files: tuple[str, bytes]) -> Aligner:
     return _LOADED[key]
 
 
-def _aligned(by: Aligner, texts: pa.Array) -> Iterator[Aligned]:
-    for s, e in steps(np.array(pc.fill_null(pc.binary_length(texts), 0), np.int64)):
-        yield by.aligned(texts.slice(s, e - s).to_pylist())
-
-
 def _pairs(files):
     """Each task's different pairs and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = aligner(files.value)
         none = np.zeros(0, np.int64)
-        held, waiting, size = (none, none), [], 0
-
-        def settle():
-            nonlocal held, waiting, size
-            held = summed(np.concatenate([held[0], *waiting]), np.concatenate([held[1], np.ones(size, np.int64)]))
-            waiting, size = [], 0
-
+        held = (none, none)
         for b in batches:
-            for some in _aligned(by, b.column(0)):
-                waiting.append(some.pairs)
-                size += len(some.pairs)
-                if size > HELD_PAIRS:
-                    settle()
+            for _, number in by.read(b.column(0)):
+                n = np.bincount(number, minlength=by.known)
+                used = np.flatnonzero(n)
+                held = summed(np.r_[held[0], by.pairs_of(used)], np.r_[held[1], np.repeat(n[used], by.n_links[used])])
                 if len(held[0]) > HELD_PAIRS:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["pair", "n"])
                     held = (none, none)
-        settle()
         if len(held[0]):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["pair", "n"])
 
@@ -355,26 +424,41 @@ def _tables(folder: str, names, size_b: int):
 
 
 def _rows(files, folder: str, parts: int, names, best):
+    def counted(pairs: np.ndarray) -> np.ndarray:
+        """Counts of distinct pairs, part after part."""
+        out, of = np.zeros(len(pairs), np.int64), part_of(pairs, parts)
+        order = np.argsort(of, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else ():
+            out[some] = part(folder, names.value[of[some[0]]]).found(pairs[some])
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = aligner(files.value)
         for b in batches:
-            if not b.num_rows:
-                continue
-            every = list(_aligned(by, b.column(1)))
-            pairs = np.unique(np.concatenate([x.pairs for x in every]))
-            counts, of = np.zeros(len(pairs), np.int64), part_of(pairs, parts)
-            order = np.argsort(of, kind="stable")
-            for some in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else ():
-                counts[some] = part(folder, names.value[of[some[0]]]).found(pairs[some])
-            at = 0
-            for x in every:
-                n = counts[np.searchsorted(pairs, x.pairs)]
-                is_best = n == best.value[x.pairs % by.size_b]
-                sums = np.zeros(x.rows, np.int64)
-                np.add.at(sums, x.row, n)
-                columns = [x.n_a, x.n_b, x.n_links, x.n_links, np.bincount(x.row[is_best], minlength=x.rows), sums]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, x.rows), *(pa.array(c, pa.int64()) for c in columns), pa.array(x.digests(), pa.string())], names=["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
-                at += x.rows
+            n = b.num_rows
+            n_a, n_b, n_links, n_best, total = (np.zeros(n, np.int64) for _ in range(5))
+            digests = [None] * n
+            for row, number in by.read(b.column(1)):
+                used, at = np.unique(number, return_inverse=True)
+                links = by.pairs_of(used)
+                pairs, of = np.unique(links, return_inverse=True)
+                count = counted(pairs)
+                is_best = count == best.value[pairs % by.size_b]
+                unit = np.repeat(np.arange(len(used)), by.n_links[used])
+                sums, bests = np.zeros(len(used), np.int64), np.zeros(len(used), np.int64)
+                np.add.at(sums, unit, count[of])
+                np.add.at(bests, unit, is_best[of])
+                for out, of_unit in ((n_a, by.n_a[used]), (n_b, by.n_b[used]), (n_links, by.n_links[used]), (n_best, bests), (total, sums)):
+                    np.add.at(out, row, of_unit[at])
+                texts = list(map(by.groups.__getitem__, number.tolist()))
+                cuts = np.flatnonzero(np.diff(row, prepend=-1)).tolist() if len(row) else []
+                for s, e in zip(cuts, [*cuts[1:], len(row)], strict=True):
+                    r = int(row[s])
+                    more, text = digests[r] is not None, ";".join(texts[s:e])
+                    digests[r] = digests[r] or hashlib.sha256()
+                    digests[r].update((";" + text if more else text).encode())
+            columns = [pa.array(x) for x in (n_a, n_b, n_links, n_links, n_best, total)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array([d.hexdigest() if d else "" for d in digests], pa.string())], names=["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
     return run
 

@@ -85,10 +85,10 @@ def test_parts_agree_with_spark(spark):
 def test_frame(spark, monkeypatch, libraries, small):
     """small: many parts, kept one at a time, and pairs sent on in many pieces."""
     if small:
-        for name, value in (("PART_PAIRS", 100), ("HELD_PAIRS", 50), ("KEPT_BYTES", 1), ("FAN", 2)):
+        for name, value in (("PART_PAIRS", 100), ("HELD_PAIRS", 50), ("KEPT_BYTES", 1), ("FAN", 2), ("REMEMBERED_UNITS", 20), ("TOGETHER_UNITS", 9), ("PIECE_CHARS", 30)):
             monkeypatch.setattr(module, name, value)
     rng = random.Random(1)
-    texts = [*odd_texts()[:150], "the cat sat on the mat", "the cat sat", "ａ①fi", "a▁b", "<s> <|endoftext|> <unk>", "  two  spaces ", "x" * 3000, "été " * 500]
+    texts = [*odd_texts()[:150], "the cat sat on the mat", "the cat sat", "ａ①fi", "a▁b", "<s> <|endoftext|> <unk>", "  two  spaces ", " ", "   ", "a ", "a\n b\n  c \t d\u3000 e\x1c f ", "it 's a's 're", "long ok text " * 9 + "a▁b " + "more text " * 9, "x" * 3000, "été " * 500]
     docs = [(k, t) for k, t in enumerate(texts)] + [(None, None), (None, "the cat"), (3, ""), (7, "the dog"), (7, "the dog")]
     rng.shuffle(docs)
     df = spark.createDataFrame([(d, t, 1, "z") for d, t in docs], "doc_id long, text string, n_a int, pair string").repartition(5)
@@ -98,6 +98,18 @@ def test_frame(spark, monkeypatch, libraries, small):
     assert rows(module.alignment(nothing, PATH, PIECES)) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
 
 
+def test_units_add_up_to_the_whole(libraries):
+    """Cut where a blank follows what is no white space, both tokenizers give the ids of the whole text."""
+    first, second = libraries
+    by = module.Aligner(open(PATH, encoding="utf-8").read(), open(PIECES, "rb").read())
+    assert by.apart
+    for text in odd_texts():
+        units = by.split(" " + text) if text else []
+        a = [k for u in units for k in first.encode(u, add_special_tokens=False).ids]
+        b = [k for u in units for k in second.encode(u[1:]) or [by.blank]]
+        assert a == (first.encode(" " + text, add_special_tokens=False).ids if text else []) and b == second.encode(text)
+
+
 def test_query(spark, libraries):
     from stateroll.llm.queries import QUERIES
     from tests.llm import oracle
