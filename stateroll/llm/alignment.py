@@ -49,6 +49,8 @@ PART_PAIRS, HELD_PAIRS, KEPT_BYTES, FAN = 1 << 18, 1 << 20, 256 << 20, 8
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Units that a worker remembers before it starts anew; units, and characters of one text, that are handled together.
 REMEMBERED_UNITS, TOGETHER_UNITS, PIECE_CHARS = 400_000, 500_000, 1 << 20
+#: New units that are tokenised together.
+BLOCK_UNITS = 2_000
 #: Where a text may be cut.
 CUT = re.compile(r"(?<=\S)(?= )")
 #: Bits for each key of a level of the hash.
@@ -78,8 +80,16 @@ class Aligner:
 
         self.blank = self.second.piece_to_id("▁")
         self.apart = not any(re.search("[^▁]▁", self.second.id_to_piece(k)) for k in range(n))
+        self.texts = False
         self.forget()
 
+    def with_texts(self, texts: bool) -> "Aligner":
+        """Whether the groups of units are kept as texts."""
+        if texts and not self.texts:
+            self.forget()
+        self.texts = texts or self.texts
+        return self
+
     def forget(self) -> None:
         none = np.zeros(0, np.int64)
         self.units, self.known, self.groups = Words(), 0, []
@@ -94,23 +104,53 @@ class Aligner:
             self.n_a, self.n_b, self.fit = np.r_[self.n_a, got.n_a], np.r_[self.n_b, got.n_b], np.r_[self.fit, got.n_a > 0]
             self.start = np.r_[self.start, len(self.pairs) + np.cumsum(got.n_links) - got.n_links]
             self.n_links, self.pairs = np.r_[self.n_links, got.n_links], np.r_[self.pairs, got.pairs]
-            self.groups += got.groups()
+            if self.texts:
+                self.groups += got.groups()
             self.known = len(self.units)
         return out
 
     def aligned(self, units: list[str]) -> "Aligned":
-        """units: each begins with a blank. One that a tokenizer doesn't give back has no tokens."""
-        a_parts, b_parts, raw = [], [], []
-        for unit, b in zip(units, self.second.encode([u[1:] for u in units], num_threads=1), strict=True):
+        """units: each begins with a blank. One that a tokenizer doesn't give back has no tokens.
+
+        Units of a block are given to the first tokenizer as one text, and what both give back is compared at once; only where that
+        isn't the block, each unit is looked at.
+        """
+        parts = []
+        for at in range(0, len(units), BLOCK_UNITS):
+            block = units[at : at + BLOCK_UNITS]
+            lists = [b or [self.blank] for b in self.second.encode([u[1:] for u in block], num_threads=1)]
+            parts.append(self._whole(block, lists) or self._each(block, lists))
+        return Aligned(self, *(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+    def _whole(self, units: list[str], lists: list[list[int]]) -> tuple[np.ndarray, ...] | None:
+        text = "".join(units)
+        data = text.encode()
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        if len(data) > len(text):
+            sizes = np.fromiter((len(u.encode()) for u in units), np.int64, len(units))
+        a = self.first.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+        n_b = np.fromiter(map(len, lists), np.int64, len(lists))
+        b = np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(n_b.sum()))
+        if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != data or b"".join(map(self.bytes_b.__getitem__, b.tolist())) != data:
+            return None
+        ends, end_a, end_b = np.cumsum(sizes), np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        upto = np.searchsorted(end_a, ends)
+        if (end_a[np.minimum(upto, len(end_a) - 1)] != ends).any() or (end_b[np.cumsum(n_b) - 1] != ends).any():
+            return None
+        return a, b, np.diff(np.r_[0, upto + 1]), n_b, sizes
+
+    def _each(self, units: list[str], lists: list[list[int]]) -> tuple[np.ndarray, ...]:
+        a_parts, b_parts, sizes = [], [], []
+        for unit, b in zip(units, lists, strict=True):
             data = unit.encode()
             a = self.first.encode_to_numpy(unit, disallowed_special=()).astype(np.int64)
-            b = b or [self.blank]
             if b"".join(map(self.bytes_b.__getitem__, b)) != data or b"".join(map(self.bytes_a.__getitem__, a.tolist())) != data:
                 a, b, data = a[:0], [], b""
             a_parts.append(a)
             b_parts.append(np.array(b, np.int64))
-            raw.append(len(data))
-        return Aligned(self, a_parts, b_parts, np.array(raw, np.int64))
+            sizes.append(len(data))
+        count = lambda x: np.array([len(y) for y in x], np.int64)
+        return np.concatenate(a_parts), np.concatenate(b_parts), count(a_parts), count(b_parts), np.array(sizes, np.int64)
 
     def pieces(self, text: str) -> Iterator[str]:
         """The text after a blank, cut between units where it is long."""
@@ -166,15 +206,16 @@ class Aligner:
 class Aligned:
     """The tokens of some units, and which of them end together."""
 
-    def __init__(self, by: Aligner, a: list[np.ndarray], b: list[np.ndarray], size: np.ndarray) -> None:
+    def __init__(self, by: Aligner, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, size: np.ndarray) -> None:
+        """a, b: ids of all units; n_a, n_b: how many each unit has; size: its bytes."""
         self.by, self.rows = by, len(size)
-        none = [np.zeros(0, np.int64)]
-        self.a, self.b = np.concatenate(a or none), np.concatenate(b or none)
-        self.n_a, self.n_b = (np.array([len(x) for x in y], np.int64) for y in (a, b))
+        self.a, self.b, self.n_a, self.n_b = a, b, n_a, n_b
         # units follow each other, so that the ends of all tokens ascend
         self.end_a, self.end_b = np.cumsum(by.length_a[self.a]), np.cumsum(by.length_b[self.b])
-        self.common = np.intersect1d(self.end_a, self.end_b)  # no token is empty, so a place ends one token of each
-        self.at_a, self.at_b = np.searchsorted(self.end_a, self.common), np.searchsorted(self.end_b, self.common)
+        # no token is empty, so a place ends one token of each
+        there = np.minimum(np.searchsorted(self.end_b, self.end_a), max(len(b) - 1, 0))
+        self.at_a = np.flatnonzero(self.end_b[there] == self.end_a) if len(b) else np.zeros(0, np.int64)
+        self.at_b, self.common = there[self.at_a], self.end_a[self.at_a]
         self.pairs = self.a[self.at_a] * by.size_b + self.b[self.at_b]
         self.row = np.searchsorted(np.cumsum(size), self.common)  # of each link
         self.n_links = np.bincount(self.row, minlength=self.rows)
@@ -433,7 +474,7 @@ def _rows(files, folder: str, parts: int, names, best):
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = aligner(files.value)
+        by = aligner(files.value).with_texts(True)
         for b in batches:
             n = b.num_rows
             n_a, n_b, n_links, n_best, total = (np.zeros(n, np.int64) for _ in range(5))
