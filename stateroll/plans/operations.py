@@ -161,8 +161,7 @@ def _(t):
     path = scratch(t)
     sinks.write_aggregate(chunked(t), path)
     sinks.write_aggregate(chunked(t, "run-2"), path)
-    stored = sinks.scan_aggregate(t.spark, path, every_attempt=True)
-    return sinks.current_view(stored, attempts(t), SPEC).groupBy(c("pipeline_run_id").alias("run"), "event_type").agg(F.sum("n").alias("n"))
+    return sinks.visible_rows(t.spark, path, attempts(t), SPEC).groupBy(c("pipeline_run_id").alias("run"), "event_type").agg(F.sum("n").alias("n"))
 
 
 @query("a11_capped_sql", "SELECT user_id, event_type, true AS truncated FROM events ORDER BY user_id, event_type, event_id LIMIT 50")
@@ -259,6 +258,20 @@ def _(t):
     return I.current(t.spark, target).groupBy(c("pipeline_run_id").alias("run")).agg(F.sum("n").alias("n"))
 
 
+@query("m10_vacuum", """WITH s AS (SELECT CAST(ts AS DATE) AS d, event_type, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT 'run-2' AS run, sum(n) :: BIGINT AS n, (SELECT count(DISTINCT strftime(ts, '%d')) FROM events) AS removed, 0 AS early FROM s""")
+def _(t):
+    """Superseded attempts go once their time is over, and not before; what is shown stays."""
+    path = scratch(t)
+    sinks.write_aggregate(chunked(t), path)
+    sinks.write_aggregate(chunked(t, "run-2"), path)
+    early = sinks.vacuum(t.spark, path, 3600)
+    gone = sinks.vacuum(t.spark, path, -1)
+    chunks = len({x.path.split("chunk_id=")[1].split("/")[0] for x in gone})
+    left = sinks.scan_aggregate(t.spark, path, every_attempt=True).groupBy(c("pipeline_run_id").alias("run")).agg(F.sum("n").alias("n"))
+    return left.withColumns({"removed": F.lit(chunks).cast("long"), "early": F.lit(len(early))})
+
+
 @query("m11_clean_rebuild", "SELECT event_type, " + COUNT + " FROM events GROUP BY 1")
 def _(t):
     target = scratch(t)

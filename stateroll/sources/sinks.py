@@ -1,4 +1,11 @@
-"""Sinks: partitioned aggregates with provenance, metric tables, views, and capped SQL."""
+"""Sinks: partitioned aggregates with provenance, metric tables, views, and capped SQL.
+
+A stored aggregate is a folder of Parquet parts by period, chunk and run, with two small records beside them: `_schema`
+holds the columns of all that was written (a file for each different set), `_log` a row for each chunk of each write.
+Readers take the columns from the first, so that no part's footer is read to plan a query, and the attempts that they
+show from the second: a join of the parts with it on the partition columns, from which Spark prunes the others before it
+reads them.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +14,10 @@ import json
 import time
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +27,9 @@ from stateroll.sources.scratch import dropped, folder, settled
 PROVENANCE = ["pipeline_run_id", "chunk_id", "period", "created_at", "config_hash"]
 #: Folders of a stored aggregate, from the outside in.
 PARTS = ("period", "chunk_id", "pipeline_run_id")
+#: The log's bytes up to which the attempts to be shown are broadcast; its columns (written_at is in nanoseconds).
+LOG_BYTES = 64 << 20
+LOG = "chunk_id string, pipeline_run_id string, config_hash string, created_at timestamp, n_rows long, written_at long"
 
 
 def canonical(value):
@@ -46,8 +58,9 @@ def write_aggregate(df: DataFrame, path: str) -> DataFrame:
     """Write rows with provenance, partitioned by period, chunk and run. Gives the receipts of what was written.
 
     The reduction runs once, into a working table, which is checked and then published; so runs of one chunk lie side
-    by side, and a failed one leaves those before it. Rows without a period, and chunks of more than one run or hash in
-    one write, are refused. Of repeated attempts, scan_aggregate() shows the newest.
+    by side, and a failed one leaves those before it. Rows without a period, chunk or run, and chunks of more than one run
+    or hash in one write, are refused. Of repeated attempts, scan_aggregate() shows the newest. Readers see a write
+    once it is in the log, which comes last.
     """
     missing = [c for c in PROVENANCE if c not in df.columns]
     if missing:
@@ -55,24 +68,87 @@ def write_aggregate(df: DataFrame, path: str) -> DataFrame:
     spark, staging = df.sparkSession, folder(df.sparkSession)
     staged = settled(df, staging)
     try:
-        chunks = staged.groupBy("chunk_id").agg(F.count_if(F.col("period").isNull()).alias("bare"), F.count_distinct("pipeline_run_id", "config_hash").alias("n"))
-        bare, mixed = chunks.agg(F.sum("bare"), F.count_if(F.col("n") > 1)).first()
-        if bare:
-            raise ValueError("rows without a period")
-        if mixed:
+        texts = [F.col(c).cast("string").alias(c) for c in ("chunk_id", "pipeline_run_id", "config_hash")]
+        bare = F.count_if(F.expr(" OR ".join(f"coalesce(cast({c} AS string), '') = ''" for c in PARTS))).alias("bare")
+        # a row a chunk of this write
+        done = staged.groupBy(*texts).agg(F.max("created_at").alias("created_at"), F.count(F.lit(1)).alias("n_rows"), bare).collect()
+        if any(r.bare for r in done):
+            raise ValueError("rows without a period, a chunk or a run")
+        if len({r.chunk_id for r in done}) < len(done):
             raise ValueError("a chunk of several runs or configurations")
+        _note_schema(spark, path, staged.schema)
         staged.write.partitionBy(*PARTS).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
-        of = settled(staged.select("pipeline_run_id", "chunk_id").distinct())
+        at = time.time_ns()
+        spark.createDataFrame([(r.chunk_id, r.pipeline_run_id, r.config_hash, r.created_at, r.n_rows, at) for r in done], LOG).coalesce(1).write.mode("append").parquet(f"{path}/_log")
     finally:
         dropped(spark, staging)
-    same = [F.col(c) == F.col(f"_{c}") for c in of.columns]
-    return receipts(_stored(spark, path).join(of.select(*[F.col(c).cast("string").alias(f"_{c}") for c in of.columns]), same, "left_semi"))
+    return receipts(_stored(spark, path).where(_one_of([(r.chunk_id, r.pipeline_run_id) for r in done])))
+
+
+def _attempt() -> Column:
+    """Chunk and run as one text, of partition columns alone: Spark evaluates it for each folder before it reads any."""
+    return F.concat("chunk_id", F.lit("\n"), "pipeline_run_id")
+
+
+def _one_of(attempts: list[tuple[str, str]]) -> Column:
+    return _attempt().isin([f"{c}\n{r}" for c, r in attempts])
+
+
+def _file(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _note_schema(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    """Keep the columns of a write, under a name that follows from them; a column of another type than before is refused."""
+    _joint([*_schemas(spark, path), schema])
+    text = schema.json()
+    store, file = _file(spark, f"{path}/_schema/{hashlib.sha256(text.encode()).hexdigest()}.json")
+    if not store.exists(file):
+        out = store.create(file, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+
+def _schemas(spark: SparkSession, path: str) -> list[T.StructType]:
+    store, at = _file(spark, f"{path}/_schema")
+    out = []
+    for status in store.listStatus(at) if store.exists(at) else []:
+        source = store.open(status.getPath())
+        out.append(T.StructType.fromJson(json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))))
+        source.close()
+    return out
+
+
+def _joint(schemas: list[T.StructType]) -> T.StructType:
+    """All columns of all schemas; folders' names are text: a chunk `01` isn't the number 1."""
+    fields: dict[str, T.StructField] = {}
+    for f in (f for s in schemas for f in s):
+        kind = T.StringType() if f.name in PARTS else f.dataType
+        if f.name in fields and fields[f.name].dataType != kind:
+            raise ValueError(f"column {f.name} is stored as {fields[f.name].dataType.simpleString()} and as {kind.simpleString()}")
+        fields[f.name] = T.StructField(f.name, kind)
+    return T.StructType(sorted(fields.values(), key=lambda f: f.name in PARTS))
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:
-    """A partitioned folder, with its folders' names as text: a chunk `01` isn't the number 1."""
-    found = spark.read.option("mergeSchema", True).parquet(path).schema
-    return spark.read.schema(T.StructType([T.StructField(f.name, T.StringType()) if f.name in PARTS else f for f in found])).parquet(path)
+    """All parts of a partitioned folder; of one that keeps no record of its columns, by their footers."""
+    known = _schemas(spark, path)
+    return spark.read.schema(_joint(known or [spark.read.option("mergeSchema", True).parquet(path).schema])).parquet(path)
+
+
+def attempts_of(spark: SparkSession, path: str, spec_hash: str | None = None) -> DataFrame:
+    """The log's rows; of one configuration if asked for."""
+    log = spark.read.schema(LOG).parquet(f"{path}/_log").where("n_rows > 0")
+    return log if spec_hash is None else log.where(F.col("config_hash") == spec_hash)
+
+
+def _shown(path: str, stored: DataFrame, pointer: DataFrame) -> DataFrame:
+    """The parts that the pointer names: it is broadcast, and partitions are pruned by it. It holds rows of the log, whose size is checked; a larger one is joined as Spark sees fit."""
+    store, log = _file(stored.sparkSession, f"{path}/_log")
+    small = store.getContentSummary(log).getLength() <= LOG_BYTES
+    names = pointer.select(_attempt().alias("_attempt"))
+    return stored.join(F.broadcast(names) if small else names, _attempt() == F.col("_attempt"), "left_semi")
 
 
 def receipts(stored: DataFrame) -> DataFrame:
@@ -82,24 +158,96 @@ def receipts(stored: DataFrame) -> DataFrame:
     return by_file.groupBy(*keys).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("files"), F.sum("size").alias("size_bytes"))
 
 
-def latest_attempts(stored: DataFrame) -> DataFrame:
-    """Of each chunk the rows of its newest attempt (of equal times, the greater run)."""
-    last = stored.groupBy(F.col("chunk_id").alias("_chunk")).agg(F.max(F.struct("created_at", F.col("pipeline_run_id").cast("string").alias("run"))).alias("_last"))
-    own = F.struct("created_at", F.col("pipeline_run_id").cast("string").alias("run"))
-    return stored.join(last, F.col("chunk_id").eqNullSafe(F.col("_chunk")) & (own == F.col("_last")), "left_semi")
+def scan_aggregate(spark: SparkSession, path: str, spec_hash: str | None = None, every_attempt: bool = False) -> DataFrame:
+    """Stored rows, of each chunk its newest attempt (of equal times, the greater run), or with every_attempt all; of one configuration if asked for."""
+    stored, log = _stored(spark, path), attempts_of(spark, path, spec_hash)
+    if not every_attempt:
+        last = F.max_by("pipeline_run_id", F.struct("created_at", "pipeline_run_id")).alias("pipeline_run_id")
+        log = log.groupBy("chunk_id").agg(last)
+    shown = _shown(path, stored, log)
+    return shown if spec_hash is None else shown.where(F.col("config_hash") == spec_hash)
 
 
-def scan_aggregate(spark: SparkSession, path: str, spec_hash: str | None = None, every_attempt: bool = False) -> DataFrame:
-    """Stored rows, of each chunk its newest attempt, or with every_attempt all; of one configuration if asked for."""
-    df = _stored(spark, path)
-    df = df if spec_hash is None else df.where(F.col("config_hash") == spec_hash)
-    return df if every_attempt else latest_attempts(df)
+def visible_rows(spark: SparkSession, path: str, attempts: DataFrame, spec_hash: str) -> DataFrame:
+    """What current_view() shows, from a stored aggregate: attempts that are visible, newest of each chunk, by one scan of their parts.
+
+    The pointer, a row a visible chunk, is written first: what prunes partitions is then one small scan, as it must be.
+    """
+    log = attempts_of(spark, path, spec_hash).join(visible(attempts).select("chunk_id", "pipeline_run_id"), ["chunk_id", "pipeline_run_id"], "left_semi")
+    newest_of = log.withColumn("_last", F.max("created_at").over(W.partitionBy("chunk_id"))).where("created_at = _last")
+    pointer = settled(newest_of.select("chunk_id", "pipeline_run_id", "n_rows")).where("n_rows > 0")
+    shown = _shown(path, _stored(spark, path), pointer)
+    return without_binary(shown.where(F.col("config_hash") == spec_hash))
+
+
+@dataclass(frozen=True)
+class Removed:
+    """A folder that vacuum removed, or would: what it held, and how much."""
+
+    path: str
+    kind: str
+    bytes: int
+
+
+def vacuum(spark: SparkSession, path: str, older_than: float, spec_hash: str | None = None, dry_run: bool = False, now: float | None = None) -> list[Removed]:
+    """Remove what no reader of a stored aggregate is shown any more, and hasn't been for so many seconds.
+
+    Superseded attempts go (a newer one of their chunk and configuration is in the log, and has been for that long), with spec_hash those of
+    other configurations too, and parts of attempts that never came into the log (a failed write). Readers that began
+    before, within that time, still find what they were shown.
+    """
+    limit = ((time.time() if now is None else now) - older_than) * 1e9
+    order = W.partitionBy("chunk_id", "config_hash").orderBy("created_at", "pipeline_run_id")
+    log = spark.read.schema(LOG).parquet(f"{path}/_log").where("n_rows > 0")
+    # of repeated writes of one attempt the last counts
+    log = log.groupBy("chunk_id", "pipeline_run_id", "config_hash").agg(F.max("created_at").alias("created_at"), F.max("written_at").alias("written_at"))
+    # superseded once any later attempt was written
+    later = F.min("written_at").over(order.rowsBetween(1, W.unboundedFollowing))
+    rows = log.withColumn("until", F.greatest(later, "written_at"))
+    if spec_hash is not None:
+        rows = rows.withColumn("until", F.when(F.col("config_hash") == spec_hash, F.when(later.isNotNull(), F.col("until"))).otherwise(F.col("written_at")))
+    else:
+        rows = rows.withColumn("until", F.when(later.isNotNull(), F.col("until")))
+    state = {(r.chunk_id, r.pipeline_run_id): r.until for r in rows.select("chunk_id", "pipeline_run_id", "until").toLocalIterator()}  # a row an attempt
+    store, pattern = _file(spark, f"{path}/" + "/".join(f"{p}=*" for p in PARTS))
+    out = []
+    for status in store.globStatus(pattern) or []:
+        names = dict(part.split("=", 1) for part in status.getPath().toString().split("/")[-len(PARTS) :])
+        attempt = (unquote(names["chunk_id"]), unquote(names["pipeline_run_id"]))
+        kind = "superseded" if attempt in state else "unfinished"
+        until = state[attempt] if attempt in state else status.getModificationTime() * 1e6
+        if until is not None and until < limit:
+            out.append(_removed(store, status.getPath(), kind, dry_run))
+    return out
+
+
+def _removed(store, at, kind: str, dry_run: bool) -> Removed:
+    one = Removed(at.toString(), kind, store.getContentSummary(at).getLength())
+    if not dry_run:
+        store.delete(at, True)
+    return one
+
+
+def vacuum_versions(spark: SparkSession, target: str, older_than: float, dry_run: bool = False, now: float | None = None) -> list[Removed]:
+    """Remove a published table's versions but the current one, where a later one was published so many seconds ago; and those that were never published."""
+    limit = ((time.time() if now is None else now) - older_than) * 1e9
+    pointers = spark.read.parquet(f"{target}/pointers").orderBy(F.desc("at"), "version").select("version", "at").collect()  # a row a version
+    until = {r.version: (pointers[k - 1].at if k else None) for k, r in enumerate(pointers)}
+    store, at = _file(spark, f"{target}/versions")
+    out = []
+    for status in store.listStatus(at):
+        name = status.getPath().getName()
+        end = until[name] if name in until else status.getModificationTime() * 1e6
+        if end is not None and end < limit:
+            out.append(_removed(store, status.getPath(), "superseded" if name in until else "unfinished", dry_run))
+    return out
 
 
 def publish(df: DataFrame, target: str, by: tuple[str, ...] = ("period", "chunk_id", "pipeline_run_id")) -> None:
     """Write df as a new version of the target and then point to it: readers see the version before until all of it is there."""
     spark, version = df.sparkSession, uuid.uuid4().hex
     df.write.partitionBy(*by).parquet(f"{target}/versions/{version}")
+    _note_schema(spark, f"{target}/versions/{version}", df.schema)
     pointer = spark.range(1).select(F.lit(version).alias("version"), F.lit(time.time_ns()).alias("at"))
     pointer.write.mode("append").parquet(f"{target}/pointers")
 
