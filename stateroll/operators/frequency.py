@@ -93,7 +93,9 @@ class FrequencyResponse:
 
     def responses(self, df: DataFrame, daily: bool = False) -> DataFrame:
         """Focal contacts with their frequency, runner-up and derived flags."""
-        contacts = self.contacts(self.events(df))
+        return self.responses_of(self.contacts(self.events(df)), daily)
+
+    def responses_of(self, contacts: DataFrame, daily: bool = False) -> DataFrame:
         focal = (self.daily_frequencies if daily else self.frequencies)(contacts).where("seen_current AND NOT seen_history")
         runner = self.runners(contacts)
         group = ["customer", "interaction", *[f"a_{a}" for a in self.alternatives]]
@@ -144,8 +146,26 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], time: str, value
     return found.select(*left.columns, *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
-def range_join(left: DataFrame, right: DataFrame, on: list[str], low: Column, high: Column, point: Column, how: str = "inner") -> DataFrame:
-    """Equality on `on`, and right's point within [low, high] of left."""
+def range_join(left: DataFrame, right: DataFrame, on: list[str], low: Column, high: Column, point: Column, how: str = "inner", width: float | None = None) -> DataFrame:
+    """Equality on `on`, and right's point within [low, high] of left; how: inner or left.
+
+    width: a length that no interval exceeds, of numbers. With it both sides are dealt by bins of that width as well: an interval
+    goes to the bin in which it begins, a point to its own bin and to the one before, so that each pair meets once, a key
+    that holds much of the table is as many tasks' work as it has bins, and only rows of neighbouring bins are compared. An
+    interval that is longer all the same is joined without bins, so that none loses a pair. Without a width a key is one task's.
+    """
     renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
-    cond = [F.col(c) == F.col(f"_r_{c}") for c in on] + [point.between(low, high)]
-    return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in on])
+    same = [F.col(c) == F.col(f"_r_{c}") for c in on]
+    drop = [f"_r_{c}" for c in on]
+    if width is None:
+        return left.join(renamed, [*same, point.between(low, high)], how).drop(*drop)
+    if not width > 0:
+        raise ValueError("the width must be above 0")
+    number = lambda c: F.floor(c.cast("double") / width).cast("long")
+    long = F.coalesce(high.cast("double") - low.cast("double") > width, F.lit(False))
+    dealt = left.withColumns({"_long": long, "_bin": number(low)})
+    own = number(point)
+    points = renamed.withColumn("_rbin", F.explode(F.array(own, own - 1)))
+    near = dealt.where("NOT _long").join(points, [*same, F.col("_bin") == F.col("_rbin"), point.between(low, high)], how)
+    far = dealt.where("_long").join(renamed.withColumn("_rbin", F.lit(None).cast("long")), [*same, point.between(low, high)], how)
+    return near.unionByName(far).drop(*drop, "_long", "_bin", "_rbin")

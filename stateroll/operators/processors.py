@@ -244,13 +244,14 @@ def customer_sample(df: DataFrame, column: str, fraction: float) -> DataFrame:
 def personalization(df: DataFrame, keys: list[str], customer: str, action: str) -> DataFrame:
     """Per key: 1 less the mean cosine between customers' action counts, from sums per action and not from pairs."""
     n = df.where(F.col(customer).isNotNull() & F.col(action).isNotNull()).groupBy(*keys, customer, action).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(W.partitionBy(*keys, customer)))
-    by_action = n.withColumn("v", F.col("n") / norm).groupBy(*keys, action).agg(F.sum("v").alias("s"))
-    squares = by_action.groupBy(*keys).agg(F.sum(F.col("s") * F.col("s")).alias("ss"))
-    vectors = n.groupBy(*keys).agg(F.count_distinct(customer).cast("double").alias("m"))
+    one = W.partitionBy(*keys, customer)
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(one))
+    first = F.row_number().over(one.orderBy(action)) == 1  # a row a customer counts it
+    by_action = n.withColumns({"v": F.col("n") / norm, "first": first.cast("double")}).groupBy(*keys, action).agg(F.sum("v").alias("s"), F.sum("first").alias("c"))
+    sums = by_action.groupBy(*keys).agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum("c").alias("m"))
     m = F.col("m")
     value = F.when(m <= 1, 0.0).otherwise(F.least(F.greatest(1 - F.try_divide(F.col("ss") - m, m * (m - 1)), F.lit(0.0)), F.lit(1.0)))
-    return squares.join(vectors, keys).select(*keys, value.alias("personalization")) if keys else squares.crossJoin(vectors).select(value.alias("personalization"))
+    return sums.where("m > 0").select(*keys, value.alias("personalization")) if keys else sums.select(F.when(F.coalesce(m, F.lit(0.0)) == 0, 0.0).otherwise(value).alias("personalization"))
 
 
 def novelty(df: DataFrame, keys: list[str], customer: str, interaction: str, action: str) -> DataFrame:
