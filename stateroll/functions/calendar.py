@@ -17,7 +17,7 @@ DEFAULT_OUTPUTS = ["Day", "Week", "Month", "Quarter", "Year"]
 
 def grain(name: str) -> str:
     """A grain by any of its names, whatever its case, blanks around it, or blanks for `_`."""
-    asked = "_".join(name.strip().lower().split(" "))
+    asked = name.strip().lower().replace(" ", "_")
     out = ALIASES.get(asked, asked)
     if out not in GRAINS:
         raise ValueError(f"unknown grain {name!r}")

@@ -109,9 +109,12 @@ class FrequencyResponse:
         )
 
     def build(self, df: DataFrame, daily: bool = False, keys: list[str] | None = None) -> DataFrame:
+        return self.summed(self.responses(df, daily), keys)
+
+    def summed(self, responses: DataFrame, keys: list[str] | None = None) -> DataFrame:
         total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
         keys = [*self.dims, "frequency", "Day"] if keys is None else keys
-        return self.responses(df, daily).groupBy(*keys).agg(
+        return responses.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("Contacts"), F.count_if("clicked").alias("Clicks"), F.count_if("comparable").alias("Comparable"), F.count_if("comparable_click").alias("ComparableClicks"),
             total("runner_propensity").alias("RunnerPropensity"), F.count_if("priority_comparable").alias("PriorityComparable"), total("focal_priority").alias("FocalPriority"), total("runner_priority").alias("RunnerPriority"),
         )

@@ -194,6 +194,11 @@ def _thinned(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.iloc[[a + k for a, b in itertools.pairwise(cut) for k in corners(x[a:b], y[a:b])]]
 
 
+def _cross(ax: float, ay: float, bx: float, by: float) -> float:
+    """Twice the signed area between two differences from one point."""
+    return ax * by - ay * bx
+
+
 def _walked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Over corners by line and place: of each bucket the point that makes the largest triangle with the point kept before and the next bucket's mean."""
     bucket = kept = best = None
@@ -205,7 +210,7 @@ def _walked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     out.append(best[1])
                 kept = best[2:] if best and bucket[0] == first else None
                 bucket, best = (first, b), None
-            area = 0.0 if kept is None else abs((kept[0] - mx) * (y - kept[1]) - (kept[0] - x) * (my - kept[1]))
+            area = 0.0 if kept is None else abs(_cross(mx - kept[0], my - kept[1], x - kept[0], y - kept[1]))
             if best is None or area > best[0]:
                 best = (area, n, x, y)
         yield pd.DataFrame({"_n": np.array(out, np.int64)})

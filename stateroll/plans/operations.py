@@ -11,6 +11,7 @@ from stateroll.functions import calendar as C
 from stateroll.operators import kpis as K
 from stateroll.operators import profile as N
 from stateroll.operators import states as S
+from stateroll.operators.frequency import FrequencyResponse
 from stateroll.operators.query import Query
 from stateroll.operators.states import State
 from stateroll.plans import registry
@@ -18,6 +19,7 @@ from stateroll.plans.catalog import Tables, query, r
 from stateroll.sources import readers as R
 from stateroll.sources import sinks
 from stateroll.sources.scratch import folder
+from stateroll.streaming import frequency as KF
 from stateroll.streaming import incremental as I
 
 c = F.col
@@ -236,6 +238,49 @@ def _(t):
     return e.where("Day = '2024-01-20'").select("user_id", "event_type").distinct().join(seen, ["user_id", "event_type"], "left_anti")
 
 
+SEEN_SQL = """WITH e AS (SELECT user_id AS u, event_id AS i, floor(epoch(ts)) :: BIGINT AS s, event_type = 'purchase' AS pos FROM events WHERE event_type IN ('view', 'click', 'purchase')),
+x AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY s, i) AS seq FROM e), f AS (SELECT x.*, least(seq - (SELECT count(*) FROM x AS o WHERE o.u = x.u AND o.s <= x.s - 604800), 7) :: INTEGER AS frequency FROM x)
+SELECT frequency, count(*) AS "Contacts", count(*) FILTER (pos) AS "Clicks" FROM f GROUP BY 1"""
+
+
+def seen(t):
+    """Contacts of a user with the shop as a whole, and the events they are read from."""
+    fr = FrequencyResponse("user_id", "event_id", "action", "placement", "rank", "event_type", "ts", ["purchase"], ["view", "click"], order=["value"])
+    return fr, t.events.withColumns({"action": F.lit("any"), "placement": F.lit("shop"), "rank": F.lit(1)})
+
+
+@query("m06_kept_history", SEEN_SQL)
+def _(t):
+    """Three chunks are kept by day, one comes again changed, then as it was: frequencies of all days from what is kept."""
+    fr, rows = seen(t)
+    path, part = scratch(t), lambda k: rows.where(c("event_id") % 3 == k)
+    for k in range(3):
+        KF.keep(t.spark, path, fr, f"part-{k}", "f1", part(k))
+    KF.keep(t.spark, path, fr, "part-1", "f2", part(1).withColumn("ts", c("ts") + F.expr("INTERVAL 1 DAY")))
+    days = KF.keep(t.spark, path, fr, "part-1", "f3", part(1))
+    every = KF.days_to_do(days, fr)
+    return fr.summed(KF.frequencies_of(t.spark, path, fr, every), ["frequency"]).select("frequency", "Contacts", "Clicks")
+
+
+@query("m07_streamed_frequency", SEEN_SQL)
+def _(t):
+    """The table in files of any order, a micro-batch each; what was told last of each contact."""
+    fr, rows = seen(t)
+    source, told, store = scratch(t), scratch(t), "spark.sql.streaming.stateStore.providerClass"
+    rows.repartitionByRange(4, F.hash("event_id")).write.parquet(source)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    before = t.spark.conf.get(store)
+    t.spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        write = lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{told}/batch={n}")
+        late = KF.frequencies_stream(stream, fr, 24 * 60)  # as late as the table is long
+        late.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", scratch(t)).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        t.spark.conf.set(store, before)
+    last = KF.last_told(t.spark.read.parquet(told))
+    return last.groupBy("frequency").agg(F.count(F.lit(1)).alias("Contacts"), F.count_if("positive").alias("Clicks"))
+
+
 @query("m08_reconciled_history", "SELECT strftime(ts, '%d') AS chunk_id, strftime(ts, '%d') < '11' AS stays FROM events GROUP BY 1")
 def _(t):
     expected = attempts(t).select("chunk_id", "fingerprint").distinct()

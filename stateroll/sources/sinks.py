@@ -33,8 +33,10 @@ LOG = "chunk_id string, pipeline_run_id string, config_hash string, created_at t
 
 
 def canonical(value):
-    """Nulls dropped, whole floats as integers, keys in order."""
+    """Nulls dropped, whole floats as integers, keys in order; a choice of two is a case of one condition."""
     if isinstance(value, dict):
+        if value.get("op") == "when_then" and all(k in value for k in ("cond", "then", "else")):
+            value = {"op": "case", "when": [{k: value[k] for k in ("cond", "then")}], "else": value["else"]}
         return {str(k): canonical(v) for k, v in sorted(value.items()) if v is not None}
     if isinstance(value, (list, tuple)):
         return [canonical(v) for v in value]

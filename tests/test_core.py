@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stateroll.functions import exprs, stats
-from stateroll.operators import frequency, metrics, rfm, shape, transforms
+from stateroll.operators import frequency, metrics, profile, rfm, shape, transforms
 from stateroll.operators import processors as P
 from stateroll.operators import query as Q
 from stateroll.operators import states as S
@@ -293,6 +293,39 @@ def test_query_errors(spark):
         registry.kind("none")
 
 
+def test_a_choice_of_two_hashes_as_a_case():
+    a = {"metric": {"op": "when_then", "cond": {"op": "gt", "a": 1.0}, "then": 2, "else": None}}
+    b = {"metric": {"op": "case", "when": [{"then": 2.0, "cond": {"a": 1, "op": "gt"}}]}}
+    assert sinks.config_hash(a) == sinks.config_hash(b) != sinks.config_hash({"metric": {**b["metric"], "else": 0}})
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_range_join_by_bins(spark, how):
+    """One key in half of the rows, points on bins' edges, negative numbers, nulls, and intervals that are longer than the width."""
+    rng = np.random.default_rng(7)
+    left = [(i, "hot" if i % 2 else f"k{i % 7}", float(x), float(x + w)) for i, (x, w) in enumerate(zip(rng.integers(-60, 60, 300), rng.choice([0, 3, 10, 10, 45], 300), strict=True))]
+    right = [(i, "hot" if i % 2 else f"k{i % 7}", float(p)) for i, p in enumerate(rng.integers(-80, 120, 400))]
+    left += [(1000, "hot", None, 3.0), (1001, None, 0.0, 9.0), (1002, "hot", 5.0, None)]
+    right += [(1000, "hot", None), (1001, None, 4.0)]
+    a = spark.createDataFrame(left, "i long, k string, low double, high double")
+    b = spark.createDataFrame(right, "j long, k string, p double")
+    pairs = lambda w: sorted(((r.i, r.j) for r in frequency.range_join(a, b, ["k"], F.col("low"), F.col("high"), F.col("p"), how, w).collect()), key=str)
+    want = [(i, j) for i, k, x, y in left for j, m, p in right if None not in (k, x, y, m, p) and k == m and x <= p <= y]
+    if how == "left":
+        met = {i for i, _ in want}
+        want += [(i, None) for i, *_ in left if i not in met]
+    assert pairs(None) == pairs(10) == pairs(0.5) == sorted(want, key=str)
+    with pytest.raises(ValueError, match="width"):
+        pairs(0)
+
+
+def test_sizes_of_many_groupings(spark):
+    df = spark.createDataFrame([("a", None), (None, "a"), ("a", "a"), ("a", "a"), (None, None)], "x string, y string")
+    got = {r.candidate: (r.current_rows, r.projected_rows) for r in profile.size_previews(df, ["x"], {"y": ["y"], "x again": ["x"], "gone": ["z"]}).collect()}
+    assert got == {"y": (2, 4), "x again": (2, 2), "gone": (2, 2)}
+    assert profile.size_previews(df.limit(0), [], {"y": ["y"]}).first().projected_rows == 0
+
+
 def test_configured_values_take_the_columns_type():
     from pyspark.sql import types as T
 
