@@ -130,6 +130,8 @@ def _reduced(rows: DataFrame, by: list[str], size: int) -> DataFrame:
 def _digests(rows: DataFrame, keys: list[str], names: list[str], size: int) -> DataFrame:
     by = _by(keys)
     dealt = _reduced(rows.withColumn("_salt", F.pmod(F.xxhash64("mean", "weight", "low"), F.lit(SALTS))), [*by, "_salt"], size)
+    if keys:  # dealt by the keys alone, which serves all that follows
+        dealt = dealt.repartition(*by[:-1])
     last = _reduced(dealt, by, size).groupBy(*by).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("weight").alias("n"), F.array_sort(F.collect_list(F.struct("mean", "weight"))).alias("centroids"))
     return _wide(last.select(*by, F.struct("low", "high", "n", "centroids").cast(DIGEST).alias("state")), keys, names)
 
@@ -290,6 +292,8 @@ def total_weight(c: Column) -> Column:
 def _coupons(rows: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     by = _by(keys)
     slots = rows.groupBy(*by, "slot").agg(F.bit_or("bits").alias("bits"))
+    if keys:
+        slots = slots.repartition(*by[:-1])
     one = slots.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("slot", "bits"))).cast(COUPONS).alias("state"))
     return _wide(one, keys, names)
 

@@ -115,14 +115,16 @@ def _sides(states: list[State]) -> dict[tuple[str, int], list[State]]:
 
 
 def _joined(main: DataFrame, keys: list[str], sides: list[DataFrame], names: list[str]) -> DataFrame:
-    """A row a key of main, with the states that it has in the sides; null keys are equal."""
-    for side in sides:
-        if keys:
-            renamed = side.withColumnsRenamed({k: f"_j_{k}" for k in keys})
-            main = main.join(renamed, [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in keys], "left").drop(*[f"_j_{k}" for k in keys])
-        else:
+    """A row a key of main, with the states that it has in the sides: by one grouping of all of them, in which null keys are equal."""
+    if not keys:
+        for side in sides:
             main = main.crossJoin(F.broadcast(side))  # one row each
-    return main.select(*keys, *names)
+        return main.select(*names)
+    every = main.withColumn("_main", F.lit(True))
+    for side in sides:
+        every = every.unionByName(side, allowMissingColumns=True)
+    one = every.groupBy(*keys).agg(F.max("_main").alias("_main"), *[F.first(n, ignorenulls=True).alias(n) for n in names])
+    return one.where("_main").drop("_main")
 
 
 def build(df: DataFrame, keys: list[str], states: list[State]) -> DataFrame:
