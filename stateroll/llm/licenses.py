@@ -59,6 +59,9 @@ FAMILIES = {
     "mit": ["mit license", "the mit license", "mit/x11 license", "expat mit license"],
     "mpl-2.0": ["mozilla public license, version 2.0", "mozilla public license 2.0", "mpl-2.0"],
 }
+# Identifiers that count after their mark only, alone or as a comment.
+IDENTIFIERS = {"gpl-2.0": ["gpl-2.0-only", "gpl-2.0-or-later"], "gpl-3.0": ["gpl-3.0-only", "gpl-3.0-or-later"], "isc": ["isc"], "lgpl-3.0": ["lgpl-3.0-only", "lgpl-3.0-or-later"], "mit": ["mit"]}
+MARKS = ["spdx-license-identifier:", "# spdx-license-identifier:", "// spdx-license-identifier:", "* spdx-license-identifier:"]
 LEADS = ["", "licensed under", "licensed under the", "released under the", "this work is licensed under the", "distributed under the terms of the", "this software is available under the", "spdx-license-identifier:"]
 UNKNOWN = [
     "all rights reserved", "copyright holder", "see the license file for details", "the license of the driver was renewed", "license agreement between the parties", "a custom license applies", "proprietary license", "no license is granted",
@@ -69,7 +72,8 @@ UNKNOWN = [
 
 def templates() -> list[tuple[str, str]]:
     named = [(family, f"{lead} {name}".strip()) for family, names in FAMILIES.items() for name in names for lead in LEADS]
-    return named + bodies()
+    marked = [(family, f"{mark} {name}") for family, names in IDENTIFIERS.items() for name in names for mark in MARKS]
+    return named + marked + bodies()
 
 
 def bodies() -> list[tuple[str, str]]:

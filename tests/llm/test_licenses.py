@@ -63,6 +63,16 @@ def test_scores_by_hand(spark, model):
     assert abs(next(f.confidence for f in found if f.family == "mit") - want) < 1e-9
 
 
+def test_identifiers(spark, model):
+    want = {
+        "SPDX-License-Identifier: MIT": "mit", "# SPDX-License-Identifier: ISC": "isc", "// SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2.0", "SPDX-License-Identifier: GPL-2.0-only": "gpl-2.0",
+        "/* SPDX-License-Identifier: GPL-3.0-or-later */": "gpl-3.0", "SPDX-License-Identifier: LGPL-3.0-only": "lgpl-3.0", "SPDX-License-Identifier: Apache-2.0": "apache-2.0", "int main() {}\n// SPDX-License-Identifier: MIT\nreturn 0;": "mit",
+        "He studied at MIT and ISC in Boston.": "", "SPDX-License-Identifier: LicenseRef-Own": "", "mit den Worten": "", "the identifier: MIT": "",
+    }
+    got = rows(spark, model, list(want))
+    assert [got[k].licences for k in range(len(want))] == list(want.values())
+
+
 def test_screen_skips_only_what_cannot_count(spark, model):
     assert model.screen
     df = spark.read.parquet(f"{oracle.SF}/documents.parquet")
