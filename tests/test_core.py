@@ -246,11 +246,12 @@ def test_names_of_identities_and_measures():
 def test_profile_counts_few_values_exactly_and_estimates_many(spark, monkeypatch):
     from stateroll.operators import profile
 
-    monkeypatch.setattr(profile, "EXACT_MAX", 100)
-    df = spark.range(5000).select("id", (F.col("id") % 7).alias("few"), F.lit(None).cast("int").alias("none"))
+    df = spark.range(20_000).select("id", (F.col("id") % 7).alias("few"), F.lit(None).cast("int").alias("none"))
     got = {r.field: r for r in profile.column_profile(df).collect()}
-    assert (got["few"].cardinality, got["none"].cardinality, got["none"].null_rate) == (7, 0, 1.0)
-    assert 4800 <= got["id"].cardinality <= 5000
+    assert (got["few"].cardinality, got["none"].cardinality, got["none"].null_rate, got["id"].cardinality) == (7, 0, 1.0, 20_000)
+    monkeypatch.setattr(profile, "EXACT_LG", 12)
+    got = {r.field: r for r in profile.column_profile(df).collect()}
+    assert got["few"].cardinality == 7 and 19_000 <= got["id"].cardinality <= 20_000
 
 
 def test_quantiles_by_key(spark):
