@@ -81,8 +81,12 @@ def _task_clusters(n_keys: int, size: int):
         n_held, kinds = 0, None
 
         def joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-            parts = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            return clustered(*parts, size) if len(parts[0]) > CLUSTERS * size else tuple(parts)
+            mean, weight, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(mean, kind="stable")
+            mean, weight, low, high = mean[order], weight[order], low[order], high[order]
+            begin = np.flatnonzero(np.r_[True, mean[1:] != mean[:-1]])  # equal values are one cluster, whatever their number
+            one = mean[begin], np.add.reduceat(weight, begin), np.minimum.reduceat(low, begin), np.maximum.reduceat(high, begin)
+            return clustered(*one, size) if len(begin) > CLUSTERS * size else one
 
         def rows() -> Iterator[pa.RecordBatch]:
             keys = list(held)
