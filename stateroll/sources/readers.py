@@ -5,12 +5,17 @@ from __future__ import annotations
 import io
 import itertools
 import json
+import re
+import struct
 import tarfile
+import urllib.parse
 import zipfile
 from collections.abc import Iterator
 from typing import IO
 
+import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,55 +41,144 @@ def read_json(spark: SparkSession, paths: str | list[str], array: bool = False,
     return (reader.schema(schema) if schema else reader).json(paths)
 
 
-#: Lines that a task hands on at a time.
-BATCH_LINES = 10_000
+#: Lines, and characters of them, that a task hands on at a time.
+BATCH_LINES, BATCH_CHARS = 10_000, 8 << 20
+#: Bytes, or characters, that are read at a time.
+READ_SIZE = 1 << 20
+MEMBERS = "path string, member string, start long, packed long, size long, crc long, method int"
+BLANKS = re.compile(r"[ \t\r\n]*")
+NO_BREAKS = {10: " ", 13: " "}
 
 
-def _members(name: str, content: io.BytesIO) -> Iterator[tuple[str, IO[bytes]]]:
-    """The .json and .ndjson members of an archive as open files, by name."""
-    wanted = (".json", ".ndjson")
-    if name.endswith(".zip"):
-        with zipfile.ZipFile(content) as z:
-            for n in sorted(z.namelist()):
-                if n.endswith(wanted):
-                    with z.open(n) as f:
-                        yield n, f
-    else:
-        with tarfile.open(fileobj=content, mode="r:*") as t:
-            for m in sorted((m for m in t.getmembers() if m.isfile() and m.name.endswith(wanted)), key=lambda m: m.name):
-                yield m.name, t.extractfile(m)
+def _opened(path: str) -> IO[bytes]:
+    """A file of any store that pyarrow knows, read in ranges of READ_SIZE; the path is as Spark gives it, without escapes."""
+    uri = urllib.parse.quote(path, safe=":/@")
+    uri = re.sub("^file:/(?!/)", "file:///", re.sub("^s3[an]:", "s3:", uri))
+    store, name = fs.FileSystem.from_uri(uri)
+    return io.BufferedReader(store.open_input_file(name), READ_SIZE)
 
 
-def _documents(raw: IO[bytes]) -> Iterator[str]:
-    """A member's documents, a line each: an array's elements, or its lines that aren't blank."""
-    text = io.TextIOWrapper(raw, encoding="utf-8-sig", newline=None)
-    head = ""
-    while not head.strip():
-        head = text.readline()
-        if not head:
-            return
-    if head.lstrip().startswith("["):  # one JSON value: read whole
-        yield from (json.dumps(x) for x in json.loads(head + text.read()))
-        return
-    yield head.rstrip("\n")
-    for line in text:
-        if line.strip():
-            yield line.rstrip("\n")
+def _is_export(name: str) -> bool:
+    return name.endswith((".json", ".ndjson"))
+
 
+def _listed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """MEMBERS of archives: of a .zip its directory's, of others one row without a name, as they can be read from the front only."""
+    columns = [c.split()[0] for c in MEMBERS.split(", ")]
+    for part in parts:
+        for path in part["path"]:
+            if not path.endswith(".zip"):
+                yield pd.DataFrame([(path, None, 0, 0, 0, 0, 0)], columns=columns)
+                continue
+            with _opened(path) as file, zipfile.ZipFile(file) as z:
+                found = [m for m in z.infolist() if _is_export(m.filename)]
+                if locked := [m.filename for m in found if m.flag_bits & 1]:
+                    raise ValueError(f"encrypted members of {path}: {locked[:5]}")
+                yield pd.DataFrame([(path, m.filename, m.header_offset, m.compress_size, m.file_size, m.CRC, m.compress_type) for m in found], columns=columns)
 
-def archive_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, member, line_no, line) of .zip, .tar.gz and .tgz archives: a task an archive, whose packed bytes it holds; members are unpacked as they are read."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for path, content in zip(part["path"], part["content"], strict=True):
-                for member, raw in _members(path, io.BytesIO(content)):
-                    numbered = enumerate(_documents(raw))
-                    while rows := list(itertools.islice(numbered, BATCH_LINES)):
-                        yield pd.DataFrame({"path": path, "member": member, "line_no": [n for n, _ in rows], "line": [x for _, x in rows]})
+class _Forward(io.RawIOBase):
+    """A file that is asked for its next bytes only."""
 
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInPandas(run, "path string, member string, line_no long, line string")
+    def __init__(self, file: IO[bytes]):
+        self.file = file
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        got = self.file.read(len(into))
+        into[: len(got)] = got
+        return len(got)
+
+
+def _unpacked(path: str, member: str | None, start: int, packed: int, size: int, crc: int, method: int) -> Iterator[tuple[str, IO[bytes]]]:
+    """Open members, by name: the one at a place of a .zip, or all of an archive that is read from the front."""
+    with _opened(path) as file:
+        if member is None:
+            with tarfile.open(fileobj=file, mode="r|*") as t:
+                for m in t:
+                    if m.isfile() and _is_export(m.name):
+                        yield m.name, io.BufferedReader(_Forward(t.extractfile(m)))
+                    t.members = []  # else it keeps them all
+            return
+        file.seek(start)
+        name, extra = struct.unpack("<26xHH", file.read(30))
+        file.seek(start + 30 + name + extra)
+        info = zipfile.ZipInfo(member)
+        info.compress_type, info.compress_size, info.file_size, info.CRC = method, packed, size, crc
+        yield member, zipfile.ZipExtFile(file, "r", info)  # checks the CRC at its end
+
+
+def _elements(text: IO[str]) -> Iterator[str]:
+    """The elements of a JSON array after its bracket, as they are written, a line each; text is read as far as the next one needs."""
+    scan = json.JSONDecoder().raw_decode
+    held, at, step, first = "", 0, READ_SIZE, True
+    while True:
+        at = BLANKS.match(held, at).end()
+        if first and held.startswith("]", at):
+            at += 1
+            break
+        try:
+            end = scan(held, at)[1]
+            after = BLANKS.match(held, end).end()
+            mark = held[after : after + 1]
+        except ValueError:
+            mark = ""
+        if mark and mark in ",]":  # else a number may go on
+            yield held[at:end].translate(NO_BREAKS)
+            at, step, first = after + 1, READ_SIZE, False
+            if mark == "]":
+                break
+            continue
+        if not (more := text.read(step)):
+            raise ValueError(f"no JSON array: {held[at : at + 80]!r}")
+        held, at, step = held[at:] + more, 0, 2 * step  # doubled, so that a long element is scanned few times
+    rest = held[at:] or text.read(READ_SIZE)
+    while rest:
+        if rest.strip():
+            raise ValueError(f"text after a JSON array: {rest.strip()[:80]!r}")
+        rest = text.read(READ_SIZE)
+
+
+def _documents(raw: IO[bytes]) -> Iterator[str]:
+    """A member's documents, a line each: an array's elements, or its lines that aren't blank."""
+    text = io.TextIOWrapper(raw, encoding="utf-8-sig", newline=None)
+    while (head := text.read(1)) and not head.strip():
+        pass
+    if head == "[":
+        yield from _elements(text)
+    elif head:
+        for line in itertools.chain([head + text.readline()], text):
+            if line.strip():
+                yield line.rstrip("\n")
+
+
+def _lines(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        for row in part.itertuples(index=False):
+            for member, raw in _unpacked(row.path, None if pd.isna(row.member) else row.member, *row[2:]):
+                held, first, chars = [], 0, 0
+                for line in itertools.chain(_documents(raw), [None]):
+                    if line is None or len(held) == BATCH_LINES or chars > BATCH_CHARS:
+                        yield pd.DataFrame({"path": row.path, "member": member, "line_no": np.arange(first, first + len(held)), "line": pd.Series(held, dtype=object)})
+                        held, first, chars = [], first + len(held), 0
+                    if line is not None:
+                        held.append(line)
+                        chars += len(line)
+
+
+def archive_lines(spark: SparkSession, paths: str | list[str], tasks: int | None = None) -> DataFrame:
+    """(path, member, line_no, line) of .zip, .tar.gz and .tgz archives; no archive or member is held whole.
+
+    Directories of .zip archives are read first, and their members dealt evenly to `tasks` (the session's shuffle
+    partitions): each is read by its range of bytes and unpacked as a stream, so one archive is as many tasks as it has
+    members. Compressed tar archives have no directory and can be read from the front only, a task each. Elements of
+    a JSON array are told one by one, as they are written. A line or an element is held whole.
+    """
+    files = spark.read.format("binaryFile").load(paths).select("path")  # without their content
+    members = files.mapInPandas(_listed, MEMBERS).repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return members.mapInPandas(_lines, "path string, member string, line_no long, line string")
 
 
 def read_archives(spark: SparkSession, paths: str | list[str], schema: T.StructType | str) -> DataFrame:
@@ -97,8 +191,6 @@ def chunk_id(pattern: str | None = None, path: Column | None = None) -> Column:
     name = F.element_at(F.split(path, "/"), -1)
     if not pattern:
         return name
-    import re
-
     n = re.compile(pattern).groups
     found = F.regexp_extract(path, pattern, 0) if n == 0 else F.concat_ws("-", *[F.regexp_extract(path, pattern, k) for k in range(1, n + 1)])
     return F.when(path.rlike(pattern), found).otherwise(name)

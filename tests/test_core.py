@@ -123,6 +123,52 @@ def test_archives(spark, tmp_path):
     assert [(r.chunk_id, r.n_files) for r in found.collect()] == [("b", 1)]
 
 
+def test_archive_members_are_tasks(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a b%20.zip", "w") as z:
+        for k, how in enumerate((zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA) * 2):
+            z.writestr(f"{k}.json", json.dumps([{"a": k * 10_000 + i, "s": "x\u2028\n"} for i in range(9_000)], indent=k % 3 or None, ensure_ascii=False), how)
+    with tarfile.open(tmp_path / "c.tgz", "w:gz") as t:
+        for name, raw in (("d.json", b" \n[]\n"), ("e.ndjson", b"\xef\xbb\xbf" + b'{"a": -1}\n' * 12_000), ("e.ndjson", b'{"a": -2}'), ("f.json", b"")):
+            info = tarfile.TarInfo(name)
+            info.size = len(raw)
+            t.addfile(info, io.BytesIO(raw))
+    longest = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "10")  # no archive may become a row
+    try:
+        lines = readers.archive_lines(spark, f"{tmp_path}/*").withColumn("task", F.spark_partition_id()).cache()
+        assert lines.where("path LIKE '%zip'").select("task").distinct().count() == 4
+        assert lines.select("path", "member", "line_no").where("path LIKE '%zip'").distinct().count() == 72_000
+        rows = lines.select(F.from_json("line", "a int, s string").alias("r")).select("r.*")
+        assert rows.where("a >= 0").agg(F.sum("a"), F.count_distinct("a"), F.min("s"), F.max("s")).first()[:] == (sum(k * 10_000 + i for k in range(8) for i in range(9_000)), 72_000, "x\u2028\n", "x\u2028\n")
+        assert rows.where("a < 0").groupBy("a").count().orderBy("a").collect() == [(-2, 1), (-1, 12_000)]
+        lines.unpersist()
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", longest)
+
+
+def test_array_elements_in_small_reads(monkeypatch):
+    values = [12, -1.5e-3, 0, True, None, "a,]\\\"[", [], [1, [2]], {"k": {"l": [3]}}, "\u00e9" * 50, 7]
+    for size in (1, 2, 3, 7, 1000):
+        monkeypatch.setattr(readers, "READ_SIZE", size)
+        for indent in (None, 1):
+            text = json.dumps(values, indent=indent, ensure_ascii=False)
+            assert [json.loads(x) for x in readers._elements(io.StringIO(text[1:] + " \n"))] == values
+        assert list(readers._elements(io.StringIO("1.00000000000000000001 , 12345678901234567890]"))) == ["1.00000000000000000001", "12345678901234567890"]
+        assert list(readers._elements(io.StringIO(" ]"))) == []
+        for bad in ("1, ", "1,]", "1 2]", "1] 2", "{]", ""):
+            with pytest.raises(ValueError):
+                list(readers._elements(io.StringIO(bad)))
+
+
+def test_damaged_archives_fail(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
+        z.writestr("a.ndjson", '{"a": 1}\n' * 10)
+    raw = (tmp_path / "x.zip").read_bytes()
+    (tmp_path / "x.zip").write_bytes(raw.replace(b'{"a": 1}', b'{"a": 2}', 1))
+    with pytest.raises(Exception, match="CRC"):
+        readers.archive_lines(spark, f"{tmp_path}/x.zip").collect()
+
+
 def test_sink_refuses_rows_without_period_and_mixed_chunks(spark, tmp_path):
     df = sinks.stamped(spark.createDataFrame([(1, None)], "n int, period string"), "r", "c", "h")
     with pytest.raises(ValueError, match="period"):
