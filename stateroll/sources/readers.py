@@ -46,6 +46,9 @@ BATCH_LINES, BATCH_CHARS = 10_000, 8 << 20
 #: Bytes, or characters, that are read at a time.
 READ_SIZE = 1 << 20
 MEMBERS = "path string, member string, start long, packed long, size long, crc long, method int"
+LINES = "path string, member string, line_no long, line string"
+#: Schemes of stores that pyarrow opens.
+OPENED = ("file", "hdfs", "s3", "s3a", "s3n", "gs", "abfs", "abfss")
 BLANKS = re.compile(r"[ \t\r\n]*")
 NO_BREAKS = {10: " ", 13: " "}
 
@@ -62,19 +65,22 @@ def _is_export(name: str) -> bool:
     return name.endswith((".json", ".ndjson"))
 
 
+def _directory(path: str, file: IO[bytes] | None = None) -> list[tuple]:
+    """MEMBERS of an archive: of a .zip its directory's, of others one row without a name, as they can be read from the front only."""
+    if not path.endswith(".zip"):
+        return [(path, None, 0, 0, 0, 0, 0)]
+    with file or _opened(path) as f, zipfile.ZipFile(f) as z:
+        found = [m for m in z.infolist() if _is_export(m.filename)]
+    if locked := [m.filename for m in found if m.flag_bits & 1]:
+        raise ValueError(f"encrypted members of {path}: {locked[:5]}")
+    return [(path, m.filename, m.header_offset, m.compress_size, m.file_size, m.CRC, m.compress_type) for m in found]
+
+
 def _listed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """MEMBERS of archives: of a .zip its directory's, of others one row without a name, as they can be read from the front only."""
     columns = [c.split()[0] for c in MEMBERS.split(", ")]
     for part in parts:
         for path in part["path"]:
-            if not path.endswith(".zip"):
-                yield pd.DataFrame([(path, None, 0, 0, 0, 0, 0)], columns=columns)
-                continue
-            with _opened(path) as file, zipfile.ZipFile(file) as z:
-                found = [m for m in z.infolist() if _is_export(m.filename)]
-                if locked := [m.filename for m in found if m.flag_bits & 1]:
-                    raise ValueError(f"encrypted members of {path}: {locked[:5]}")
-                yield pd.DataFrame([(path, m.filename, m.header_offset, m.compress_size, m.file_size, m.CRC, m.compress_type) for m in found], columns=columns)
+            yield pd.DataFrame(_directory(path), columns=columns)
 
 
 class _Forward(io.RawIOBase):
@@ -92,22 +98,21 @@ class _Forward(io.RawIOBase):
         return len(got)
 
 
-def _unpacked(path: str, member: str | None, start: int, packed: int, size: int, crc: int, method: int) -> Iterator[tuple[str, IO[bytes]]]:
+def _unpacked(file: IO[bytes], member: str | None, start: int, packed: int, size: int, crc: int, method: int) -> Iterator[tuple[str, IO[bytes]]]:
     """Open members, by name: the one at a place of a .zip, or all of an archive that is read from the front."""
-    with _opened(path) as file:
-        if member is None:
-            with tarfile.open(fileobj=file, mode="r|*") as t:
-                for m in t:
-                    if m.isfile() and _is_export(m.name):
-                        yield m.name, io.BufferedReader(_Forward(t.extractfile(m)))
-                    t.members = []  # else it keeps them all
-            return
-        file.seek(start)
-        name, extra = struct.unpack("<26xHH", file.read(30))
-        file.seek(start + 30 + name + extra)
-        info = zipfile.ZipInfo(member)
-        info.compress_type, info.compress_size, info.file_size, info.CRC = method, packed, size, crc
-        yield member, zipfile.ZipExtFile(file, "r", info)  # checks the CRC at its end
+    if member is None:
+        with tarfile.open(fileobj=file, mode="r|*") as t:
+            for m in t:
+                if m.isfile() and _is_export(m.name):
+                    yield m.name, io.BufferedReader(_Forward(t.extractfile(m)))
+                t.members = []  # else it keeps them all
+        return
+    file.seek(start)
+    name, extra = struct.unpack("<26xHH", file.read(30))
+    file.seek(start + 30 + name + extra)
+    info = zipfile.ZipInfo(member)
+    info.compress_type, info.compress_size, info.file_size, info.CRC = method, packed, size, crc
+    yield member, zipfile.ZipExtFile(file, "r", info)  # checks the CRC at its end
 
 
 def _elements(text: IO[str]) -> Iterator[str]:
@@ -154,18 +159,30 @@ def _documents(raw: IO[bytes]) -> Iterator[str]:
                 yield line.rstrip("\n")
 
 
+def _batches(path: str, file: IO[bytes], *place) -> Iterator[pd.DataFrame]:
+    for member, raw in _unpacked(file, *place):
+        held, first, chars = [], 0, 0
+        for line in itertools.chain(_documents(raw), [None]):
+            if line is None or len(held) == BATCH_LINES or chars > BATCH_CHARS:
+                yield pd.DataFrame({"path": path, "member": member, "line_no": np.arange(first, first + len(held)), "line": pd.Series(held, dtype=object)})
+                held, first, chars = [], first + len(held), 0
+            if line is not None:
+                held.append(line)
+                chars += len(line)
+
+
 def _lines(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
-        for row in part.itertuples(index=False):
-            for member, raw in _unpacked(row.path, None if pd.isna(row.member) else row.member, *row[2:]):
-                held, first, chars = [], 0, 0
-                for line in itertools.chain(_documents(raw), [None]):
-                    if line is None or len(held) == BATCH_LINES or chars > BATCH_CHARS:
-                        yield pd.DataFrame({"path": row.path, "member": member, "line_no": np.arange(first, first + len(held)), "line": pd.Series(held, dtype=object)})
-                        held, first, chars = [], first + len(held), 0
-                    if line is not None:
-                        held.append(line)
-                        chars += len(line)
+        for path, member, *place in part.itertuples(index=False):
+            with _opened(path) as file:
+                yield from _batches(path, file, None if pd.isna(member) else member, *place)
+
+
+def _lines_of_contents(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        for path, content in part[["path", "content"]].itertuples(index=False):
+            for _, *place in _directory(path, io.BytesIO(content)):
+                yield from _batches(path, io.BytesIO(content), *place)
 
 
 def archive_lines(spark: SparkSession, paths: str | list[str], tasks: int | None = None) -> DataFrame:
@@ -175,10 +192,15 @@ def archive_lines(spark: SparkSession, paths: str | list[str], tasks: int | None
     partitions): each is read by its range of bytes and unpacked as a stream, so one archive is as many tasks as it has
     members. Compressed tar archives have no directory and can be read from the front only, a task each. Elements of
     a JSON array are told one by one, as they are written. A line or an element is held whole.
+    From a store that only Spark can open (none of OPENED), archives come as rows of up to 2 GB, a task each.
     """
-    files = spark.read.format("binaryFile").load(paths).select("path")  # without their content
-    members = files.mapInPandas(_listed, MEMBERS).repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return members.mapInPandas(_lines, "path string, member string, line_no long, line string")
+    files = spark.read.format("binaryFile").load(paths)
+    at = spark._jvm.org.apache.hadoop.fs.Path(paths if isinstance(paths, str) else paths[0])
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() not in OPENED:
+        return files.select("path", "content").mapInPandas(_lines_of_contents, LINES)
+    members = files.select("path")  # without their content
+    members = members.mapInPandas(_listed, MEMBERS).repartition(tasks or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return members.mapInPandas(_lines, LINES)
 
 
 def read_archives(spark: SparkSession, paths: str | list[str], schema: T.StructType | str) -> DataFrame:

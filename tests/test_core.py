@@ -141,9 +141,13 @@ def test_archive_members_are_tasks(spark, tmp_path):
         rows = lines.select(F.from_json("line", "a int, s string").alias("r")).select("r.*")
         assert rows.where("a >= 0").agg(F.sum("a"), F.count_distinct("a"), F.min("s"), F.max("s")).first()[:] == (sum(k * 10_000 + i for k in range(8) for i in range(9_000)), 72_000, "x\u2028\n", "x\u2028\n")
         assert rows.where("a < 0").groupBy("a").count().orderBy("a").collect() == [(-2, 1), (-1, 12_000)]
-        lines.unpersist()
     finally:
         spark.conf.set("spark.sql.sources.binaryFile.maxLength", longest)
+    other = f"viewfs://other{tmp_path}"  # a store that only Spark opens
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.other.link./" + tmp_path.parts[1], f"file:///{tmp_path.parts[1]}")
+    same = readers.archive_lines(spark, f"{other}/*").select("member", "line_no", "line")
+    assert same.exceptAll(lines.select(same.columns)).isEmpty() and same.count() == lines.count() == 84_001
+    lines.unpersist()
 
 
 def test_array_elements_in_small_reads(monkeypatch):
