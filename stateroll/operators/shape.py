@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -194,28 +195,104 @@ def _thinned(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.iloc[[a + k for a, b in itertools.pairwise(cut) for k in corners(x[a:b], y[a:b])]]
 
 
-def _cross(ax: float, ay: float, bx: float, by: float) -> float:
-    """Twice the signed area between two differences from one point."""
-    return ax * by - ay * bx
+#: Areas that are compared at a time.
+AREAS = 1 << 21
 
 
-def _walked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Over corners by line and place: of each bucket the point that makes the largest triangle with the point kept before and the next bucket's mean."""
-    bucket = kept = best = None
+def _largest(kept: tuple[np.ndarray, np.ndarray], mean: tuple[float, float], points: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """By point kept before, the first of a bucket's points that makes the largest triangle with it and the next bucket's mean."""
+    step = max(1, AREAS // len(points[0]))
+    out = []
+    for at in range(0, len(kept[0]), step):
+        kx, ky = (k[at : at + step, None] for k in kept)
+        areas = np.abs((mean[0] - kx) * (points[1] - ky) - (mean[1] - ky) * (points[0] - kx))
+        out.append(np.where(np.isnan(areas), -1.0, areas).argmax(axis=1))
+    return np.concatenate(out)
+
+
+def _buckets(parts: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """Of rows by line, stretch and bucket, over batches: ((line, stretch), places, xs, ys, the next bucket's mean)."""
+    own, held = None, []
+
+    def whole():
+        n, x, y = (np.concatenate(c) for c in zip(*[h[:3] for h in held], strict=True))
+        return own[:2], n, x, y, held[0][3]
+
+    for pdf in parts:
+        key, places = pdf[["_first", "_s", "_b"]].to_numpy(), pdf["_n"].to_numpy()
+        x, y, mx, my = (pdf[c].to_numpy(np.float64) for c in ("_x", "_y", "_mx", "_my"))
+        starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1))) if len(pdf) else []
+        for i, j in itertools.pairwise([*starts, len(pdf)]):
+            if held and own != tuple(key[i].tolist()):
+                yield whole()
+                held = []
+            own = tuple(key[i].tolist())
+            held.append((places[i:j], x[i:j], y[i:j], (mx[i], my[i])))
+    if held:
+        yield whole()
+
+
+def _ways(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each stretch, by point that may be kept before it, the point that is then kept at its end. Ways that meet go on as one."""
+    own = None
+    frame = lambda: pd.DataFrame({"_first": own[0], "_s": own[1], "_n": starts, "_end": kept[0][at]})
+    for key, n, x, y, mean in _buckets(parts):
+        if key != own:
+            if own:
+                yield frame()
+            own, starts, kept, at = key, n, (n, x, y), np.arange(len(n))
+            continue
+        met, way = np.unique(_largest(kept[1:], mean, (x, y)), return_inverse=True)
+        kept, at = (n[met], x[met], y[met]), way[at]
+    if own:
+        yield frame()
+
+
+def _taken(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Over a line's ways by stretch: those that are taken."""
+    due = at = None
     for pdf in parts:
         out = []
-        for first, b, n, x, y, mx, my in pdf[["_first", "_b", "_n", "_x", "_y", "_mx", "_my"]].itertuples(index=False):
-            if (first, b) != bucket:
-                if best:
-                    out.append(best[1])
-                kept = best[2:] if best and bucket[0] == first else None
-                bucket, best = (first, b), None
-            area = 0.0 if kept is None else abs(_cross(mx - kept[0], my - kept[1], x - kept[0], y - kept[1]))
-            if best is None or area > best[0]:
-                best = (area, n, x, y)
-        yield pd.DataFrame({"_n": np.array(out, np.int64)})
-    if best:
-        yield pd.DataFrame({"_n": np.array([best[1]], np.int64)})
+        for first, s, n, end in pdf[["_first", "_s", "_n", "_end"]].itertuples(index=False):
+            if s == 0:
+                due, at = (first, 0), n
+            if (first, s) == due and n == at:
+                out.append((first, s, n))
+                due, at = (first, s + 1), end
+        yield pd.DataFrame(out, columns=["_first", "_s", "_n"]).astype(np.int64)
+
+
+def _walked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The points that are kept of each stretch, from the one before it, which is its first bucket."""
+    own, out = None, []
+    for key, n, x, y, mean in _buckets(parts):
+        pick = int(_largest(kept, mean, (x, y))[0]) if key == own else 0
+        if key == own or key[1] == 0:
+            out.append(n[pick])
+        own, kept = key, (x[pick : pick + 1], y[pick : pick + 1])
+        if len(out) == 10_000:
+            yield pd.DataFrame({"_n": out})
+            out = []
+    yield pd.DataFrame({"_n": np.array(out, np.int64)})
+
+
+def walked(points: DataFrame, stretch: int) -> DataFrame:
+    """The places (`_n`) that largest triangles keep of lines (`_first`) in buckets from -1 (`_b`), whose points have `_x`, `_y` and the next bucket's mean `_mx`, `_my`.
+
+    What a bucket keeps depends on what the one before keeps. So lines are cut into stretches of some buckets, each of
+    which first finds its end for every point that may be kept before it; following these ends from stretch to stretch
+    gives each its true beginning, and then all stretches are walked beside each other.
+    """
+    place = F.col("_b") + 1
+    own = F.floor(place / stretch)
+    both = F.when(place % stretch == stretch - 1, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = settled(points.select("*", F.explode(both).alias("_s"), own.alias("_own")))
+    in_order = lambda df: df.repartition("_first", "_s").sortWithinPartitions("_first", "_s", "_b", "_n")
+    ways = in_order(rows).mapInPandas(_ways, "_first long, _s long, _n long, _end long")
+    taken = ways.repartition("_first").sortWithinPartitions("_first", "_s").mapInPandas(_taken, "_first long, _s long, _n long")
+    inside = F.col("_own") == F.col("_s")
+    begun = rows.where(inside).unionByName(rows.where(~inside).join(taken, ["_first", "_s", "_n"], "left_semi"))
+    return in_order(begun).mapInPandas(_walked, "_n long")
 
 
 def _axis(df: DataFrame, x: str) -> Column:
@@ -232,8 +309,8 @@ def downsampled(df: DataFrame, series: list[str], x: str, y: str, points: int =
     """Each series' line with at most its share of the points (at least 3), rows as they are. A null y counts as 0; a null series is one.
 
     Largest triangles of three buckets. Lines are put in order by range partitions and cut into buckets of equal
-    length, and batches of rows are thinned to the corners of their buckets' hulls. Which corner a bucket keeps depends
-    on the bucket before, so one task a line walks over the corners, and holds a batch of them at a time.
+    length, and batches of rows are thinned to the corners of their buckets' hulls, over which walked() goes; a task holds
+    a bucket's corners at a time.
     """
     lines = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.struct(F.lit(0), *series).alias("_line"), F.col(x).alias("_at"), _axis(df, x).alias("_x"), F.coalesce(F.col(y).cast("double"), F.lit(0.0)).alias("_y"))
     rows = settled(numbered(lines, [F.col(c) for c in ("_line", "_at", "_y")], "_n"))
@@ -245,8 +322,7 @@ def downsampled(df: DataFrame, series: list[str], x: str, y: str, points: int =
     long = rows.where(~few).withColumn("_b", F.when(F.col("_k") == 0, -1).when(F.col("_k") == F.col("_size") - 1, budget - 2).otherwise(inner).cast("long"))
     means = long.groupBy("_first", (F.col("_b") - 1).alias("_b")).agg(F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"))
     thin = long.select("_first", "_b", "_n", "_x", "_y").mapInPandas(_thinned, "_first long, _b long, _n long, _x double, _y double")
-    walk = thin.join(means, ["_first", "_b"], "left").fillna(0.0, ["_mx", "_my"]).repartition("_first").sortWithinPartitions("_first", "_n")
-    kept = walk.mapInPandas(_walked, "_n long")
+    kept = walked(thin.join(means, ["_first", "_b"], "left").fillna(0.0, ["_mx", "_my"]), math.isqrt(budget))
     return rows.where(few).select("_row.*").union(long.join(kept, "_n", "left_semi").select("_row.*"))
 
 

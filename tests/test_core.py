@@ -8,6 +8,8 @@ import tarfile
 import zipfile
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,6 +268,37 @@ def test_downsampling_with_and_without_series(spark):
     assert sorted(r.d.toordinal() - dt.date(2024, 1, 1).toordinal() for r in shape.downsampled(days, [], "d", "y", 6).collect()) == kept
 
 
+@pytest.fixture
+def every_partition(spark):
+    """Small partitions stay apart, as large ones do."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize(("size", "buckets", "stretch"), [(100_000, 300, 17), (2_000, 2_000, 44), (60, 7, 1), (60, 7, 100)])
+def test_walk_in_stretches_is_the_walk(spark, every_partition, size, buckets, stretch):
+    at = np.arange(size)
+    b = np.where(at == 0, -1, np.where(at == size - 1, buckets - 2, ((at - 1) * (buckets - 2)) // (size - 2)))
+    b = np.minimum(b, buckets - 2)
+    for ys in ((at / size) ** 2 * 1e6, np.random.default_rng(size).integers(0, 4, size).astype(float)):
+        x, y = at.astype(float), ys
+        cut = [0, *(np.flatnonzero(b[1:] != b[:-1]) + 1).tolist(), size]
+        runs = [(i, j) for i, j in zip(cut, cut[1:])]
+        means = [(x[i:j].mean(), y[i:j].mean()) for i, j in runs][1:] + [(0.0, 0.0)]
+        kept = [0]
+        for (i, j), (mx, my) in list(zip(runs, means))[1:]:
+            k = kept[-1]
+            kept.append(i + int(np.abs((mx - x[k]) * (y[i:j] - y[k]) - (my - y[k]) * (x[i:j] - x[k])).argmax()))
+        mean = np.repeat(np.array(means), [j - i for i, j in runs], axis=0)
+        pdf = pd.DataFrame({"_first": 5, "_b": b, "_n": at, "_x": x, "_y": y, "_mx": mean[:, 0], "_my": mean[:, 1]})
+        df = spark.createDataFrame(pa.Table.from_pandas(pdf))
+        got = shape.walked(df.union(df.withColumn("_first", F.lit(6).cast("long")).withColumn("_n", F.col("_n") + size)), stretch).withColumn("task", F.spark_partition_id()).toPandas()
+        assert sorted(got["_n"]) == kept + [k + size for k in kept]
+        if size > 10_000:
+            assert got[got["_n"] < size]["task"].nunique() > 1
+
+
 def test_corners_hold_every_extreme():
     rng = np.random.default_rng(6)
     for spread in (3, 1000):
