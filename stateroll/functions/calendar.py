@@ -35,6 +35,13 @@ def calendar_column(name: str, t: Column) -> Column:
     }.get(name, lambda: F.date_format(t, "yyyy-MM-dd"))()
 
 
+def nearest_second(t: Column | str) -> Column:
+    """Whole seconds of the epoch, rounded: halves to the even second."""
+    t = F.col(t) if isinstance(t, str) else t
+    whole, part = F.unix_timestamp(t), F.extract(F.lit("SECOND"), t) % 1
+    return whole + F.when(part > 0.5, 1).when(part == 0.5, F.pmod(whole, F.lit(2))).otherwise(0)
+
+
 def derive_calendar(df: DataFrame, source: str, outputs: list[str] | None = None) -> DataFrame:
     return df.withColumns({o: calendar_column(o, F.col(source)) for o in outputs or DEFAULT_OUTPUTS})
 
