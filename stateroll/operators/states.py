@@ -99,7 +99,7 @@ class State:
         if self.kind == "hll":
             return F.hll_union_agg(c, F.lit(True))
         if self.kind == "theta":
-            return F.theta_union_agg(c)
+            return F.theta_union_agg(c, F.lit(self.parameter))
         if self.kind == "kll":
             return F.kll_merge_agg_double(c)
         raise ValueError(f"{self.kind!r} has no aggregate of its own")

@@ -31,3 +31,21 @@ def test_seconds_are_rounded_as_in_sql(against_sql, name):
     """Times at halves and other parts of seconds, around a day's end too."""
     against_sql(name, """SELECT i AS event_id, i % 3 AS user_id, CASE WHEN i % 2 = 0 THEN 'view' ELSE 'purchase' END AS event_type, 1.0 :: DOUBLE AS value,
         TIMESTAMP '2024-01-01 23:59:58' + to_microseconds((i % 7) * 86400000000 + (i % 11) * 250000 + (i % 5) * 3600000000) AS ts FROM range(400) AS t(i)""")
+
+
+@pytest.mark.parametrize("name", ["d12_theta", "d18_cardinality_bounds", "e10_entity_set", "e11_funnel", "g13_set_op", "g14_set_op_windows", "l03_set_algebra_of_sketches", "p03_unique_entities"])
+def test_full_sketches_are_counted_exactly(against_sql, name):
+    """More users than a sketch holds exactly, of one type and of most days; other types and days have few."""
+    against_sql(name, """SELECT i AS event_id, CASE WHEN i % 3 = 0 THEN i % 97 ELSE i % 17001 END AS user_id, ['view', 'purchase', 'error'][1 + ((i % 3 + 2 * (i // 17001)) % 3) :: INT] AS event_type, (i % 501) :: DOUBLE AS value,
+        TIMESTAMP '2024-01-01' + to_days((i * 7 % 60001 % 12 // 4 * 4) :: INT) + to_seconds(i % 86400) AS ts FROM range(60000) AS t(i)""")
+
+
+def test_merged_and_joined_sketches_keep_their_size(spark):
+    from stateroll.operators import metrics
+    from stateroll.operators import states as S
+    from stateroll.operators.states import State
+
+    states = [State("a", "theta", "id", "id < 15000", size=16), State("b", "theta", "id", "id >= 5000", size=16)]
+    df = spark.range(20_000).selectExpr("id", "id % 2 AS part")
+    one = S.merge(S.build(df, ["part"], states), [], states).select(S.estimate("a", "theta"), metrics.set_op("a", "b", "union", 16), metrics.set_op("a", "b", "intersection", 16)).first()
+    assert tuple(one) == (15_000.0, 20_000.0, 10_000.0)
