@@ -57,7 +57,13 @@ def stamped(df: DataFrame, run_id: str, chunk: str | None, spec_hash: str, creat
 
 
 def write_aggregate(df: DataFrame, path: str) -> DataFrame:
-    """Write rows with provenance, partitioned by period, chunk and run. Gives the receipts of what was written.
+    """append_aggregate(), and the receipts of what was written, for which all parts' folders are listed."""
+    done = append_aggregate(df, path)
+    return receipts(_stored(df.sparkSession, path).where(_one_of(done)))
+
+
+def append_aggregate(df: DataFrame, path: str) -> list[tuple[str, str]]:
+    """Write rows with provenance, partitioned by period, chunk and run. Gives the chunks and runs written. What was written before isn't listed or read.
 
     The reduction runs once, into a working table, which is checked and then published; so runs of one chunk lie side
     by side, and a failed one leaves those before it. Rows without a period, chunk or run, and chunks of more than one run
@@ -84,7 +90,7 @@ def write_aggregate(df: DataFrame, path: str) -> DataFrame:
         spark.createDataFrame([(r.chunk_id, r.pipeline_run_id, r.config_hash, r.created_at, r.n_rows, at) for r in done], LOG).coalesce(1).write.mode("append").parquet(f"{path}/_log")
     finally:
         dropped(spark, staging)
-    return receipts(_stored(spark, path).where(_one_of([(r.chunk_id, r.pipeline_run_id) for r in done])))
+    return [(r.chunk_id, r.pipeline_run_id) for r in done]
 
 
 def _attempt() -> Column:

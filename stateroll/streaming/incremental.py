@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stateroll.operators import states as S
 from stateroll.sources.scratch import dropped, folder
-from stateroll.sources.sinks import current, newest, publish, receipts, scan_aggregate, stamped, visible, write_aggregate
+from stateroll.sources.sinks import append_aggregate, current, newest, publish, receipts, scan_aggregate, stamped, visible, write_aggregate
 
 __all__ = ["compact", "compacted", "current", "current_hash_only", "freshness", "history_rows", "lineage", "newest", "partials_stream", "pending", "pruned", "rebuild", "reconciled", "run_totals", "several", "visible"]
 
@@ -28,10 +28,13 @@ def current_hash_only(stored: DataFrame, spec_hash: str) -> DataFrame:
 
 
 def partials_stream(stream: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, spec_hash: str, run_id: str = "stream"):
-    """Each micro-batch reduces to states of its own chunk (the batch's number) and is written; a repeated batch replaces itself."""
+    """Each micro-batch reduces to states of its own chunk (the batch's number) and is written; a repeated batch replaces itself.
+
+    A batch costs what its rows cost and some small jobs, whatever came before it.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        write_aggregate(stamped(build(batch), run_id, f"batch-{number:08d}", spec_hash), path)
+        append_aggregate(stamped(build(batch), run_id, f"batch-{number:08d}", spec_hash), path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

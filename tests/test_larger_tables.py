@@ -55,3 +55,16 @@ def test_profile_counts_many_values_exactly(against_sql):
     """More values than the profile's sketches hold exactly."""
     against_sql("n01_column_profile", """SELECT i AS event_id, i * 17 % 100003 AS user_id, ['view', 'purchase', 'error'][1 + i % 3] AS event_type, CASE WHEN i % 5 > 0 THEN (i % 70001) / 8 END AS value,
         TIMESTAMP '2024-01-01' AS ts FROM range(120000) AS t(i)""")
+
+
+def test_a_waiting_table_is_streamed_in_few_batches(against_sql, monkeypatch):
+    """Micro-batches don't grow with the table in number, and none lists what was written before it."""
+    from stateroll.sources import sinks
+    from stateroll.streaming import incremental
+
+    batches, listed, stamp, stored = [], [], incremental.stamped, sinks._stored
+    monkeypatch.setattr(incremental, "stamped", lambda df, run, chunk, *more: batches.append(chunk) or stamp(df, run, chunk, *more))
+    monkeypatch.setattr(sinks, "_stored", lambda *at: listed.append(at) or stored(*at))
+    against_sql("m05_partials_from_stream", """SELECT i AS event_id, i % 1000 AS user_id, ['view', 'purchase', 'error'][1 + i % 3] AS event_type, 1.0 :: DOUBLE AS value,
+        TIMESTAMP '2024-01-01' + to_days((i % 20) :: INT) AS ts FROM range(120000) AS t(i)""")
+    assert 3 < len(set(batches)) <= 13 and len(listed) == 1
