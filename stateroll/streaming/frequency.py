@@ -17,8 +17,7 @@ import datetime as dt
 import uuid
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -26,25 +25,29 @@ from stateroll.operators.frequency import FrequencyResponse
 from stateroll.sources import sinks
 
 KEY = ["customer", "action", "placement"]
+#: What is told of a contact.
+TOLD = Row(*KEY, "interaction", "s", "positive", "frequency")
 
 
 class _Exposures(StatefulProcessor):
-    """Of one customer, action and placement: contacts by interaction, with their first second, whether they are exposures, and positive, and the frequency told last (0: none)."""
+    """Of one customer, action and placement: contacts by interaction, with their first second, whether they are exposures, and positive, and the frequency told last (0: none).
+
+    A key's contacts are read at once and written at once, as each call to the state store is a round trip.
+    """
 
     def __init__(self, window: int, lag: int, most: int, kind: str) -> None:
         self.window, self.lag, self.most, self.kind = window, lag, most, kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("exposures", f"interaction {self.kind}", "s long, exposed boolean, positive boolean, told int")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = {k[0]: list(v) for k, v in self.held.iterator()} if self.held.exists() else {}
-        before = {k: tuple(v) for k, v in held.items()}
-        for batch in rows:
-            for name, s, exposed, positive in zip(batch["interaction"], batch["s"], batch["exposed"], batch["positive"], strict=True):
-                one = held.setdefault(name, [int(s), False, False, 0])
-                one[:3] = min(one[0], int(s)), one[1] or bool(exposed), one[2] or bool(positive)
+        self.held = handle.getListState("exposures", f"interaction {self.kind}, s long, exposed boolean, positive boolean, told int")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = {k: tuple(v) for k, *v in self.held.get()}
+        held = {k: list(v) for k, v in before.items()}
+        for name, s, exposed, positive in ((r["interaction"], r["s"], r["exposed"], r["positive"]) for r in rows):
+            one = held.setdefault(name, [s, False, False, 0])
+            one[:3] = min(one[0], s), one[1] or exposed, one[2] or positive
         # frequencies that rows still to come can move: of contacts that a row within the lag may add to
         open_ = timerValues.getCurrentWatermarkInMs() // 1000 - self.lag
         order = sorted((k for k in held if held[k][1]), key=lambda k: (held[k][0], k))
@@ -56,23 +59,28 @@ class _Exposures(StatefulProcessor):
             if s >= open_:
                 held[name][3] = min(at - first + 1, self.most)
             if tuple(held[name]) != before.get(name) and held[name][3]:
-                told.append((*key, name, s, *held[name][2:]))
+                told.append(TOLD(*key, name, s, *held[name][2:]))
         limit = open_ - self.window  # what is older is in none of their windows
-        for name, one in held.items():
-            if one[0] <= limit:
-                if name in before:
-                    self.held.removeKey((name,))
-            elif tuple(one) != before.get(name):
-                self.held.updateValue((name,), tuple(one))
-        newest = max(one[0] for one in held.values())
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if newest > limit:
-            self.handle.registerTimer((newest + self.window + self.lag) * 1000)
-        if told:
-            yield pd.DataFrame(told, columns=[*KEY, "interaction", "s", "positive", "frequency"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        kept = {name: tuple(one) for name, one in held.items() if one[0] > limit}
+        if kept != before:
+            if kept:
+                self.held.put([(name, *one) for name, one in kept.items()])
+            else:
+                self.held.clear()
+        self._wake(before, kept)
+        yield from told
+
+    def _wake(self, before: dict, kept: dict) -> None:
+        """A timer at which a key's newest contact is too old; what was held tells which timer there is."""
+        at = lambda contacts: (max(one[0] for one in contacts.values()) + self.window + self.lag) * 1000 if contacts else None
+        was, is_ = at(before), at(kept)
+        if was != is_:
+            if was is not None:
+                self.handle.deleteTimer(was)
+            if is_ is not None:
+                self.handle.registerTimer(is_)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.held.clear()  # the newest contact is too old
         return iter(())
 
@@ -89,7 +97,7 @@ def frequencies_stream(stream: DataFrame, fr: FrequencyResponse, lag_hours: int)
     kinds = {f.name: f.dataType.simpleString() for f in exposures.schema}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in (*KEY, "interaction")), "s long, positive boolean, frequency int"])
     processor = _Exposures(fr.window_hours * 3600, lag_hours * 3600, fr.max_frequency, kinds["interaction"])
-    return exposures.withWatermark("at", f"{lag_hours} hours").groupBy(*KEY).transformWithStateInPandas(processor, schema, "Update", "EventTime")
+    return exposures.withWatermark("at", f"{lag_hours} hours").groupBy(*KEY).transformWithState(processor, schema, "Update", "EventTime")
 
 
 def last_told(told: DataFrame, batch: str = "batch") -> DataFrame:

@@ -121,3 +121,40 @@ def test_a_changed_chunk_replaces_its_own_days(spark, tmp_path):
     had = FR.responses(spark.createDataFrame(data, COLUMNS))
     other = ~F.col("Day").isin(todo)
     assert key(want.where(other)) == key(had.where(other))
+
+
+def test_a_key_is_one_read_and_one_write_of_the_store():
+    from pyspark.sql import Row
+
+    calls, kept = [], []
+
+    class Store:
+        def get(self):
+            calls.append("get")
+            return iter(list(kept))
+
+        def put(self, values):
+            calls.append("put")
+            kept[:] = values
+
+    class Handle:
+        def getListState(self, *_):
+            return Store()
+
+        def registerTimer(self, at):
+            calls.append(at)
+
+        def deleteTimer(self, at):
+            calls.append(-at)
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    one = S._Exposures(3600, 7200, 5, "long")
+    one.init(Handle())
+    give = lambda a, b: list(one.handleInputRows(("a", "x", "top"), iter([Row(interaction=k, s=k * 600, exposed=True, positive=False) for k in range(a, b)]), Times()))
+    assert [t.frequency for t in give(0, 100)] == [1, 2, 3, 4] + [5] * 96
+    assert calls == ["get", "put", (99 * 600 + 10800) * 1000] and len(kept) == 100
+    assert give(50, 60) == [] and calls[3:] == ["get"]
+    assert len(give(100, 101)) == 1 and calls[4:] == ["get", "put", -(99 * 600 + 10800) * 1000, (100 * 600 + 10800) * 1000]
