@@ -4,9 +4,9 @@ Each is a column of plain structs. A state is made in two moves, from rows and f
 small already (clusters of values, counts of items, bits of coupons) are shuffled by key and reduced to one struct a key. So the
 states of a table's parts add up to those of the whole, whatever the parts are. All states of a kind share one pass.
 
-- t-digest: values are clustered in their order, the finer the nearer to either end (the arcsine scale). Tasks cluster
-  their own rows first, then keys are reduced in two steps, the first dealt by SALTS, so that no task gets
-  the clusters of all others.
+- t-digest: values are clustered in their order, the finer the nearer to either end (the arcsine scale). Tasks make
+  states of their own rows, or join those of other states, first. A shuffled row is a state, its clusters as two arrays; a key's
+  are sorted together and joined as they stream by, so that no task holds more than HELD_VALUES clusters.
 - Frequent items: counters of the most frequent items, and an offset by which any count may be short (Misra-Gries). Merging
   adds counters and offsets, then takes the greatest count that finds no room away from all and adds it to the offset.
 - Coupons: a value's hash names a slot and a column that falls off by halves; a state holds the set of coupons seen, as
@@ -20,17 +20,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Clusters of a digest for each unit of its size; tasks' clusters of a key are dealt among so many first.
-CLUSTERS, SALTS = 2, 16
-#: Values and keys that a task holds before it clusters, or sends on, what it has.
+#: Clusters of a digest for each unit of its size.
+CLUSTERS = 2
+#: Values (or clusters) and keys that a task holds before it clusters, or sends on, what it has.
 HELD_VALUES, HELD_KEYS = 1 << 20, 20_000
 DIGEST = "struct<low: double, high: double, n: bigint, centroids: array<struct<mean: double, weight: bigint>>>"
 TOP = "struct<offset: bigint, total: bigint, items: array<struct<item: string, count: bigint>>>"
@@ -62,95 +64,154 @@ def place(q, size: int):
     return np.floor(CLUSTERS * size * (np.arcsin(np.clip(2 * q - 1, -1, 1)) / np.pi + 0.5))
 
 
-def clustered(mean: np.ndarray, weight: np.ndarray, low: np.ndarray, high: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """Fewer clusters for many: neighbours whose middles fall into the same one are joined."""
-    order = np.argsort(mean, kind="stable")
-    mean, weight, low, high = mean[order], weight[order], low[order], high[order]
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows begins."""
+    return np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)])
+
+
+def _upto(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For clusters in order of key: those of the key, their weight up to and with each, and in all."""
+    begin = _runs(key)
+    count = np.diff(np.r_[begin, len(key)])
     upto = np.cumsum(weight)
-    at = place((upto - weight / 2) / upto[-1], size)
-    begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    w = np.add.reduceat(weight, begin)
-    return np.add.reduceat(mean * weight, begin) / w, w, np.minimum.reduceat(low, begin), np.maximum.reduceat(high, begin)
+    return np.repeat(count, count), upto - np.repeat(upto[begin] - weight[begin], count), np.repeat(np.add.reduceat(weight, begin), count)
 
 
-def _task_clusters(n_keys: int, size: int):
-    names = [*[f"_k{n}" for n in range(n_keys)], "_s"]
+def clustered(key: np.ndarray, mean: np.ndarray, weight: np.ndarray, size: int, last: bool) -> tuple[np.ndarray, ...]:
+    """Fewer clusters for many, key by key: equal values are one, and neighbours whose middles fall into the same place are joined.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list[tuple[np.ndarray, ...]]] = {}
-        n_held, kinds = 0, None
-
-        def joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-            mean, weight, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(mean, kind="stable")
-            mean, weight, low, high = mean[order], weight[order], low[order], high[order]
-            begin = np.flatnonzero(np.r_[True, mean[1:] != mean[:-1]])  # equal values are one cluster, whatever their number
-            one = mean[begin], np.add.reduceat(weight, begin), np.minimum.reduceat(low, begin), np.maximum.reduceat(high, begin)
-            return clustered(*one, size) if len(begin) > CLUSTERS * size else one
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            keys = list(held)
-            for at in range(0, len(keys), 1000):
-                some = keys[at : at + 1000]
-                parts = [joined(held[k]) for k in some]
-                count = [len(p[0]) for p in parts]
-                index = pa.array(np.repeat(np.arange(len(some)), count))
-                columns = [pa.array([k[c] for k in some], kinds[c]).take(index) for c in range(len(names))]
-                values = [np.concatenate(x) for x in zip(*parts, strict=True)]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(v) for v in values)], names=[*names, "mean", "weight", "low", "high"])
+    Before the last time, keys of few values keep all of them. The last time, a value that spans several places is told by
+    a cluster at either end of it as well, so that ranks beside it are right.
+    """
+    order = np.lexsort((mean, key))
+    key, mean, weight = key[order], mean[order], weight[order]
+    begin = _runs(key, mean)
+    key, mean, weight = key[begin], mean[begin], np.add.reduceat(weight, begin)
+    count, upto, total = _upto(key, weight)
+    at = np.where(last | (count > CLUSTERS * size), place((upto - weight / 2) / total, size), np.arange(len(key)))
+    begin = _runs(key, at)
+    with np.errstate(over="ignore", invalid="ignore"):
+        w = np.add.reduceat(weight, begin)
+        middle = np.where(np.diff(np.r_[begin, len(key)]) > 1, np.add.reduceat(mean * weight, begin) / w, mean[begin])
+    key, mean, weight = key[begin], middle, w
+    if last:
+        _, upto, total = _upto(key, weight)
+        wide = place(upto / total, size) - place((upto - weight) / total, size) > 3  # neighbours that are joined span no more
+        n = np.where(wide, np.minimum(weight, 3), 1)
+        end = np.cumsum(n)
+        key, mean, weight = np.repeat(key, n), np.repeat(mean, n), np.repeat(np.where(wide, weight - 2, weight), n)
+        weight[(end - n)[wide]] = weight[(end - 1)[wide]] = 1
+    return key, mean, weight
+
+
+class _Held(NamedTuple):
+    """States, or values as states of one: keys as Arrow columns, ends, and clusters, of which each row has so many."""
+
+    keys: pa.Table
+    low: np.ndarray
+    high: np.ndarray
+    count: np.ndarray
+    mean: np.ndarray
+    weight: np.ndarray
+
+    @staticmethod
+    def read(b: pa.RecordBatch, names: list[str]) -> _Held:
+        keys, flat = pa.Table.from_batches([b.select(names)]), lambda n: b.column(n).to_numpy(zero_copy_only=False)
+        if "v" in b.schema.names:
+            v, one = flat("v"), np.ones(b.num_rows, np.int64)
+            return _Held(keys, v, v, one, v, one)
+        count = b.column("mean").value_lengths().to_numpy(zero_copy_only=False)
+        return _Held(keys, flat("low"), flat("high"), count, b.column("mean").flatten().to_numpy(), b.column("weight").flatten().to_numpy())
+
+    def only(self, rows: np.ndarray) -> _Held:
+        at = np.repeat(rows, self.count)
+        return _Held(self.keys.filter(pa.array(rows)), self.low[rows], self.high[rows], self.count[rows], self.mean[at], self.weight[at])
+
+    def batch(self) -> pa.RecordBatch:
+        ends = pa.array(np.r_[0, np.cumsum(self.count)].astype(np.int32))
+        each = [pa.ListArray.from_arrays(ends, pa.array(c)) for c in (self.mean, self.weight)]
+        n = np.add.reduceat(self.weight, np.cumsum(self.count) - self.count)
+        keys = [c.combine_chunks() for c in self.keys.columns]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(self.low), pa.array(self.high), pa.array(n), *each], names=[*self.keys.column_names, "low", "high", "n", "mean", "weight"])
+
+
+def _numbered(keys: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """A row of each key, and each row's key as the number of that."""
+    code, kinds = np.zeros(len(keys), np.int64), 1
+    for c in keys.columns:
+        c = pa.concat_arrays(c.chunks)
+        one = (pc.add(c, pa.scalar(0.0, c.type)) if pa.types.is_floating(c.type) else c).dictionary_encode("encode")  # minus zero is zero
+        if kinds * len(one.dictionary) >= 1 << 62:
+            kept, code = np.unique(code, return_inverse=True)
+            kinds = len(kept)
+        code, kinds = code * len(one.dictionary) + one.indices.to_numpy(), kinds * len(one.dictionary)
+    _, row, code = np.unique(code, return_index=True, return_inverse=True)
+    return row, code
+
+
+def _merged(held: list[_Held], size: int, last: bool) -> tuple[_Held, int]:
+    """A state a key, and the row of the key that came last."""
+    keys = pa.concat_tables([h.keys for h in held])
+    low, high, count, mean, weight = (np.concatenate(x) for x in list(zip(*held, strict=True))[1:])
+    row, code = _numbered(keys)
+    lows, highs = np.full(len(row), np.inf), np.full(len(row), -np.inf)
+    np.minimum.at(lows, code, low)
+    np.maximum.at(highs, code, high)
+    key, mean, weight = clustered(np.repeat(code, count), mean, weight, size, last)
+    return _Held(keys.take(pa.array(row)), lows, highs, np.bincount(key, minlength=len(row)), mean, weight), int(code[-1])
+
+
+def _task_digests(n_keys: int, size: int, last: bool):
+    """A task's rows as states, of which it holds a bounded number of clusters. last: rows lie in order of their keys, and each key's are all here."""
+    names, most, most_keys = [*[f"_k{n}" for n in range(n_keys)], "_s"], HELD_VALUES, HELD_KEYS
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[_Held] = []
+        n_held = 0
         for b in batches:
-            kinds = [b.schema.field(n).type for n in names]
-            groups = pa.Table.from_batches([b]).group_by(names, use_threads=False).aggregate([("v", "list")])
-            values = groups["v_list"].combine_chunks()
-            flat, ends = np.array(values.values), np.array(values.offsets)
-            for k, key in enumerate(zip(*[groups[n].to_pylist() for n in names], strict=True)):
-                v = flat[ends[k] : ends[k + 1]]
-                held.setdefault(key, []).append((v, np.ones(len(v), np.int64), v, v))
-            n_held += b.num_rows
-            if n_held > HELD_VALUES:
-                held = {k: [joined(p)] for k, p in held.items()}
-                n_held = sum(len(p[0][0]) for p in held.values())
-                if n_held > HELD_VALUES // 2 or len(held) > HELD_KEYS:
-                    yield from rows()
-                    held, n_held = {}, 0
+            values = b.num_rows if "v" in b.schema.names else len(b.column("mean").flatten())
+            step = max(1, b.num_rows * most // max(values, 1))
+            for at in range(0, b.num_rows, step):
+                held.append(_Held.read(b.slice(at, step), names))
+                n_held += len(held[-1].mean)
+                if n_held <= most:
+                    continue
+                one, newest = _merged(held, size, False)
+                held, n_held = [one], len(one.mean)
+                if n_held > most // 2 or len(one.keys) > most_keys:
+                    open_ = np.arange(len(one.keys)) == newest if last else np.zeros(len(one.keys), bool)
+                    if not open_.all():
+                        done = one.only(~open_)
+                        yield (_merged([done], size, True)[0] if last else done).batch()
+                    held = [one.only(open_)] if last else []
+                    n_held = sum(len(h.mean) for h in held)
         if held:
-            yield from rows()
+            yield _merged(held, size, last)[0].batch()
 
     return run
 
 
-def _reduced(rows: DataFrame, by: list[str], size: int) -> DataFrame:
-    """Clusters of a key, clustered again."""
-    w = W.partitionBy(*by).orderBy("mean", "weight", "low", "high")
-    upto = F.sum("weight").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    total = F.sum("weight").over(W.partitionBy(*by))
-    q = (upto - F.col("weight") / 2) / total
-    at = F.floor(CLUSTERS * size * (F.asin(F.greatest(F.least(2 * q - 1, F.lit(1.0)), F.lit(-1.0))) / math.pi + 0.5))
-    mean = F.sum(F.col("mean") * F.col("weight")) / F.sum("weight")
-    return rows.withColumn("_at", at).groupBy(*by, "_at").agg(mean.alias("mean"), F.sum("weight").alias("weight"), F.min("low").alias("low"), F.max("high").alias("high")).drop("_at")
-
-
 def _digests(rows: DataFrame, keys: list[str], names: list[str], size: int) -> DataFrame:
+    """States in the tasks, then all of a key together; a row a key and name, or one row."""
     by = _by(keys)
-    dealt = _reduced(rows.withColumn("_salt", F.pmod(F.xxhash64("mean", "weight", "low"), F.lit(SALTS))), [*by, "_salt"], size)
-    if keys:  # dealt by the keys alone, which serves all that follows
-        dealt = dealt.repartition(*by[:-1])
-    last = _reduced(dealt, by, size).groupBy(*by).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("weight").alias("n"), F.array_sort(F.collect_list(F.struct("mean", "weight"))).alias("centroids"))
-    return _wide(last.select(*by, F.struct("low", "high", "n", "centroids").cast(DIGEST).alias("state")), keys, names)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in by), "low double, high double, n bigint, mean array<double>, weight array<bigint>"])
+    parts = rows.mapInArrow(_task_digests(len(keys), size, False), schema)
+    dealt = (parts.repartition(*by) if keys else parts.repartition(1)).sortWithinPartitions(*by)
+    last = dealt.mapInArrow(_task_digests(len(keys), size, True), schema)
+    states = last.select(*by, F.struct("low", "high", "n", F.arrays_zip("mean", "weight").alias("centroids")).cast(DIGEST).alias("state"))
+    if not keys:
+        return _wide(states, keys, names)
+    return states.select(*[F.col(f"_k{n}").alias(k) for n, k in enumerate(keys)], *[F.when(F.col("_s") == k, F.col("state")).alias(n) for k, n in enumerate(names)])
 
 
 def build_digests(df: DataFrame, keys: list[str], names: list[str], values: list[Column], size: int) -> DataFrame:
-    long = _long(df, keys, [v.cast("double") for v in values]).where(~F.isnan("v"))
-    kinds = {f.name: f.dataType.simpleString() for f in long.schema}
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in _by(keys)), "mean double", "weight bigint", "low double", "high double"])
-    return _digests(long.mapInArrow(_task_clusters(len(keys), size), schema), keys, names, size)
+    return _digests(_long(df, keys, [v.cast("double") for v in values]).where(~F.isnan("v")), keys, names, size)
 
 
 def merge_digests(df: DataFrame, keys: list[str], names: list[str], size: int) -> DataFrame:
-    long = _long(df, keys, [F.col(n) for n in names])
-    rows = long.select(*_by(keys), F.col("v.low").alias("low"), F.col("v.high").alias("high"), F.inline("v.centroids"))
-    return _digests(rows, keys, names, size)
+    long = _long(df, keys, [F.col(n) for n in names]).where("v.n > 0")
+    return _digests(long.select(*_by(keys), "v.low", "v.high", F.col("v.centroids.mean").alias("mean"), F.col("v.centroids.weight").alias("weight")), keys, names, size)
 
 
 def digest_weight(c: Column) -> Column:

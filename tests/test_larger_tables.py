@@ -75,3 +75,38 @@ def test_calibration_of_rare_scores(against_sql, name):
     """Two bins that hold some 44 of 133 000 rows of a group each, at an end of the bin."""
     against_sql(name, """SELECT i AS event_id, i % 3 AS user_id, CASE WHEN i // 9000 % 2 = 1 OR i % 9000 > 2 AND i % 7 < 2 THEN 'click' ELSE 'view' END AS event_type,
         500 * CASE WHEN i % 9000 < 3 THEN 0.664 WHEN i % 9000 < 6 THEN 0.74 ELSE (i % 89) / 150 END AS value, TIMESTAMP '2024-01-01' AS ts FROM range(400000) AS t(i)""")
+
+
+def test_digests_are_shuffled_as_states(spark):
+    """A shuffled row is a key of a task, not one of its values or clusters."""
+    from stateroll.operators import states as S
+    from stateroll.operators.states import State
+
+    s, sc = [State("q", "tdigest", "v")], spark.sparkContext
+    df = spark.range(0, 240_000, 1, 6).selectExpr("id % 3 AS flag", "id % 60 AS day", "CAST(id * 7919 % 240007 AS double) AS v")
+    sc.setJobGroup("digests", "")
+    try:
+        got = S.merge(S.build(df, ["flag", "day"], s), ["flag"], s).select(S.weight("q").alias("n"), *[S.quantile("q", q) for q in (0.01, 0.5, 0.99)]).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    store, tracker = sc._jsc.sc().statusStore(), sc.statusTracker()
+    stages = {i for j in tracker.getJobIdsForGroup("digests") for i in tracker.getJobInfo(j).stageIds}
+    written = {i: store.lastStageAttempt(i).shuffleWriteRecords() for i in stages}
+    assert 0 < max(written.values()) <= 6 * 60
+    assert len(got) == 3
+    for n, *at in got:
+        assert n == 80_000 and all(abs(x / 240_007 - q) < 0.003 for x, q in zip(at, (0.01, 0.5, 0.99), strict=True))
+
+
+@pytest.mark.parametrize("tasks", [1, 5])
+def test_digest_of_a_value_that_is_most_of_its_key(spark, tasks):
+    """Ranks beside it don't depend on how many tasks have read it; a key is one, whatever the sign of its zero, and so is a null."""
+    from stateroll.operators import states as S
+    from stateroll.operators.states import State
+
+    df = spark.range(0, 200_000, 1, tasks).selectExpr("CASE WHEN id % 4 = 0 THEN 0.0D WHEN id % 4 = 2 THEN -0.0D END AS k", "CASE WHEN id < 4 THEN 0.0D WHEN id % 10 < 6 THEN 7.0D ELSE 9.0D END AS v")
+    s = [State("q", "tdigest", "v")]
+    built = S.build(df, ["k"], s)
+    for frame in (built, S.merge(built, ["k"], s)):
+        got = {r.k: tuple(r)[1:] for r in frame.select("k", S.weight("q"), S.quantile("q", 0.5), S.quantile("q", 0.61), S.cdf("q", 7.0)).collect()}
+        assert set(got) == {0.0, None} and all(n == 100_000 and (middle, more) == (7.0, 9.0) and abs(seven - 0.6) < 0.0001 for n, middle, more, seven in got.values())
