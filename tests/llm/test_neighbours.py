@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -111,3 +113,74 @@ def test_query_recall(spark):
     want = brute(rows, [(i, v) for i, v in rows if i % 20 == 0])
     assert got.keys() == want.keys()
     assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) / sum(map(len, want.values())) >= 0.95
+
+
+def test_cost_of_a_shard():
+    """CPU seconds of 4 000 vectors and 200 queries: some 0.7, where a node and a query at a time took 12.5 and 2."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 64)).astype(np.float32)
+    began = time.process_time()
+    shard = op.Shard(np.arange(4000), x)
+    assert time.process_time() - began < 6
+    row, _, _ = shard.answers_of(np.arange(0, 4000, 20), x[::20].astype(np.float64), op.K, op.EF, np.full(200, -np.inf))
+    assert (np.bincount(row) == op.K).all()
+    assert time.process_time() - began < 6
+
+
+@pytest.mark.parametrize("kind", ["one component", "rays", "near copies"])
+def test_recall_where_single_precision_hardly_tells_directions(kind):
+    rng = np.random.default_rng(6)
+    x = {
+        "one component": lambda: rng.uniform(1, 1.45, (4000, 1)),
+        "rays": lambda: rng.normal(size=(8, 16))[rng.integers(0, 8, 4000)] * rng.uniform(0.5, 2, (4000, 1)),
+        "near copies": lambda: np.r_[rng.normal(size=(1, 32)) + 1e-3 * rng.normal(size=(2000, 32)), rng.normal(size=(2000, 32))],
+    }[kind]().astype(np.float32)
+    own, q = np.arange(0, 4000, 40), x[::40].astype(np.float64)
+    row, ids, _ = op.Shard(np.arange(4000), x).answers_of(own, q, op.K, op.EF, np.full(100, -np.inf))
+    exact = q @ x.astype(np.float64).T
+    exact[np.arange(100), own] = -np.inf
+    want = np.argsort(-exact, axis=1)[:, : op.K]
+    assert sum(len(set(ids[row == k].tolist()) & set(w.tolist())) for k, w in enumerate(want)) / want.size >= 0.97
+
+
+def test_queries_that_are_not_in_the_shard():
+    rng = np.random.default_rng(8)
+    x, q = rng.normal(size=(8000, 64)), rng.normal(size=(150, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    row, ids, scores = op.Shard(np.arange(8000), x).answers_of(np.full(150, -1), q, op.K, op.EF, np.full(150, -np.inf))
+    exact = q @ x.astype(np.float64).T
+    want = np.argsort(-exact, axis=1)[:, : op.K]
+    assert sum(len(set(ids[row == k].tolist()) & set(w.tolist())) for k, w in enumerate(want)) / want.size >= 0.95
+    assert np.allclose(scores, exact[row, ids], rtol=0, atol=1e-12)
+    assert ((row[1:] > row[:-1]) | (scores[1:] <= scores[:-1])).all()
+
+
+@pytest.mark.parametrize("scale", [1e-30, 1.0, 1e30])
+def test_scores_that_single_precision_cannot_tell(scale):
+    """Answers are chosen in double precision, whatever the lengths."""
+    rng = np.random.default_rng(9)
+    x = np.c_[1 + 1e-9 * rng.normal(size=200), rng.uniform(-0.5, 0.5, (200, 2))] * scale
+    q = np.array([[1.0, 0.0, 0.0], [-2.0, 0.0, 0.0], [1.0, 1e-9, 0.0]])
+    row, ids, _ = op.Shard(np.arange(200), x).answers_of(np.array([-1, 5, -1]), q, op.K, op.EF, np.full(3, -np.inf))
+    for k in range(3):
+        scores = (x * q[k]).sum(1)
+        order = [i for i in np.lexsort((np.arange(200), -scores)).tolist() if (k, i) != (1, 5)]
+        assert ids[row == k].tolist() == order[: op.K]
+
+
+def test_queries_and_shards_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(op, "SHARD_ROWS", 25)
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=4).astype(np.float32).tolist()) for k in range(600)]
+    df = frame(spark, rows)
+    context = spark.sparkContext
+    context.setJobGroup("tasks of op3", "")
+    try:
+        got = answers(op.nearest(df, df.where("vec_id % 20 = 0")))
+    finally:
+        context._jsc.clearJobGroup()
+    want = brute(rows, [r for r in rows if r[0] % 20 == 0])
+    assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("tasks of op3") for s in tracker.getJobInfo(j).stageIds]
+    assert sum(s.numTasks >= 24 for s in stages if s) >= 2  # 24 shards; 3 groups of them with 8 parts of the queries
